@@ -173,7 +173,10 @@ def report_segments(star: Star, flt: SalesFilter = EVERYTHING, **limits) -> Data
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    """CSV with headers, blanks kept as they are, quotes doubled inside quoted text."""
+    df.write.mode("errorifexists").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def write_report(star: Star, flt: SalesFilter, as_of: dt.date, folder: str) -> None:

@@ -142,7 +142,7 @@ def kpis(star: Star, flt: SalesFilter, as_of: dt.date) -> DataFrame:
 def monthly_totals(star: Star, flt: SalesFilter) -> DataFrame:
     return (
         order_grain(star, flt, "order_date")
-        .groupBy(F.date_format("order_date", "yyyy-MM").alias("year_month"))
+        .groupBy(F.substring(F.col("order_date").cast("string"), 1, 7).alias("year_month"))
         .agg(
             F.sum("revenue").alias("revenue"),
             F.count("*").alias("orders"),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from martlight.plans import reports
+from martlight.plans import imports, reports
 from martlight.session import tune
 
-MODULES = (reports,)
+MODULES = (reports, imports)
 
 
 def _tuned(build):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,19 +15,26 @@ INLINE_CATEGORIES = 1000
 
 
 def bind_star(spark: SparkSession, folder: str) -> Star:
-    builders = {
-        "regions": _regions,
-        "categories": _categories,
-        "customers": _customers,
-        "products": _products,
-        "orders": _orders,
-        "order_items": _order_items,
-    }
-
+    @cache
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
-    return Star(lambda name: builders[name](read))
+    @cache
+    def short_list() -> list[str] | None:
+        """The category names in order, or None when there are too many to hold inline."""
+        names = _category_names(read).orderBy("category_name").limit(INLINE_CATEGORIES + 1)
+        found = [row.category_name for row in names.collect()]
+        return found if len(found) <= INLINE_CATEGORIES else None
+
+    builders = {
+        "regions": lambda: _regions(read),
+        "categories": lambda: _categories(read, short_list()),
+        "customers": lambda: _customers(read),
+        "products": lambda: _products(read, short_list()),
+        "orders": lambda: _orders(read),
+        "order_items": lambda: _order_items(read),
+    }
+    return Star(lambda name: builders[name]())
 
 
 def _regions(read) -> DataFrame:
@@ -45,7 +54,8 @@ def _regions(read) -> DataFrame:
 
 
 def _category_names(read) -> DataFrame:
-    return read("part").select(F.col("p_type").alias("category_name")).distinct()
+    named = read("part").where(F.col("p_type").isNotNull())
+    return named.select(F.col("p_type").alias("category_name")).distinct()
 
 
 def _numbered_categories(read) -> DataFrame:
@@ -53,19 +63,18 @@ def _numbered_categories(read) -> DataFrame:
     return _category_names(read).select(numbered.alias("category_id"), "category_name")
 
 
-def _categories(read) -> DataFrame:
-    return _numbered_categories(read).withColumn("description", F.lit(None).cast("string"))
+def _categories(read, names: list[str] | None) -> DataFrame:
+    rows = _numbered_categories(read).withColumn("description", F.lit(None).cast("string"))
+    return rows if names is None else F.broadcast(rows)
 
 
-def _with_category_id(parts: DataFrame, read) -> DataFrame:
-    """Category number per part: an inline lookup for a short list of names, a join otherwise."""
-    head = _category_names(read).orderBy("category_name").limit(INLINE_CATEGORIES + 1).collect()
-    names = [row.category_name for row in head if row.category_name is not None]
-    if len(head) <= INLINE_CATEGORIES:
-        position = F.array_position(F.array(*map(F.lit, names)), F.col("p_type"))
-        return parts.withColumn("category_id", position.cast("int"))
-    lookup = _numbered_categories(read).withColumnRenamed("category_name", "p_type")
-    return parts.join(lookup, "p_type", "left")
+def _with_category_id(parts: DataFrame, read, names: list[str] | None) -> DataFrame:
+    """Category number per part: an inline lookup in a short list, a join beyond it."""
+    if names is None:
+        lookup = _numbered_categories(read).withColumnRenamed("category_name", "p_type")
+        return parts.join(lookup, "p_type", "left")
+    position = F.array_position(F.array(*map(F.lit, names)), F.col("p_type"))
+    return parts.withColumn("category_id", position.cast("int"))
 
 
 def _customers(read) -> DataFrame:
@@ -96,9 +105,9 @@ def order_number(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix), F.lpad(key.cast("string"), 9, "0"))
 
 
-def _products(read) -> DataFrame:
+def _products(read, names: list[str] | None) -> DataFrame:
     price = F.col("p_retailprice").cast(PRICE)
-    return _with_category_id(read("part"), read).select(
+    return _with_category_id(read("part"), read, names).select(
         F.col("p_partkey").alias("product_id"),
         product_code(F.col("p_partkey")).alias("product_code"),
         F.col("p_name").alias("product_name"),

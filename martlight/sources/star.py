@@ -84,6 +84,9 @@ def write_table(df: DataFrame, root: str, name: str, version: int) -> None:
     df.select(*columns).write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
 
 
-def write_star(star: Star, root: str, version: int = 0) -> None:
+def write_star(spark: SparkSession, star: Star, root: str, version: int = 0) -> None:
+    """Write all tables, with an empty import log."""
     for name in TABLE_NAMES:
         write_table(star.table(name), root, name, version)
+    log = "data_import_logs"
+    write_table(spark.createDataFrame([], SCHEMAS[log]), root, log, version)
