@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from martlight.plans import imports, reports
+from martlight.plans import imports, reports, upkeep
 from martlight.session import tune
 
-MODULES = (reports, imports)
+MODULES = (reports, imports, upkeep)
 
 
 def _tuned(build):
