@@ -29,9 +29,14 @@ def seed(row_id: Column) -> Column:
     return (row_id + (wraps % (MODULUS - 1)) * WRAP_STEP) % (MODULUS - 1) + 1
 
 
-def draw(row_id: Column, number: int) -> Column:
-    """BIGINT in 0..SCRAMBLE_MODULUS-1."""
-    first = (seed(row_id) * F.lit(stream_multiplier(number)).cast("bigint")) % MODULUS
+def draw(row_id: Column, number: int | Sequence[int], position: Column | None = None) -> Column:
+    """BIGINT in 0..SCRAMBLE_MODULUS-1. With several numbers, ``position`` (from 0) selects one."""
+    if position is None:
+        multiplier = F.lit(stream_multiplier(number)).cast("bigint")
+    else:
+        choices = [F.lit(stream_multiplier(n)).cast("bigint") for n in number]
+        multiplier = F.element_at(F.array(*choices), (position + 1).cast("int"))
+    first = (seed(row_id) * multiplier) % MODULUS
     return (first * F.lit(SCRAMBLE_MULTIPLIER).cast("bigint")) % SCRAMBLE_MODULUS
 
 
@@ -40,13 +45,15 @@ def pick(row_id: Column, number: int, size: int | Column) -> Column:
     return draw(row_id, number) % size
 
 
-def weighted(row_id: Column, number: int, values: Sequence, weights: Sequence[float]) -> Column:
-    """One of ``values`` with the given probabilities (the last takes the remainder)."""
-    u = draw(row_id, number)
+def weighted(drawn: Column, values: Sequence, weights: Sequence[float]) -> Column:
+    """One of ``values`` with the given probabilities (the last takes the remainder).
+
+    ``drawn`` should be a column that already holds the draw: it is compared with every limit.
+    """
     reached = 0.0
     choice = None
     for value, weight in zip(values[:-1], weights[:-1]):
         reached += weight
-        hit = u < round(reached * SCRAMBLE_MODULUS)
+        hit = drawn < round(reached * SCRAMBLE_MODULUS)
         choice = F.when(hit, F.lit(value)) if choice is None else choice.when(hit, F.lit(value))
-    return F.lit(values[-1]) if choice is None else choice.otherwise(F.lit(values[-1]))
+    return choice.otherwise(F.lit(values[-1]))

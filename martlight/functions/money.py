@@ -1,4 +1,4 @@
-"""Exact money arithmetic. Sums stay DECIMAL; results turn into DOUBLE at the output edge."""
+"""Exact money arithmetic: DECIMAL in tables, BIGINT cents in sums, DOUBLE at the output edge."""
 
 from __future__ import annotations
 
@@ -10,20 +10,33 @@ PRICE = "decimal(10,2)"
 RATE = "decimal(5,4)"
 
 
-def as_double(total: Column) -> Column:
-    return F.coalesce(total.cast("double"), F.lit(0.0))
+def cents(amount: Column) -> Column:
+    """BIGINT cents of an amount with two decimals. Exact: such amounts stay far below 2^53 cents.
 
+    Line money is summed in cents. Long arithmetic stays in generated code on primitive values, where
+    a DECIMAL sum of this precision builds an object per row. A BIGINT holds 92 quadrillion dollars,
+    and ANSI mode raises an error beyond that instead of wrapping around.
+    """
+    return F.rint(amount.cast("double") * 100.0).cast("bigint")
 
-def ratio(amount: Column, count: Column) -> Column:
-    """Average rounded to cents, null for a zero count."""
-    return F.round(amount.cast("double") / F.nullif(count, F.lit(0)), 2)
+
+def from_cents(total: Column, kind: str = MONEY) -> Column:
+    return (total.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(kind)
+
+
+def dollars(total: Column) -> Column:
+    """DOUBLE dollars of a cents sum, 0 when nothing was summed."""
+    return F.coalesce(total.cast("double") / 100.0, F.lit(0.0))
+
+
+def mean_dollars(total: Column, count: Column) -> Column:
+    """Dollars per counted thing, rounded to cents, null for a zero count."""
+    return F.round(total.cast("double") / 100.0 / F.nullif(count, F.lit(0)), 2)
 
 
 def share_pct(part: Column, whole: Column) -> Column:
     """Percent of the whole, rounded to two places, 0 when the whole is not positive."""
-    return F.when(
-        whole > 0, F.round(part.cast("double") / whole.cast("double") * 100.0, 2)
-    ).otherwise(F.lit(0.0))
+    return F.when(whole > 0, F.round(part / whole * 100.0, 2)).otherwise(F.lit(0.0))
 
 
 def percent_text(value: Column) -> Column:

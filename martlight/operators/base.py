@@ -45,7 +45,7 @@ def sales_base(
 
 def sum_by_order(items: DataFrame) -> DataFrame:
     return items.groupBy("order_id").agg(
-        F.sum("total_price").alias("revenue"),
+        F.sum("total_cents").alias("revenue"),
         F.sum("quantity").alias("units"),
         F.count("*").alias("lines"),
     )
@@ -53,7 +53,7 @@ def sum_by_order(items: DataFrame) -> DataFrame:
 
 def order_grain(star: Star, flt: SalesFilter, *order_columns: str,
                 when: Column | None = None) -> DataFrame:
-    """One row per order with at least one matching item: revenue, units and lines.
+    """One row per order with at least one matching item: revenue (in cents), units and lines.
 
     Items are summed before they meet the orders. The partial sums run map-side, so an order
     holding a large part of all items shrinks to one row per input split, and the join reuses the

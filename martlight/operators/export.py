@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from martlight.functions.money import dollars
 from martlight.functions.text import full_name
 from martlight.operators.base import sales_base
 from martlight.operators.filters import EVERYTHING, SalesFilter
@@ -116,11 +117,14 @@ def export_lines(star: Star, flt: SalesFilter = EVERYTHING,
     newest = (
         lines.where(F.col("order_date") >= oldest_day.scalar())
         .orderBy(F.desc("order_date"), F.desc("order_id"), "product_id", "quantity",
-                 "total_price", "unit_price", "discount_rate")
+                 "total_cents", "unit_cents", "discount_rate")
         .limit(max_rows)
     )
-    money = {name: F.col(name).cast("double") for name in
-             ("unit_price", "discount_rate", "total_price")}
+    money = {
+        "unit_price": dollars(F.col("unit_cents")),
+        "discount_rate": F.col("discount_rate").cast("double"),
+        "total_price": dollars(F.col("total_cents")),
+    }
     return _headed(newest.withColumns(money), LINE_HEADINGS)
 
 

@@ -85,12 +85,17 @@ def candidates(ids: DataFrame) -> DataFrame:
 def order_attributes(ids: DataFrame) -> DataFrame:
     """Weighted choices per id."""
     i = F.col("id")
-    return ids.withColumns({
-        "region_name": weighted(i, REGION, [r[0] for r in REGIONS], REGION_WEIGHTS),
-        "payment_method": weighted(i, PAYMENT, PAYMENT_METHODS, PAYMENT_WEIGHTS),
-        "order_status": weighted(i, STATUS, STATUSES, STATUS_WEIGHTS),
-        "item_count": weighted(i, ITEMS, ITEM_COUNTS, ITEM_COUNT_WEIGHTS),
-    })
+    choices = {
+        "region_name": (REGION, [r[0] for r in REGIONS], REGION_WEIGHTS),
+        "payment_method": (PAYMENT, PAYMENT_METHODS, PAYMENT_WEIGHTS),
+        "order_status": (STATUS, STATUSES, STATUS_WEIGHTS),
+        "item_count": (ITEMS, ITEM_COUNTS, ITEM_COUNT_WEIGHTS),
+    }
+    drawn = ids.withColumns({f"_{name}": draw(i, choice[0]) for name, choice in choices.items()})
+    return drawn.withColumns({
+        name: weighted(F.col(f"_{name}"), values, weights)
+        for name, (_, values, weights) in choices.items()
+    }).drop(*[f"_{name}" for name in choices])
 
 
 def orders_until(ids: DataFrame, total_records: int | Column | None = None,
@@ -143,22 +148,22 @@ def explode_items(orders: DataFrame) -> DataFrame:
         for code, name, category, price, cost in catalogue
     ])
 
-    def by_position(number: int, values, weights, kind: str) -> Column:
+    def item_draw(number: int) -> Column:
         # A draw number per item position: the order id is the same for all its items.
-        choice = None
-        for k in range(max(ITEM_COUNTS)):
-            value = weighted(i, ITEM_DRAWS + 10 * k + number, values, weights).cast(kind)
-            choice = F.when(position == k, value) if choice is None else choice.when(
-                position == k, value)
-        return choice
+        numbers = [ITEM_DRAWS + 10 * k + number for k in range(max(ITEM_COUNTS))]
+        return draw(i, numbers, position)
 
     exploded = orders.withColumn(
         "position", F.explode(F.sequence(F.lit(0), F.col("item_count") - 1)))
-    chosen = exploded.withColumns({
+    drawn = exploded.withColumns({
         "_slot": ((pick(i, FIRST_PRODUCT, size) + position * step) % size + 1).cast("int"),
-        "quantity": by_position(QUANTITY, QUANTITIES, QUANTITY_WEIGHTS, "int"),
-        "discount_rate": by_position(DISCOUNT, DISCOUNTS, DISCOUNT_WEIGHTS, RATE),
+        "_quantity": item_draw(QUANTITY),
+        "_discount": item_draw(DISCOUNT),
     })
+    chosen = drawn.withColumns({
+        "quantity": weighted(F.col("_quantity"), QUANTITIES, QUANTITY_WEIGHTS),
+        "discount_rate": weighted(F.col("_discount"), DISCOUNTS, DISCOUNT_WEIGHTS).cast(RATE),
+    }).drop("_quantity", "_discount")
     named = chosen.withColumn("_product", F.element_at(entries, F.col("_slot"))).select(
         *[c for c in chosen.columns if c != "_slot"], "_product.*"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from martlight.functions.money import as_double, ratio, share_pct
+from martlight.functions.money import dollars, mean_dollars, share_pct
 from martlight.operators.base import order_grain, sales_base
 from martlight.operators.filters import EVERYTHING, SalesFilter, prior_window
 from martlight.schema import MIDDLE_TIER_SPEND, TIER_NAMES, TOP_TIER_SPEND
@@ -25,7 +25,8 @@ def whole(column: str) -> Column:
 
 
 def average_order_value(revenue: Column, orders: Column) -> Column:
-    return F.when(orders > 0, ratio(revenue, orders)).otherwise(F.lit(0.0))
+    """Dollars per order from a cents sum, 0 without orders."""
+    return F.when(orders > 0, mean_dollars(revenue, orders)).otherwise(F.lit(0.0))
 
 
 def growth_pct(current: Column, prior: Column) -> Column:
@@ -45,7 +46,7 @@ def spend_tier(spend: Column, names=TIER_NAMES, hi=TOP_TIER_SPEND, mid=MIDDLE_TI
 
 def kpi_primary(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
     return order_grain(star, flt, "customer_id").agg(
-        as_double(F.sum("revenue")).alias("total_revenue"),
+        dollars(F.sum("revenue")).alias("total_revenue"),
         F.count("*").alias("total_orders"),
         F.coalesce(F.sum("units"), F.lit(0)).alias("units_sold"),
         F.count_distinct("customer_id").alias("total_customers"),
@@ -60,7 +61,7 @@ def kpi_aov(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
 def product_revenue(star: Star, flt: SalesFilter) -> DataFrame:
     """Revenue and units per product. Names are joined to these sums, never to the lines."""
     return sales_base(star, flt, order_columns=()).groupBy("product_id").agg(
-        F.sum("total_price").alias("revenue"), F.sum("quantity").alias("units")
+        F.sum("total_cents").alias("revenue"), F.sum("quantity").alias("units")
     )
 
 
@@ -84,7 +85,7 @@ def kpi_best_product(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
         .join(star.products.select("product_id", "product_name"), "product_id")
         .orderBy(F.desc("revenue"), "product_id")
         .limit(1)
-        .select(F.col("product_name").alias("name"), as_double(F.col("revenue")).alias("revenue"))
+        .select(F.col("product_name").alias("name"), dollars(F.col("revenue")).alias("revenue"))
     )
 
 
@@ -93,7 +94,7 @@ def kpi_top_region(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
         region_totals(star, flt)
         .orderBy(F.desc("revenue"), "region_id")
         .limit(1)
-        .select(F.col("region_name").alias("name"), as_double(F.col("revenue")).alias("revenue"))
+        .select(F.col("region_name").alias("name"), dollars(F.col("revenue")).alias("revenue"))
     )
 
 
@@ -106,7 +107,7 @@ def _between(window: tuple[dt.date, dt.date] | None) -> Column:
 def kpi_prior_revenue(star: Star, flt: SalesFilter, as_of: dt.date) -> DataFrame:
     inside = flt.without_dates().order_condition() & _between(prior_window(flt, as_of))
     return order_grain(star, flt, when=inside).agg(
-        as_double(F.sum("revenue")).alias("prior_revenue")
+        dollars(F.sum("revenue")).alias("prior_revenue")
     )
 
 
@@ -115,12 +116,12 @@ def kpis(star: Star, flt: SalesFilter, as_of: dt.date) -> DataFrame:
     current, prior = flt.date_condition(), _between(prior_window(flt, as_of))
     either = flt.without_dates().order_condition() & (current | prior)
     figures = order_grain(star, flt, "order_date", "customer_id", when=either).agg(
-        as_double(F.sum(F.when(current, F.col("revenue")))).alias("total_revenue"),
+        F.sum(F.when(current, F.col("revenue"))).alias("revenue"),
         F.count_if(current).alias("total_orders"),
         F.coalesce(F.sum(F.when(current, F.col("units"))), F.lit(0)).alias("units_sold"),
         F.count_distinct(F.when(current, F.col("customer_id"))).alias("total_customers"),
-        as_double(F.sum(F.when(prior, F.col("revenue")))).alias("prior_revenue"),
-    )
+        dollars(F.sum(F.when(prior, F.col("revenue")))).alias("prior_revenue"),
+    ).withColumn("total_revenue", dollars(F.col("revenue")))
     nothing = F.struct(F.lit("N/A").alias("name"), F.lit(0.0).alias("revenue"))
 
     def winner(top: DataFrame) -> Column:
@@ -131,7 +132,7 @@ def kpis(star: Star, flt: SalesFilter, as_of: dt.date) -> DataFrame:
         "total_orders",
         "units_sold",
         "total_customers",
-        average_order_value(F.col("total_revenue"), F.col("total_orders")).alias("aov"),
+        average_order_value(F.col("revenue"), F.col("total_orders")).alias("aov"),
         growth_pct(F.col("total_revenue"), F.col("prior_revenue")).alias("growth_pct"),
         "prior_revenue",
         winner(kpi_best_product(star, flt)).alias("best_product"),
@@ -156,10 +157,10 @@ def monthly_sales_trend(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
         monthly_totals(star, flt)
         .select(
             "year_month",
-            as_double(F.col("revenue")).alias("revenue"),
+            dollars(F.col("revenue")).alias("revenue"),
             F.col("orders").alias("orders_count"),
             F.col("units").alias("units_sold"),
-            ratio(F.col("revenue"), F.col("orders")).alias("aov"),
+            mean_dollars(F.col("revenue"), F.col("orders")).alias("aov"),
         )
         .orderBy("year_month")
     )
@@ -174,7 +175,7 @@ def _by_year_and_month(star: Star, flt: SalesFilter) -> DataFrame:
 def yoy_long(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
     return (
         _by_year_and_month(star, flt)
-        .select("order_year", "order_month", as_double(F.col("revenue")).alias("revenue"))
+        .select("order_year", "order_month", dollars(F.col("revenue")).alias("revenue"))
         .orderBy("order_year", "order_month")
     )
 
@@ -182,10 +183,7 @@ def yoy_long(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
 def yoy_comparison(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
     """One row per year, one column per month, 0 for months without sales."""
     slots = [
-        F.coalesce(
-            F.sum(F.when(F.col("order_month") == number, F.col("revenue"))).cast("double"),
-            F.lit(0.0),
-        ).alias(name)
+        dollars(F.sum(F.when(F.col("order_month") == number, F.col("revenue")))).alias(name)
         for number, name in enumerate(MONTH_NAMES, start=1)
     ]
     return _by_year_and_month(star, flt).groupBy("order_year").agg(*slots).orderBy("order_year")
@@ -206,10 +204,10 @@ def category_totals(star: Star, flt: SalesFilter, *extra: Column,
     without a distinct over the lines."""
     lines = sales_base(star, flt, order_columns=(), product_columns=("category_id", *columns))
     per_order = lines.groupBy("order_id", "category_id").agg(
-        F.sum("total_price").alias("revenue"),
+        F.sum("total_cents").alias("revenue"),
         F.sum("quantity").alias("units"),
         F.count("*").alias("lines"),
-        F.sum("unit_price").alias("prices"),
+        F.sum("unit_cents").alias("prices"),
         *extra,
     )
     sums = [c for c in per_order.columns if c not in ("order_id", "category_id")]
@@ -227,11 +225,11 @@ def category_performance(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame
         .select(
             "category_id",
             "category_name",
-            as_double(revenue).alias("total_revenue"),
+            dollars(revenue).alias("total_revenue"),
             F.col("units").alias("units_sold"),
             F.col("orders").alias("orders_count"),
-            ratio(F.col("prices"), F.col("lines")).alias("avg_item_price"),
-            share_pct(revenue, whole("revenue")).alias("share_pct"),
+            mean_dollars(F.col("prices"), F.col("lines")).alias("avg_item_price"),
+            share_pct(dollars(revenue), dollars(whole("revenue"))).alias("share_pct"),
         )
         .orderBy(F.desc("total_revenue"), "category_id")
     )
@@ -247,18 +245,19 @@ def region_performance(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
             "region_name",
             F.col("code").alias("region_code"),
             "country",
-            as_double(revenue).alias("total_revenue"),
+            dollars(revenue).alias("total_revenue"),
             F.col("orders").alias("total_orders"),
             F.col("units").alias("units_sold"),
-            ratio(revenue, F.col("orders")).alias("aov"),
+            mean_dollars(revenue, F.col("orders")).alias("aov"),
             F.row_number().over(by_revenue).cast("bigint").alias("rank"),
-            share_pct(revenue, whole("revenue")).alias("share_pct"),
+            share_pct(dollars(revenue), dollars(whole("revenue"))).alias("share_pct"),
         )
         .orderBy("rank")
     )
 
 
 def customer_totals(star: Star, flt: SalesFilter) -> DataFrame:
+    """Spend (in cents) and orders per customer."""
     return order_grain(star, flt, "customer_id").groupBy("customer_id").agg(
         F.sum("revenue").alias("spend"), F.count("*").alias("orders")
     )
@@ -268,7 +267,7 @@ def customer_segments(star: Star, flt: SalesFilter = EVERYTHING,
                       hi=TOP_TIER_SPEND, mid=MIDDLE_TIER_SPEND) -> DataFrame:
     tiers = (
         customer_totals(star, flt)
-        .groupBy(spend_tier(F.col("spend"), hi=hi, mid=mid).alias("segment_name"))
+        .groupBy(spend_tier(F.col("spend"), hi=hi * 100, mid=mid * 100).alias("segment_name"))
         .agg(
             F.count("*").alias("customers"),
             F.sum("spend").alias("spend"),
@@ -279,8 +278,8 @@ def customer_segments(star: Star, flt: SalesFilter = EVERYTHING,
     return tiers.select(
         "segment_name",
         customers.alias("customer_count"),
-        as_double(F.col("spend")).alias("total_segment_spend"),
-        ratio(F.col("spend"), customers).alias("avg_spend_per_customer"),
+        dollars(F.col("spend")).alias("total_segment_spend"),
+        mean_dollars(F.col("spend"), customers).alias("avg_spend_per_customer"),
         F.col("orders").alias("total_orders"),
         share_pct(customers, whole("customers")).alias("share_pct"),
     ).orderBy(F.desc("total_segment_spend"), "segment_name")
@@ -293,9 +292,9 @@ def payment_methods(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
     revenue = F.col("revenue")
     return methods.select(
         "payment_method",
-        as_double(revenue).alias("total_revenue"),
+        dollars(revenue).alias("total_revenue"),
         F.col("orders").alias("orders_count"),
-        share_pct(revenue, whole("revenue")).alias("share_pct"),
+        share_pct(dollars(revenue), dollars(whole("revenue"))).alias("share_pct"),
     ).orderBy(F.desc("total_revenue"), "payment_method")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from martlight.functions.money import as_double, percent_text, ratio
+from martlight.functions.money import cents, dollars, mean_dollars, percent_text
 from martlight.functions.text import full_name
 from martlight.operators.base import order_grain
 from martlight.operators.filters import EVERYTHING, SalesFilter
@@ -52,7 +52,7 @@ def top_products(star: Star, flt: SalesFilter = EVERYTHING, limit: int = 10) ->
             "product_id", "product_code", "product_name", "category_name",
             F.col("unit_price").cast("double").alias("unit_price"),
             F.col("units").alias("units_sold"),
-            as_double(F.col("revenue")).alias("total_revenue"),
+            dollars(F.col("revenue")).alias("total_revenue"),
         )
         .orderBy(F.desc("total_revenue"), "product_id")
     )
@@ -72,8 +72,8 @@ def top_customers(star: Star, flt: SalesFilter = EVERYTHING, limit: int = 10) ->
         .select(
             *customers.columns,
             F.col("orders").alias("orders_count"),
-            as_double(F.col("spend")).alias("total_spent"),
-            ratio(F.col("spend"), F.col("orders")).alias("avg_order_val"),
+            dollars(F.col("spend")).alias("total_spent"),
+            mean_dollars(F.col("spend"), F.col("orders")).alias("avg_order_val"),
         )
     )
 
@@ -86,7 +86,7 @@ def monthly_yoy_lag(star: Star, months: int = 24) -> DataFrame:
     )
     return (
         monthly_totals(star, EVERYTHING)
-        .select("year_month", as_double(F.col("revenue")).alias("current_revenue"),
+        .select("year_month", dollars(F.col("revenue")).alias("current_revenue"),
                 F.col("orders").alias("total_orders"))
         .withColumn("prior", F.lag("current_revenue", 12).over(Window.orderBy("year_month")))
         .select(
@@ -112,8 +112,8 @@ def regional_dense_rank(star: Star) -> DataFrame:
             "country",
             F.col("orders").alias("total_orders"),
             F.col("units").alias("total_units"),
-            as_double(revenue).alias("territory_revenue"),
-            percent_text(revenue.cast("double") * 100.0 / whole("revenue").cast("double"))
+            dollars(revenue).alias("territory_revenue"),
+            percent_text(dollars(revenue) * 100.0 / dollars(whole("revenue")))
             .alias("global_share_pct"),
         )
         .orderBy("sales_rank", "region_name")
@@ -140,7 +140,7 @@ def top_products_per_category(star: Star, keep: int = 3) -> DataFrame:
             "product_code",
             "product_name",
             F.col("units").alias("units_sold"),
-            as_double(F.col("revenue")).alias("total_revenue"),
+            dollars(F.col("revenue")).alias("total_revenue"),
         )
         .orderBy("category_name", "category_rank", "product_code")
     )
@@ -171,10 +171,10 @@ def customer_value(star: Star, limit: int = 20,
         .select(
             "customer_code", "customer_name", "city", "country", "total_orders",
             "total_items_bought",
-            as_double(spend).alias("lifetime_spend"),
-            ratio(spend, F.col("lines")).alias("avg_item_spend"),
+            dollars(spend).alias("lifetime_spend"),
+            mean_dollars(spend, F.col("lines")).alias("avg_item_spend"),
             "most_recent_purchase",
-            spend_tier(spend, VALUE_TIER_NAMES, hi, mid).alias("spending_segment"),
+            spend_tier(spend, VALUE_TIER_NAMES, hi * 100, mid * 100).alias("spending_segment"),
         )
     )
 
@@ -191,8 +191,8 @@ def running_total(star: Star, days: int = 30) -> DataFrame:
         .select(
             "order_date",
             "daily_orders",
-            as_double(F.col("revenue")).alias("daily_revenue"),
-            as_double(F.sum("revenue").over(up_to_today)).alias("cumulative_revenue"),
+            dollars(F.col("revenue")).alias("daily_revenue"),
+            dollars(F.sum("revenue").over(up_to_today)).alias("cumulative_revenue"),
         )
         .orderBy(F.desc("order_date"))
         .limit(days)
@@ -201,9 +201,9 @@ def running_total(star: Star, days: int = 30) -> DataFrame:
 
 def category_profit(star: Star, min_orders: int = 100) -> DataFrame:
     """Revenue, cost and margin of categories with enough completed orders."""
-    cost = F.sum(F.col("quantity") * F.col("cost_price")).alias("cost")
-    revenue, spent = F.col("revenue").cast("double"), F.col("cost").cast("double")
-    profit = (F.col("revenue") - F.col("cost")).cast("double")
+    cost = F.sum(F.col("quantity") * cents(F.col("cost_price"))).alias("cost")
+    revenue, spent = dollars(F.col("revenue")), dollars(F.col("cost"))
+    profit = dollars(F.col("revenue") - F.col("cost"))
     return (
         category_totals(star, COMPLETED_ONLY, cost, columns=("cost_price",))
         .where(F.col("orders") >= min_orders)
@@ -266,7 +266,7 @@ def orders_table(
         "order_id", "order_number", "order_date", "customer_code", "customer_name", "region_name",
         "payment_method", "order_status",
         F.col("lines").alias("items_count"),
-        as_double(F.col("revenue")).alias("order_total"),
+        dollars(F.col("revenue")).alias("order_total"),
     )
 
 

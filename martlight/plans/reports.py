@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martlight.functions.money import dollars
 from martlight.operators import export, metrics, ranking
 from martlight.operators.base import sales_base
 from martlight.operators.filters import EVERYTHING, SalesFilter, date_preset
@@ -43,9 +44,9 @@ def _lines(star, flt: SalesFilter) -> DataFrame:
     return sales_base(star, flt).select(
         "order_id", "product_id", "customer_id", "region_id", "order_date", "payment_method",
         "order_status", "quantity",
-        F.col("unit_price").cast("double").alias("unit_price"),
+        dollars(F.col("unit_cents")).alias("unit_price"),
         F.col("discount_rate").cast("double").alias("discount_rate"),
-        F.col("total_price").cast("double").alias("total_price"),
+        dollars(F.col("total_cents")).alias("total_price"),
     )
 
 
@@ -74,7 +75,7 @@ def _star_tables(star) -> DataFrame:
 
 def _status_counts(star, flt: SalesFilter) -> DataFrame:
     return sales_base(star, flt, order_columns=("order_status",)).groupBy("order_status").agg(
-        F.count("*").alias("line_count"), F.sum("total_price").cast("double").alias("revenue")
+        F.count("*").alias("line_count"), dollars(F.sum("total_cents")).alias("revenue")
     )
 
 

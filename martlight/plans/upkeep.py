@@ -10,7 +10,7 @@ from martlight.operators.adhoc import guarded_query
 from martlight.operators.master import ensure_master
 from martlight.plans import gen_sql as sql
 from martlight.plans.star_sql import star as star_sql
-from martlight.sources.bound import bind_star
+from martlight.sources.bound import bind_star, read_table
 from martlight.sources.star import Star, register_views
 
 DELETED_CITY = "NATION_7"
@@ -28,7 +28,7 @@ FROM monthly WHERE orders > 0{tail}"""
 
 
 def _order_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    return read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
 
 
 class _Sales:
@@ -77,7 +77,7 @@ def _dimensions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _customers(spark: SparkSession, folder: str) -> DataFrame:
-    keys = spark.read.parquet(f"{folder}/customer.parquet")
+    keys = read_table(spark, folder, "customer")
     return generate.new_customers(keys.select((F.col("c_custkey") + 1).alias("id")))
 
 

@@ -8,29 +8,63 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from martlight.functions.money import MONEY, PRICE, RATE, line_total
+from martlight.functions.money import MONEY, PRICE, RATE, from_cents
 from martlight.sources.star import Star
 
 INLINE_CATEGORIES = 1000
 
+# Declared here, a table needs no job to look into its files first.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+        "p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+}
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+
+
+# Category names per application and folder. Test folders do not change while a session runs.
+_found_names: dict[tuple[str, str], list[str] | None] = {}
+
+
+def _short_list(spark: SparkSession, folder: str) -> list[str] | None:
+    """The category names in order, or None when there are too many to hold inline."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _found_names:
+        names = _category_names(lambda name: read_table(spark, folder, name))
+        head = names.orderBy("category_name").limit(INLINE_CATEGORIES + 1).collect()
+        found = [row.category_name for row in head]
+        _found_names[key] = found if len(found) <= INLINE_CATEGORIES else None
+    return _found_names[key]
+
 
 def bind_star(spark: SparkSession, folder: str) -> Star:
     @cache
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
-
-    @cache
-    def short_list() -> list[str] | None:
-        """The category names in order, or None when there are too many to hold inline."""
-        names = _category_names(read).orderBy("category_name").limit(INLINE_CATEGORIES + 1)
-        found = [row.category_name for row in names.collect()]
-        return found if len(found) <= INLINE_CATEGORIES else None
+        return read_table(spark, folder, name)
 
     builders = {
         "regions": lambda: _regions(read),
-        "categories": lambda: _categories(read, short_list()),
+        "categories": lambda: _categories(read, _short_list(spark, folder)),
         "customers": lambda: _customers(read),
-        "products": lambda: _products(read, short_list()),
+        "products": lambda: _products(read, _short_list(spark, folder)),
         "orders": lambda: _orders(read),
         "order_items": lambda: _order_items(read),
     }
@@ -154,17 +188,20 @@ def _orders(read) -> DataFrame:
 
 
 def _order_items(read) -> DataFrame:
-    amount = F.col("l_extendedprice").cast(MONEY)
-    cents = (amount * 100).cast("bigint")
+    # Integer arithmetic throughout: cents, ten-thousandths of discount, halves rounded up.
     quantity = F.col("l_quantity").cast("int")
-    # Cents per unit, half up, in integer arithmetic.
-    unit_cents = F.call_function("div", cents * 2 + quantity, quantity * 2)
-    discount = F.col("l_discount").cast(RATE)
+    amount = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+    discount = F.rint(F.col("l_discount") * 10000).cast("bigint")
+    half = F.when(amount < 0, -5000).otherwise(5000)
+    total_cents = F.call_function("div", amount * (F.lit(10000) - discount) + half, F.lit(10000))
+    unit_cents = F.call_function("div", amount * 2 + quantity, quantity * 2)
     return read("lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         quantity.alias("quantity"),
-        (unit_cents.cast("decimal(12,0)") / 100).cast(PRICE).alias("unit_price"),
-        discount.alias("discount_rate"),
-        line_total(amount, discount).alias("total_price"),
+        from_cents(unit_cents, PRICE).alias("unit_price"),
+        F.col("l_discount").cast(RATE).alias("discount_rate"),
+        from_cents(total_cents).alias("total_price"),
+        unit_cents.alias("unit_cents"),
+        total_cents.alias("total_cents"),
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlight.sources.bound import order_number, product_code
+from martlight.sources.bound import order_number, product_code, read_table
 from martlight.sources.upload import ROW_INDEX
 
 
@@ -21,7 +21,7 @@ def _cases(pairs: list[tuple[Column, object]], other: object) -> Column:
 
 
 def dirty_rows(spark: SparkSession, folder: str) -> DataFrame:
-    orders = spark.read.parquet(f"{folder}/orders.parquet").select(
+    orders = read_table(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("d")
     )
     k, cust, d = F.col("o_orderkey"), F.col("o_custkey"), F.col("d")

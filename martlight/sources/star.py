@@ -7,12 +7,23 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martlight.functions.money import cents
 from martlight.schema import SCHEMAS, TABLE_NAMES, column_types
 
 # Tables whose rows are only ever added; the others are written whole for each version.
 APPEND_ONLY = ("regions", "categories", "products", "order_items", "data_import_logs")
 
 
+def _with_cents(items: DataFrame) -> DataFrame:
+    """Order items with their money also as BIGINT cents, for sums. Unused columns cost nothing."""
+    missing = {
+        name: cents(F.col(source))
+        for name, source in (("unit_cents", "unit_price"), ("total_cents", "total_price"))
+        if name not in items.columns
+    }
+    return items.withColumns(missing) if missing else items
+
+
 class Star:
     """Six tables by name. Frames are built on first use, so a query binds only what it reads.
 
@@ -27,7 +38,8 @@ class Star:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
-            self._frames[name] = self._build(name)
+            rows = self._build(name)
+            self._frames[name] = _with_cents(rows) if name == "order_items" else rows
         return self._frames[name]
 
     regions = property(lambda self: self.table("regions"))
@@ -47,7 +59,8 @@ class Star:
 
 def register_views(star: Star) -> None:
     for name in TABLE_NAMES:
-        star.table(name).createOrReplaceTempView(name)
+        columns = [c for c, _ in column_types(name)]
+        star.table(name).select(*columns).createOrReplaceTempView(name)
 
 
 def table_row_counts(spark: SparkSession) -> DataFrame:
