@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted notations, tried in this order (month before day when both fit).
-NUMERIC_FORMATS = (
-    "yyyy-M-d", "yyyy/M/d", "yyyyMMdd",
-    "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M.d.yyyy", "d.M.yyyy",
-    "M/d/yy", "d/M/yy",
+# Accepted notations by the shape of the text. Month before day when both fit.
+NOTATIONS = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
+    (r"^\d{8}$", ("yyyyMMdd",)),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy", "d/M/yyyy")),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy", "d-M-yyyy")),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ("M.d.yyyy", "d.M.yyyy")),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", ("M/d/yy", "d/M/yy")),
+    (r"^\d{4}-\d{1,2}$", ("yyyy-M",)),
+    (r"^\d{4}$", ("yyyy",)),
+)
+NAMED_MONTH_NOTATIONS = (
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ("d-MMM-yyyy",)),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ("MMM d, yyyy",)),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ("d MMM yyyy",)),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ("d MMMM yyyy",)),
+    (r"^[A-Za-z]{3} \d{4}$", ("MMM yyyy",)),
+    (r"^\d{1,2}-[A-Za-z]{4,9}-\d{4}$", ("d-MMMM-yyyy",)),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", ("MMMM d, yyyy",)),
+    (r"^[A-Za-z]{4,9} \d{4}$", ("MMMM yyyy",)),
 )
-NAMED_MONTH_FORMATS = ("MMM d, yyyy", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM yyyy")
-PARTIAL_FORMATS = ("yyyy-M", "yyyy")
 TIME_SUFFIX = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?Z?$"
 
 
+def _first_fit(day: Column, formats: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.try_to_date(day, f) for f in formats])
+
+
 def parse_mixed_date(text: Column) -> Column:
-    """DATE for any accepted notation, null otherwise. ``coalesce`` stops at the first hit."""
+    """DATE for any accepted notation, null otherwise.
+
+    The shape picks the one or two formats that can fit. Trying every format on every row would raise
+    and swallow a Java exception per miss, which costs far more than the parsing.
+    """
     day = F.regexp_replace(F.trim(text), TIME_SUFFIX, "")
-    attempts = [F.try_to_date(day, f) for f in NUMERIC_FORMATS]
-    attempts += [F.try_to_date(F.initcap(day), f) for f in NAMED_MONTH_FORMATS]
-    attempts += [F.try_to_date(day, f) for f in PARTIAL_FORMATS]
-    return F.coalesce(*attempts)
+    shapes = [(day.rlike(s), _first_fit(day, formats)) for s, formats in NOTATIONS]
+    # Month names parse in title case only.
+    shapes += [
+        (day.rlike(s), _first_fit(F.initcap(day), formats)) for s, formats in NAMED_MONTH_NOTATIONS
+    ]
+    return reduce(lambda chain, shape: chain.when(*shape), shapes[1:], F.when(*shapes[0]))

@@ -54,12 +54,19 @@ def _first_rows(cleaned: DataFrame, key: str, *attributes: str) -> DataFrame:
     )
 
 
+def number_new(cleaned: DataFrame, key: str, existing: DataFrame, id_column: str,
+               *attributes: str) -> DataFrame:
+    """Keys the existing table lacks, numbered on from its largest id by first appearance.
+
+    Ids are given before anything is joined: numbering reads its input twice.
+    """
+    unknown = _first_rows(cleaned, key, *attributes).join(existing.select(key), key, "left_anti")
+    return next_ids(unknown, "first_row", existing, id_column)
+
+
 def new_customers(cleaned: DataFrame, customers: DataFrame) -> DataFrame:
     code = F.col("customer_code")
-    unknown = _first_rows(cleaned, "customer_code").join(
-        customers.select("customer_code"), "customer_code", "left_anti"
-    )
-    rows = next_ids(unknown, "first_row", customers, "customer_id").withColumns({
+    rows = number_new(cleaned, "customer_code", customers, "customer_id").withColumns({
         "first_name": F.lit(IMPORTED_FIRST_NAME),
         "last_name": F.concat(F.lit("User_"), F.right(code, F.lit(4))),
         "email": F.concat(F.lower(code), F.lit(IMPORTED_EMAIL_DOMAIN)),
@@ -72,10 +79,7 @@ def new_customers(cleaned: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def new_categories(cleaned: DataFrame, categories: DataFrame) -> DataFrame:
-    unknown = _first_rows(cleaned, "category_name").join(
-        categories.select("category_name"), "category_name", "left_anti"
-    )
-    rows = next_ids(unknown, "first_row", categories, "category_id")
+    rows = number_new(cleaned, "category_name", categories, "category_id")
     return _shaped(rows.withColumn("description", F.lit(IMPORTED_CATEGORY)), "categories")
 
 
@@ -86,18 +90,16 @@ def _first_id(dimension: DataFrame, id_column: str) -> Column:
 
 def new_products(cleaned: DataFrame, products: DataFrame, categories: DataFrame) -> DataFrame:
     """Unknown product codes with name, price and category of their first row."""
-    unknown = _first_rows(
-        cleaned, "product_code", "product_name", "unit_price", "category_name"
-    ).join(products.select("product_code"), "product_code", "left_anti")
-    priced = unknown.join(
+    numbered = number_new(cleaned, "product_code", products, "product_id",
+                          "product_name", "unit_price", "category_name")
+    price = F.col("unit_price").cast(PRICE)
+    rows = numbered.join(
         categories.select("category_name", "category_id"), "category_name", "left"
     ).withColumns({
-        "unit_price": F.col("unit_price").cast(PRICE),
         "category_id": F.coalesce("category_id", _first_id(categories, "category_id")),
-    })
-    cost = F.round(F.col("unit_price") * F.lit(COST_SHARE).cast("decimal(3,2)"), 2)
-    rows = next_ids(priced, "first_row", products, "product_id").withColumns({
-        "cost_price": cost, "sku": F.col("product_code"), "is_active": F.lit(True),
+        "cost_price": F.round(price * F.lit(COST_SHARE).cast("decimal(3,2)"), 2),
+        "sku": F.col("product_code"),
+        "is_active": F.lit(True),
     })
     return _shaped(rows, "products")
 
@@ -129,13 +131,18 @@ def look_up_regions(rollup: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
+def number_new_orders(rollup: DataFrame, orders: DataFrame) -> DataFrame:
+    """Rolled-up orders whose number is not known yet, with their new ids."""
+    unknown = rollup.join(orders.select("order_number"), "order_number", "left_anti")
+    return next_ids(unknown, "first_row", orders, "order_id")
+
+
 def new_orders(rollup: DataFrame, orders: DataFrame, customers: DataFrame,
                regions: DataFrame) -> DataFrame:
-    unknown = rollup.join(orders.select("order_number"), "order_number", "left_anti")
-    placed = look_up_regions(unknown, regions).join(
+    placed = look_up_regions(number_new_orders(rollup, orders), regions).join(
         customers.select("customer_code", "customer_id"), "customer_code", "left"
     )
-    rows = next_ids(placed, "first_row", orders, "order_id").withColumns({
+    rows = placed.withColumns({
         "customer_id": F.coalesce("customer_id", _first_id(customers, "customer_id")),
         "order_timestamp": F.col("order_date").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS"),
         "shipping_cost": F.lit(0),

@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlight.operators import ingest
-from martlight.operators.cleaning import CLEANED_COLUMNS, Cleaning, clean, map_headers
+from martlight.operators.cleaning import (
+    CLEANED_COLUMNS,
+    Cleaning,
+    clean,
+    load_staged,
+    map_headers,
+    stage,
+)
 from martlight.operators.export import write_csv
 from martlight.operators.master import ensure_master
 from martlight.plans import clean_sql as sql
@@ -59,7 +66,10 @@ class _Import:
     def __init__(self, spark: SparkSession, folder: str):
         self.old = bind_star(spark, folder)
         self.base = ensure_master(spark, self.old)
-        self.cleaned = _cleaning(spark, folder).cleaned()
+        # An import starts from staged rows, so the cleaning runs once for all its steps.
+        path = scratch_path(spark, "stage")
+        stage(dirty_rows(spark, folder), path, AS_OF)
+        self.cleaned = load_staged(spark, path).cleaned()
         self.rollup = ingest.roll_up_orders(self.cleaned)
 
     def customers(self) -> DataFrame:
@@ -108,8 +118,12 @@ def _upserted(i: _Import) -> DataFrame:
 
 def _items(i: _Import) -> DataFrame:
     names = ("product_id", "product_code")
-    products = i.base.products.select(*names).unionByName(i.new_products().select(*names))
-    items = ingest.new_items(i.cleaned, i.orders(), products)
+    added = ingest.number_new(i.cleaned, "product_code", i.base.products, "product_id")
+    products = i.base.products.select(*names).unionByName(added.select(*names))
+    names = ("order_id", "order_number")
+    added = ingest.number_new_orders(i.rollup, i.old.orders)
+    orders = i.old.orders.select(*names).unionByName(added.select(*names))
+    items = ingest.new_items(i.cleaned, orders, products)
     money = {c: F.col(c).cast("double") for c in ("unit_price", "discount_rate", "total_price")}
     return items.withColumns(money)
 
