@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from martlight.functions.numbering import number_rows, running_total
 from martlight.operators.ingest import next_ids, refresh_segments
 from martlight.operators.master import REGIONS, ensure_master, products
 from martlight.schema import column_types
-from martlight.sources.star import Star
+from martlight.sources.star import Star, read_star, write_table
 
 # Distributions of the generated sales.
 FIRST_DAY = dt.date(2023, 1, 1)
@@ -41,6 +42,9 @@ ENOUGH_CUSTOMERS = 1500
 CUSTOMER_DAYS = 701
 DEFAULT_RECORDS = 50_000
 RECORD_BOUNDS = (1_000, 100_000)
+LOG_FILENAME = "synthetic_sales_generator"
+LOG_FILE_TYPE = "Synthetic Generator"
+LOG_STATUS = "Generated"
 
 # Sample values of generated customers; own choice, nothing depends on them.
 FIRST_NAMES = ("Ada", "Ben", "Chloe", "Dev", "Elif", "Finn", "Grace", "Hugo", "Ines", "Jonas")
@@ -275,18 +279,29 @@ def _candidate_count(total_records: int) -> int:
     return 2 * total_records + 1_000
 
 
+@dataclass(frozen=True)
+class GeneratedSales:
+    """The grown star, the item rows that are new in it, and the flat sales rows."""
+
+    star: Star
+    new_items: DataFrame
+    flat: DataFrame
+
+
+def _typed(df: DataFrame, table: str) -> DataFrame:
+    return df.select(*[F.col(c).cast(kind).alias(c) for c, kind in column_types(table)])
+
+
 def generate(spark: SparkSession, star: Star, total_records: int = DEFAULT_RECORDS
-             ) -> tuple[Star, DataFrame]:
-    """The star with generated orders added, and the flat rows of the new sales."""
+             ) -> GeneratedSales:
+    """Add generated orders to a star, with master records and customers where they are missing."""
     base = ensure_master(spark, star)
     customers = base.customers
     if customers.limit(ENOUGH_CUSTOMERS).count() < ENOUGH_CUSTOMERS:
         made = next_ids(
             new_customers(spark.range(1, CUSTOMER_COUNT + 1)), "id", customers, "customer_id")
         fresh = made.join(customers.select("customer_code"), "customer_code", "left_anti")
-        kinds = column_types("customers")
-        customers = customers.select(*[F.col(c).cast(k).alias(c) for c, k in kinds]).unionByName(
-            fresh.select(*[F.col(c).cast(k).alias(c) for c, k in kinds]))
+        customers = _typed(customers, "customers").unionByName(_typed(fresh, "customers"))
 
     next_order = base.orders.agg(
         (F.coalesce(F.max("order_id"), F.lit(0)) + 1).cast("bigint").alias("n")).scalar()
@@ -300,19 +315,48 @@ def generate(spark: SparkSession, star: Star, total_records: int = DEFAULT_RECOR
         "region_name").agg(F.min("region_id").alias("region_id"))
     codes = base.products.where(F.col("product_code").isin(*[p[0] for p in products()])).groupBy(
         "product_code").agg(F.min("product_id").alias("product_id"))
-    order_rows = orders.join(F.broadcast(regions), "region_name").withColumns({
+    new_orders = orders.join(F.broadcast(regions), "region_name").withColumns({
         "discount_amount": F.lit(0), "is_synthetic": F.lit(True)})
-    item_rows = items.join(F.broadcast(codes), "product_code")
-
-    def appended(table: str, rows: DataFrame) -> DataFrame:
-        kinds = column_types(table)
-        return base.table(table).select(*[F.col(c).cast(k).alias(c) for c, k in kinds]).unionByName(
-            rows.select(*[F.col(c).cast(k).alias(c) for c, k in kinds]))
-
-    all_orders = appended("orders", order_rows)
+    new_items = _typed(items.join(F.broadcast(codes), "product_code"), "order_items")
+    all_orders = _typed(base.orders, "orders").unionByName(_typed(new_orders, "orders"))
     grown = base.replace({
         "customers": refresh_segments(customers, all_orders),
         "orders": all_orders,
-        "order_items": appended("order_items", item_rows),
+        "order_items": _typed(base.order_items, "order_items").unionByName(new_items),
     })
-    return grown, flat_rows(orders, items)
+    return GeneratedSales(grown, new_items, flat_rows(orders, items))
+
+
+def generation_log(flat: DataFrame, import_id: Column, created_at: dt.datetime) -> DataFrame:
+    """The import log row of a generator run: everything valid, nothing filled in."""
+    counted = flat.agg(F.count("*").alias("total_rows"))
+    message = "Generated %,d realistic synthetic sales records spanning 2023-2026."
+    return _typed(counted.withColumns({
+        "import_id": import_id,
+        "filename": F.lit(LOG_FILENAME),
+        "file_type": F.lit(LOG_FILE_TYPE),
+        "valid_records": F.col("total_rows"),
+        "duplicate_rows": F.lit(0),
+        "missing_values_handled": F.lit(0),
+        "rejected_rows": F.lit(0),
+        "quality_score": F.lit(100.0),
+        "status": F.lit(LOG_STATUS),
+        "audit_details": F.format_string(message, F.col("total_rows")),
+        "created_at": F.lit(created_at.isoformat(sep=" ")).cast("timestamp_ntz"),
+    }), "data_import_logs")
+
+
+def seed_star(spark: SparkSession, root: str, version: int, total_records: int,
+              created_at: dt.datetime) -> int:
+    """Write generated sales as star version ``version`` + 1 and return that number."""
+    old, new = read_star(spark, root, version), version + 1
+    sales, extra = generate(spark, old, total_records), ensure_master(spark, old, missing_only=True)
+    for table in ("regions", "categories", "products"):
+        write_table(extra.table(table), root, table, new)
+    write_table(sales.star.orders, root, "orders", new)
+    write_table(sales.star.customers, root, "customers", new)
+    write_table(sales.new_items, root, "order_items", new)
+    log = old.table("data_import_logs")
+    next_id = log.agg((F.coalesce(F.max("import_id"), F.lit(0)) + 1).alias("n")).scalar()
+    write_table(generation_log(sales.new_items, next_id, created_at), root, "data_import_logs", new)
+    return new

@@ -2,7 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 from martlight.operators.cleaning import load_staged, stage
-from martlight.operators.generate import generate
+from martlight.operators.generate import generate, seed_star
 from martlight.operators.export import write_csv, write_report
 from martlight.operators.filters import EVERYTHING
 from martlight.operators.ingest import commit
@@ -99,7 +99,8 @@ def test_commit_again(spark):
 
 
 def test_generated_sales(spark):
-    grown, flat = generate(spark, make_star(spark), 300)
+    sales = generate(spark, make_star(spark), 300)
+    grown, flat = sales.star, sales.flat
     new = grown.orders.where("order_id > 5")
     items = grown.order_items.where("order_id > 5")
     count = items.count()
@@ -152,3 +153,20 @@ def test_report_files(spark):
     assert {r.metric: r.value for r in summary}["TOTAL REVENUE"] == "$74.50"
     regions = spark.read.option("header", True).csv(f"{folder}/regional_analysis")
     assert "Revenue Share %" in regions.columns and regions.count() == 2
+
+
+def test_seed(spark):
+    root = scratch_path(spark, "star")
+    write_star(spark, make_star(spark), root)
+    assert seed_star(spark, root, 0, 150, NOW) == 1
+    star = read_star(spark, root, 1)
+    added = star.order_items.count() - len(ROWS["order_items"])
+    assert 150 <= added <= 153
+    assert orphans(star).where("orphan_rows > 0").count() == 0
+    assert star.products.count() == 37 and star.regions.count() == 7
+    log = star.table("data_import_logs").first()
+    assert (log.status, log.total_rows, log.quality_score) == ("Generated", added, 100.0)
+    totals = star.orders.where("order_id > 5").selectExpr(
+        "sum(total_amount - shipping_cost) s").first().s
+    assert totals == star.order_items.where("order_id > 5").selectExpr(
+        "sum(total_price) s").first().s
