@@ -79,12 +79,24 @@ def region_totals(star: Star, flt: SalesFilter) -> DataFrame:
     )
 
 
+def best_named(star: Star, totals: DataFrame, names: DataFrame, key: str, amount: str,
+               limit: int) -> DataFrame:
+    """The rows with the largest ``amount``, joined to the dimension that names them.
+
+    Rows without a dimension row do not count. With verified keys there are none: then only the
+    winners meet the dimension, which is read but not shuffled.
+    """
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.orderBy(F.desc(amount), key).limit(limit)
+
+    return cut((cut(totals) if star.keys_verified else totals).join(names, key))
+
+
 def kpi_best_product(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
+    names = star.products.select("product_id", "product_name")
     return (
-        product_revenue(star, flt)
-        .join(star.products.select("product_id", "product_name"), "product_id")
-        .orderBy(F.desc("revenue"), "product_id")
-        .limit(1)
+        best_named(star, product_revenue(star, flt), names, "product_id", "revenue", 1)
         .select(F.col("product_name").alias("name"), dollars(F.col("revenue")).alias("revenue"))
     )
 

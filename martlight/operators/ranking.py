@@ -13,6 +13,7 @@ from martlight.functions.text import full_name
 from martlight.operators.base import order_grain
 from martlight.operators.filters import EVERYTHING, SalesFilter
 from martlight.operators.metrics import (
+    best_named,
     category_totals,
     customer_totals,
     monthly_totals,
@@ -33,19 +34,14 @@ COMPLETED_ONLY = SalesFilter(order_status=COMPLETED)
 NO_BASELINE = "N/A (Baseline)"
 
 
-def _named_products(star: Star, flt: SalesFilter, *columns: str) -> DataFrame:
-    return product_revenue(star, flt).join(
-        star.products.select("product_id", "category_id", *columns), "product_id"
-    )
-
-
 def top_products(star: Star, flt: SalesFilter = EVERYTHING, limit: int = 10) -> DataFrame:
-    """Best sellers. The category name is joined to the few winners' rows, whose category exists by
-    a semi join before the cut."""
-    ranked = _named_products(star, flt, "product_code", "product_name", "unit_price")
+    """Best sellers. Category names are joined to the winners only."""
+    products = star.products.select(
+        "product_id", "category_id", "product_code", "product_name", "unit_price")
     if not star.keys_verified:
-        ranked = ranked.join(star.categories.select("category_id"), "category_id", "left_semi")
-    winners = ranked.orderBy(F.desc("revenue"), "product_id").limit(limit)
+        products = products.join(star.categories.select("category_id"), "category_id", "left_semi")
+    winners = best_named(
+        star, product_revenue(star, flt), products, "product_id", "revenue", limit)
     return (
         winners.join(star.categories.select("category_id", "category_name"), "category_id")
         .select(
@@ -64,17 +60,13 @@ def top_customers(star: Star, flt: SalesFilter = EVERYTHING, limit: int = 10) ->
         full_name(F.col("first_name"), F.col("last_name")).alias("customer_name"),
         "email", "city", "country",
     )
-    return (
-        customer_totals(star, flt)
-        .join(customers, "customer_id")
-        .orderBy(F.desc("spend"), "customer_id")
-        .limit(limit)
-        .select(
-            *customers.columns,
-            F.col("orders").alias("orders_count"),
-            dollars(F.col("spend")).alias("total_spent"),
-            mean_dollars(F.col("spend"), F.col("orders")).alias("avg_order_val"),
-        )
+    winners = best_named(
+        star, customer_totals(star, flt), customers, "customer_id", "spend", limit)
+    return winners.select(
+        *customers.columns,
+        F.col("orders").alias("orders_count"),
+        dollars(F.col("spend")).alias("total_spent"),
+        mean_dollars(F.col("spend"), F.col("orders")).alias("avg_order_val"),
     )
 
 
@@ -127,8 +119,10 @@ def top_products_per_category(star: Star, keep: int = 3) -> DataFrame:
     sends only its leaders to the ranking task.
     """
     by_revenue = Window.partitionBy("category_id").orderBy(F.desc("revenue"))
+    products = star.products.select("product_id", "category_id", "product_code", "product_name")
     leaders = (
-        _named_products(star, EVERYTHING, "product_code", "product_name")
+        product_revenue(star, EVERYTHING)
+        .join(products, "product_id")
         .withColumn("category_rank", F.rank().over(by_revenue))
         .where(F.col("category_rank") <= keep)
     )
@@ -164,18 +158,13 @@ def customer_value(star: Star, limit: int = 20,
         full_name(F.col("first_name"), F.col("last_name")).alias("customer_name"),
         "city", "country",
     )
-    return (
-        metrics.join(customers, "customer_id")
-        .orderBy(F.desc("spend"), "customer_id")
-        .limit(limit)
-        .select(
-            "customer_code", "customer_name", "city", "country", "total_orders",
-            "total_items_bought",
-            dollars(spend).alias("lifetime_spend"),
-            mean_dollars(spend, F.col("lines")).alias("avg_item_spend"),
-            "most_recent_purchase",
-            spend_tier(spend, VALUE_TIER_NAMES, hi * 100, mid * 100).alias("spending_segment"),
-        )
+    return best_named(star, metrics, customers, "customer_id", "spend", limit).select(
+        "customer_code", "customer_name", "city", "country", "total_orders",
+        "total_items_bought",
+        dollars(spend).alias("lifetime_spend"),
+        mean_dollars(spend, F.col("lines")).alias("avg_item_spend"),
+        "most_recent_purchase",
+        spend_tier(spend, VALUE_TIER_NAMES, hi * 100, mid * 100).alias("spending_segment"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ROW_INDEX = "row_idx"
+BROADCAST_BLOCKS = 100_000
 
 # Cell texts that count as missing.
 MISSING_TOKENS = (
@@ -32,15 +33,18 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    return with_row_index(located)
+    # A scan partition holds at most one block of full size, and each file at most one shorter one.
+    blocks = text.rdd.getNumPartitions() + len(text.inputFiles())
+    return with_row_index(located, few_blocks=blocks <= BROADCAST_BLOCKS)
 
 
-def with_row_index(located: DataFrame) -> DataFrame:
+def with_row_index(located: DataFrame, few_blocks: bool = False) -> DataFrame:
     """Turn (_file, _start, _id) into consecutive numbers from 0 in file order.
 
     Inside one block of one file the id grows by one per row, so a row's number is the count of rows
     in all earlier blocks plus its distance from the first id of its block. Only one row per block
-    (about one per 128 MB) is ordered in a single task; the rows themselves are not shuffled.
+    (about one per 128 MB) is ordered in a single task. With few blocks their offsets are broadcast
+    and the rows stay where they were read; otherwise rows are shuffled by block.
     """
     blocks = located.groupBy("_file", "_start").agg(
         F.count("*").alias("_rows"), F.min("_id").alias("_first")
@@ -50,7 +54,7 @@ def with_row_index(located: DataFrame) -> DataFrame:
         "_file", "_start", "_first",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
     )
-    numbered = located.join(offsets, ["_file", "_start"])
+    numbered = located.join(F.broadcast(offsets) if few_blocks else offsets, ["_file", "_start"])
     position = F.col("_before") + F.col("_id") - F.col("_first")
     return numbered.withColumn(ROW_INDEX, position).drop(
         "_file", "_start", "_id", "_first", "_before"

@@ -152,7 +152,8 @@ def test_verified_keys_leave_out_existence_joins(spark):
     trusted = star.replace(keys_verified=True)
     assert "part.parquet" in plan(metrics.kpi_primary(star))
     assert "part.parquet" not in plan(metrics.kpi_primary(trusted))
-    for report in (metrics.kpi_primary, metrics.region_performance, ranking.top_products,
+    for report in (metrics.kpi_primary, metrics.region_performance, metrics.kpi_best_product,
+                   ranking.top_products, ranking.top_customers, ranking.customer_value,
                    ranking.orders_table):
         assert report(star).collect() == report(trusted).collect()
 
