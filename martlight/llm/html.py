@@ -81,6 +81,7 @@ SHAPES = (
     (2, 0.0, 1, 0.0, 0, 0.0, 0, 1),
     (1, 0.0, 0, 0.0, 2, 0.0, 0, 1),
     (8, 0.0, 2, 1.0, 50, 0.0, 1, 1),
+    (2, 0.0, 3, 1.0, 45, 0.0, 1, 1),
     (4, 0.0, 70, 0.0, 45, 0.0, 1, 1),
     (5, 0.0, 0, 0.0, 70, 0.0, 1, 1),
     (50, 0.0, 0, 0.0, 0, 0.0, 0, 1),
