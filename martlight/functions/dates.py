@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from martlight.functions.text import strip
+
 # Accepted notations by the shape of the text. Month before day when both fit.
 NOTATIONS = (
     (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
+    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", ("yyyy.M.d",)),
     (r"^\d{8}$", ("yyyyMMdd",)),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy", "d/M/yyyy")),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy", "d-M-yyyy")),
@@ -21,31 +24,38 @@ NOTATIONS = (
 )
 NAMED_MONTH_NOTATIONS = (
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ("d-MMM-yyyy",)),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ("MMM d, yyyy",)),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", ("MMM d yyyy",)),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ("d MMM yyyy",)),
     (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ("d MMMM yyyy",)),
     (r"^[A-Za-z]{3} \d{4}$", ("MMM yyyy",)),
     (r"^\d{1,2}-[A-Za-z]{4,9}-\d{4}$", ("d-MMMM-yyyy",)),
-    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", ("MMMM d, yyyy",)),
+    (r"^[A-Za-z]{4,9} \d{1,2} \d{4}$", ("MMMM d yyyy",)),
     (r"^[A-Za-z]{4,9} \d{4}$", ("MMMM yyyy",)),
 )
-TIME_SUFFIX = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?Z?$"
+# A time of day, with AM or PM, a zone offset, or neither.
+TIME_SUFFIX = r",?[T ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)? ?([AaPp]\.?[Mm]\.?)? ?(Z|UTC|GMT|[+-]\d{2}:?\d{2})?$"
+WEEKDAY = r"^(?i:mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(?i:day)?\.?,? +"
 
 
 def _first_fit(day: Column, formats: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_to_date(day, f) for f in formats])
 
 
-def parse_mixed_date(text: Column) -> Column:
-    """DATE for any accepted notation, null otherwise.
+def date_text(text: Column) -> Column:
+    """The day in a cell's text: no time of day, weekday, commas or surrounding blanks; names of
+    months in title case, as only those parse."""
+    day = F.regexp_replace(F.regexp_replace(strip(text), TIME_SUFFIX, ""), WEEKDAY, "")
+    return F.initcap(F.replace(day, F.lit(","), F.lit("")))
+
+
+def parse_mixed_date(day: Column) -> Column:
+    """DATE for any accepted notation of ``date_text``, null otherwise.
 
     The shape picks the one or two formats that can fit. Trying every format on every row would raise
     and swallow a Java exception per miss, which costs far more than the parsing.
     """
-    day = F.regexp_replace(F.trim(text), TIME_SUFFIX, "")
-    shapes = [(day.rlike(s), _first_fit(day, formats)) for s, formats in NOTATIONS]
-    # Month names parse in title case only.
-    shapes += [
-        (day.rlike(s), _first_fit(F.initcap(day), formats)) for s, formats in NAMED_MONTH_NOTATIONS
+    shapes = [
+        (day.rlike(shape), _first_fit(day, formats))
+        for shape, formats in (*NOTATIONS, *NAMED_MONTH_NOTATIONS)
     ]
     return reduce(lambda chain, shape: chain.when(*shape), shapes[1:], F.when(*shapes[0]))

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(12,2)"
-PRICE = "decimal(10,2)"
+MONEY = "decimal(20,2)"
+PRICE = "decimal(20,2)"
+TOTAL = "decimal(38,2)"
+#: Line money from here on is refused with a reason: its cents would not be exact in a DOUBLE.
+TOO_LARGE = 1e13
 RATE = "decimal(5,4)"
 
 
 def cents(amount: Column) -> Column:
-    """BIGINT cents of an amount with two decimals. Exact: such amounts stay far below 2^53 cents.
+    """BIGINT cents of an amount with two decimals. Exact: stored amounts stay below 2^53 cents.
 
     Line money is summed in cents. Long arithmetic stays in generated code on primitive values, where
     a DECIMAL sum of this precision builds an object per row. A BIGINT holds 92 quadrillion dollars,

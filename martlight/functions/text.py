@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+# White space of any kind: also tabs, line breaks and the spaces of Unicode.
+SPACE = r"[\s\p{Z}\u001c-\u001f\u0085]"
+
+
+NUMBER_PATTERN = rf"^{SPACE}*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?{SPACE}*$"
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def full_name(first: Column, last: Column) -> Column:
     return F.concat(first, F.lit(" "), last)
 
 
-def is_blank(text: Column) -> Column:
-    return text.isNull() | (F.trim(text) == "")
+def is_blank(stripped: Column) -> Column:
+    return stripped.isNull() | (stripped == "")
 
 
 def title_case(text: Column) -> Column:
@@ -27,4 +37,4 @@ def title_case(text: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """DOUBLE for plain decimal notation, null for anything else (``12f``, ``1,200``, ``NaN``)."""
-    return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
+    return F.when(text.rlike(NUMBER_PATTERN), strip(text).try_cast("double"))

@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from martlight.functions.dates import parse_mixed_date
+from martlight.functions.dates import date_text, parse_mixed_date
 from martlight.functions.numbering import number_rows
-from martlight.functions.text import is_blank, title_case, to_number
-from martlight.sources.upload import ROW_INDEX
+from martlight.functions.money import TOO_LARGE
+from martlight.functions.text import is_blank, strip, title_case, to_number
+from martlight.sources.upload import MALFORMED, ROW_INDEX
 
 # Standard columns with the header spellings that map to them.
 SYNONYMS: Mapping[str, tuple[str, ...]] = {
@@ -55,12 +56,11 @@ TEXT_DEFAULTS: Mapping[str, str] = {
     "order_status": "Completed",
 }
 TITLE_CASED = ("region_name", "category_name", "order_status", "payment_method")
-RULES = ("date", "quantity", "price")
+RULES = ("row", "date", "quantity", "price", "range")
 DUPLICATE_KEYS = ("order_number", "product_code")
 DEFAULT_PRICE = 50.0
 MAX_DISCOUNT = 0.90
 MISSING_TEXT = "nan"
-MAX_QUANTITY = 1e15
 PREVIEW_ROWS, REJECT_ROWS = 15, 50
 OUTLIER_DEVIATIONS = 4
 
@@ -71,13 +71,19 @@ CLEANED_COLUMNS = (
 )
 
 
+# Spelling -> standard column; an earlier column keeps a spelling that two list.
+STANDARD_NAMES = {
+    spelling: name for name, spellings in reversed(SYNONYMS.items()) for spelling in spellings
+}
+
+
+def normal_spelling(header: str) -> str:
+    return re.sub(r"[^a-z0-9_]", "_", header.strip().lower())
+
+
 def standard_name(header: str) -> str:
-    plain = header.strip().lower()
-    normal = re.sub(r"[^a-z0-9_]", "_", plain)
-    for name, spellings in SYNONYMS.items():
-        if normal in spellings or plain in spellings:
-            return name
-    return normal
+    normal = normal_spelling(header)
+    return STANDARD_NAMES.get(normal) or STANDARD_NAMES.get(header.strip().lower(), normal)
 
 
 def standard_headers(headers: list[str]) -> list[str]:
@@ -87,7 +93,7 @@ def standard_headers(headers: list[str]) -> list[str]:
     for header in headers:
         name = standard_name(header)
         if name in names:
-            name = re.sub(r"[^a-z0-9_]", "_", header.strip().lower())
+            name = normal_spelling(header)
         while name in names:
             name += "_"
         names.append(name)
@@ -95,11 +101,12 @@ def standard_headers(headers: list[str]) -> list[str]:
 
 
 def map_headers(raw: DataFrame) -> DataFrame:
-    headers = [c for c in raw.columns if c != ROW_INDEX]
+    headers = [c for c in raw.columns if c not in (ROW_INDEX, MALFORMED)]
+    kept = [c for c in raw.columns if c == MALFORMED]
     renamed = [
         F.col(f"`{old}`").alias(new) for old, new in zip(headers, standard_headers(headers))
     ]
-    return raw.select(ROW_INDEX, *renamed)
+    return raw.select(ROW_INDEX, *kept, *renamed)
 
 
 def duplicate_keys(columns: list[str]) -> list[str]:
@@ -126,13 +133,12 @@ def _shown(number: Column) -> Column:
 def _computed_total(quantity: Column, price: Column, discount: Column) -> Column:
     """quantity * price * (1 - discount) in exact decimals, in DOUBLE beyond their range."""
     exact = (
-        quantity.try_cast("decimal(12,0)")
-        * price.try_cast("decimal(16,2)")
+        quantity.try_cast("decimal(15,0)")
+        * price.try_cast("decimal(15,2)")
         * (F.lit(1) - discount.cast("decimal(5,4)"))
     )
-    return F.coalesce(
-        F.round(exact, 2).cast("double"), F.round(quantity * price * (1 - discount), 2)
-    )
+    rough = quantity * price * (1 - discount)
+    return F.when(rough < TOO_LARGE, F.round(exact, 2).cast("double")).otherwise(rough)
 
 
 def tag_rows(rows: DataFrame, as_of: dt.date) -> DataFrame:
@@ -143,9 +149,11 @@ def tag_rows(rows: DataFrame, as_of: dt.date) -> DataFrame:
         return F.col(name)
 
     # Values that decide whether a row is valid. Parsed once here and only referenced below.
-    parsed = rows.select(
+    texts = [c for c in TEXT_DEFAULTS if c in have]
+    days = [date_text(text("order_date")).alias("_day")] if "order_date" in have else []
+    parsed = rows.select("*", *days, *[strip(text(c)).alias(f"_text_{c}") for c in texts]).select(
         "*",
-        (parse_mixed_date(text("order_date")) if "order_date" in have else F.lit(as_of))
+        (parse_mixed_date(F.col("_day")) if "order_date" in have else F.lit(as_of))
         .alias("_date"),
         (to_number(text("quantity")) if "quantity" in have else F.lit(1.0)).alias("_quantity"),
         (to_number(text("unit_price")) if "unit_price" in have else F.lit(None).cast("double"))
@@ -158,12 +166,14 @@ def tag_rows(rows: DataFrame, as_of: dt.date) -> DataFrame:
     date, quantity, price, total = (F.col(f"_{n}") for n in ("date", "quantity", "price", "total"))
     bad_date = date.isNull()
     # Below one unit nothing is left after truncation to whole units.
-    bad_quantity = quantity.isNull() | (quantity < 1) | (quantity >= MAX_QUANTITY)
+    bad_quantity = quantity.isNull() | (quantity < 1)
     bad_price = price.isNull() | (price <= 0) if "unit_price" in have else F.lit(False)
 
     raw_date = F.coalesce(text("order_date"), F.lit(MISSING_TEXT)) if "order_date" in have else F.lit("")
+    malformed = F.col(MALFORMED).isNotNull() if MALFORMED in have else F.lit(False)
     reason = (
-        F.when(bad_date, F.concat(
+        F.when(malformed, F.lit("Row has more or fewer cells than the header"))
+        .when(bad_date, F.concat(
             F.lit("Invalid or unparseable order_date value: '"), raw_date, F.lit("'")))
         .when(bad_quantity, F.concat(
             F.lit("Invalid quantity value: "), _shown(quantity),
@@ -172,10 +182,11 @@ def tag_rows(rows: DataFrame, as_of: dt.date) -> DataFrame:
             F.lit("Invalid unit price value: "), _shown(price),
             F.lit(" (must be positive number)")))
     )
-    failed = F.when(bad_date, F.lit("date")).when(bad_quantity, F.lit("quantity")).when(
+    failed = F.when(malformed, F.lit("row")).when(bad_date, F.lit("date")).when(bad_quantity, F.lit("quantity")).when(
         bad_price, F.lit("price"))
 
-    whole_units = F.when(~bad_quantity, F.floor(quantity).cast("bigint"))
+    # Beyond 2^53 a DOUBLE skips whole numbers; the range rule below refuses such rows.
+    whole_units = F.when(~bad_quantity, F.floor(F.least(quantity, F.lit(2.0**53))).cast("bigint"))
     if "unit_price" in have:
         unit_price = F.round(price, 2)
     elif "total_price" in have:
@@ -204,15 +215,28 @@ def tag_rows(rows: DataFrame, as_of: dt.date) -> DataFrame:
         F.col("filled_total_price"),
         _computed_total(F.col("_units"), F.col("_unit_price"), F.col("_rate")),
     ).otherwise(total)
+    with_total = valued.withColumn("_new_total", new_total)
+    too_large = (
+        (quantity >= 2.0**53) | (F.col("_unit_price") >= TOO_LARGE) | (F.col("_new_total") >= TOO_LARGE)
+    )
+    given = [
+        F.coalesce(text(c), F.lit(MISSING_TEXT)) if c in have else F.lit(MISSING_TEXT)
+        for c in ("quantity", "unit_price", "total_price")
+    ]
+    storable = with_total.withColumns({
+        "failed_rule": F.coalesce("failed_rule", F.when(too_large, F.lit("range"))),
+        "reject_reason": F.coalesce("reject_reason", F.when(too_large, F.format_string(
+            "Value too large to store: quantity %s, unit price %s, total %s", *given))),
+    })
 
     result = {
         "order_date": date,
         "unit_price": F.col("_unit_price"),
         "quantity": F.col("_units"),
         "discount_rate": F.col("_rate"),
-        "total_price": new_total,
+        "total_price": F.col("_new_total"),
         "order_number": (
-            F.trim(F.coalesce(text("order_number"), F.lit(MISSING_TEXT)))
+            strip(F.coalesce(text("order_number"), F.lit(MISSING_TEXT)))
             if "order_number" in have else F.lit(None).cast("string")
         ),
         "order_timestamp": (
@@ -225,11 +249,12 @@ def tag_rows(rows: DataFrame, as_of: dt.date) -> DataFrame:
         if name not in have:
             result[name] = F.lit(default)
             continue
-        flags[f"filled_{name}"] = is_blank(text(name))
-        value = F.when(is_blank(text(name)), F.lit(default)).otherwise(F.trim(text(name)))
+        stripped = F.col(f"_text_{name}")
+        flags[f"filled_{name}"] = is_blank(stripped)
+        value = F.when(is_blank(stripped), F.lit(default)).otherwise(stripped)
         result[name] = title_case(value) if name in TITLE_CASED else value
-    extra = [c for c in rows.columns if c not in result and c != ROW_INDEX]
-    return valued.select(
+    extra = [c for c in rows.columns if c not in result and c not in (ROW_INDEX, MALFORMED)]
+    return storable.select(
         ROW_INDEX,
         *[result[c].alias(c) for c in CLEANED_COLUMNS if c != ROW_INDEX],
         *extra,
@@ -294,6 +319,8 @@ class Cleaning:
             "rejected_date": F.count_if(F.col("failed_rule") == "date"),
             "rejected_quantity": F.count_if(F.col("failed_rule") == "quantity"),
             "rejected_price": F.count_if(F.col("failed_rule") == "price"),
+            "rejected_range": F.count_if(F.col("failed_rule") == "range"),
+            "rejected_row": F.count_if(F.col("failed_rule") == "row"),
             "scaled_discount": F.count_if(valid & F.col("scaled_discount")),
             "filled_total_price": F.count_if(valid & F.col("filled_total_price")),
             **{
@@ -309,7 +336,7 @@ class Cleaning:
             filled.append(F.col("valid_records"))
         if "quantity" not in self.headers:
             # Filled in before prices are looked at.
-            filled.append(F.col("unique_rows") - F.col("rejected_date"))
+            filled.append(F.col("unique_rows") - F.col("rejected_date") - F.col("rejected_row"))
         row_count = F.lit(0).cast("bigint")
         widened = sums.withColumn("total_rows", row_count).withColumn(
             "missing_values_handled", reduce(Column.__add__, filled)
@@ -379,7 +406,12 @@ class Cleaning:
             steps.append(done(n("rejected_price") > 0,
                               "Rejected %d row(s) with non-positive or non-numeric unit price.",
                               n("rejected_price")))
-        elif "total_price" in have:
+        steps.append(done(n("rejected_range") > 0,
+                          "Rejected %d row(s) with values too large to store.",
+                          n("rejected_range")))
+        steps.append(done(n("rejected_row") > 0,
+                          "Rejected %d row(s) that do not fit the header.", n("rejected_row")))
+        if "unit_price" not in have and "total_price" in have:
             steps.append(F.lit("Computed unit_price from total_price / quantity."))
         if "discount_rate" in have:
             steps.append(done(n("scaled_discount") > 0,
@@ -416,7 +448,7 @@ class Cleaning:
 def clean(raw: DataFrame, as_of: dt.date) -> Cleaning:
     """Nothing runs here; the returned views are lazy."""
     rows = map_headers(raw)
-    headers = [c for c in rows.columns if c != ROW_INDEX]
+    headers = [c for c in rows.columns if c not in (ROW_INDEX, MALFORMED)]
     totals = rows.agg(F.count("*").alias("total_rows"))
     return Cleaning(tag_rows(drop_duplicates(rows), as_of), totals, headers)
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from martlight.functions.money import dollars
 from martlight.functions.text import full_name
-from martlight.operators.base import sales_base
+from martlight.operators.base import order_grain, sales_base
 from martlight.operators.filters import EVERYTHING, SalesFilter
 from martlight.operators.metrics import (
     customer_segments,
@@ -21,7 +21,6 @@ from martlight.operators.metrics import (
 from martlight.operators.ranking import top_products
 from martlight.sources.star import Star
 
-EXPORT_ROW_LIMIT = 50_000
 REPORT_PRODUCTS = 25
 
 # Headings of the line export and the report sections.
@@ -84,42 +83,52 @@ def _headed(df: DataFrame, headings: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(name).alias(heading) for name, heading in headings.items()])
 
 
-def export_lines(star: Star, flt: SalesFilter = EVERYTHING,
-                 max_rows: int = EXPORT_ROW_LIMIT) -> DataFrame:
-    """The newest ``max_rows`` order items with their order, customer, product and region.
+def export_lines(star: Star, flt: SalesFilter = EVERYTHING, max_rows: int | None = None) -> DataFrame:
+    """All order items, newest first, with their order, customer, product and region.
 
-    A plain top-k of this size would send ``max_rows`` rows from every partition to one task. The
-    rows per day (at most one row per calendar day) first tell how far back the limit reaches; only
-    lines from that day on are sorted.
+    With ``max_rows`` only the newest so many. A plain top-k of that size would send ``max_rows``
+    rows from every partition to one task, so the lines per day (at most one row per calendar day)
+    first tell how far back the limit reaches. They are counted on the sums per order, before any
+    name is joined; only lines from that day on are named and sorted.
     """
+    lines = sales_base(
+        star, flt,
+        order_columns=("order_number", "order_date", "customer_id", "region_id", "payment_method",
+                       "order_status"),
+        product_columns=("product_code", "product_name", "category_id"),
+    )
+    if max_rows is not None:
+        newer = Window.orderBy(F.desc("order_date")).rowsBetween(Window.unboundedPreceding, -1)
+        # Only lines with a customer, a region and a category are in the export, and only they count.
+        counted = star if star.keys_verified else star.replace({
+            "products": star.products.join(
+                star.categories.select("category_id"), "category_id", "left_semi"),
+            "orders": star.orders
+            .join(star.customers.select("customer_id"), "customer_id", "left_semi")
+            .join(star.regions.select("region_id"), "region_id", "left_semi"),
+        })
+        orders = order_grain(counted, flt, "order_date")
+        oldest_day = (
+            orders.groupBy("order_date").agg(F.sum("lines").alias("n"))
+            .withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+            .where(F.col("newer") < max_rows)
+            .agg(F.min("order_date").alias("oldest_day"))
+        )
+        lines = lines.where(F.col("order_date") >= oldest_day.scalar())
     customers = star.customers.select(
         "customer_id", "customer_code", "city", "country",
         full_name(F.col("first_name"), F.col("last_name")).alias("customer_name"),
     )
-    lines = (
-        sales_base(
-            star, flt,
-            order_columns=("order_number", "order_date", "customer_id", "region_id",
-                           "payment_method", "order_status"),
-            product_columns=("product_code", "product_name", "category_id"),
-        )
-        .join(star.categories.select("category_id", "category_name"), "category_id")
+    named = (
+        lines.join(star.categories.select("category_id", "category_name"), "category_id")
         .join(customers, "customer_id")
         .join(star.regions.select("region_id", "region_name"), "region_id")
     )
-    newer = Window.orderBy(F.desc("order_date")).rowsBetween(Window.unboundedPreceding, -1)
-    oldest_day = (
-        lines.groupBy("order_date").agg(F.count("*").alias("n"))
-        .withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
-        .where(F.col("newer") < max_rows)
-        .agg(F.min("order_date").alias("oldest_day"))
-    )
-    newest = (
-        lines.where(F.col("order_date") >= oldest_day.scalar())
-        .orderBy(F.desc("order_date"), F.desc("order_id"), "product_id", "quantity",
-                 "total_cents", "unit_cents", "discount_rate")
-        .limit(max_rows)
-    )
+    newest = named.orderBy(
+        F.desc("order_date"), F.desc("order_id"), "product_id", "quantity", "total_cents", "unit_cents",
+        "discount_rate")
+    if max_rows is not None:
+        newest = newest.limit(max_rows)
     money = {
         "unit_price": dollars(F.col("unit_cents")),
         "discount_rate": F.col("discount_rate").cast("double"),

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlight.functions.draws import SCRAMBLE_MODULUS, draw, pick, weighted
-from martlight.functions.money import MONEY, PRICE, RATE, line_total
-from martlight.functions.numbering import number_rows, running_total
+from martlight.functions.money import PRICE, RATE, TOTAL, line_total
+from martlight.functions.numbering import number_rows, running_totals
 from martlight.operators.ingest import next_ids, refresh_segments
 from martlight.operators.master import REGIONS, ensure_master, products
 from martlight.schema import column_types
+from martlight.session import stored
 from martlight.sources.star import Star, read_star, write_table
 
 # Distributions of the generated sales.
@@ -41,7 +42,6 @@ CUSTOMER_COUNT = 2500
 ENOUGH_CUSTOMERS = 1500
 CUSTOMER_DAYS = 701
 DEFAULT_RECORDS = 50_000
-RECORD_BOUNDS = (1_000, 100_000)
 LOG_FILENAME = "synthetic_sales_generator"
 LOG_FILE_TYPE = "Synthetic Generator"
 LOG_STATUS = "Generated"
@@ -106,12 +106,12 @@ def orders_until(ids: DataFrame, total_records: int | Column | None = None,
                  first_number: int | Column = 1) -> DataFrame:
     """Accepted orders in id order, numbered, up to the one that reaches the record target."""
     accepted = order_attributes(candidates(ids).where("accepted").drop("accepted"))
+    # One pass gives both: orders are cut behind the target, so their numbers stay without gaps.
+    numbered = running_totals(
+        accepted, "id", {"_so_far": F.col("item_count"), "_n": F.lit(1)}
+    ).withColumn("order_id", F.col("_n") + first_number - 1)
     if total_records is not None:
-        items = running_total(accepted, "id", F.col("item_count"), "_so_far")
-        accepted = items.where(F.col("_so_far") - F.col("item_count") < total_records).drop("_so_far")
-    numbered = number_rows(accepted, "id", "_n").withColumn(
-        "order_id", F.col("_n") + first_number - 1
-    )
+        numbered = numbered.where(F.col("_so_far") - F.col("item_count") < total_records)
     i = F.col("id")
     seconds = (
         (pick(i, HOUR, OPEN_HOURS) + OPENING_HOUR) * 3600
@@ -190,7 +190,7 @@ def with_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
     priced = orders.join(subtotals, "order_id").withColumn(
         "shipping_cost", shipping_cost(F.col("_subtotal")))
     return priced.withColumn(
-        "total_amount", (F.col("_subtotal") + F.col("shipping_cost")).cast(MONEY)
+        "total_amount", (F.col("_subtotal") + F.col("shipping_cost")).cast(TOTAL)
     ).drop("_subtotal")
 
 
@@ -228,7 +228,7 @@ def new_customers(ids: DataFrame) -> DataFrame:
         .alias("created_on"),
     )
     email = F.concat(
-        F.lower("first_name"), F.lit("."), F.lower("last_name"), (i % 99).cast("string"),
+        F.lower("last_name"), F.lit("-"), F.lower(F.substring("first_name", 1, 1)), i.cast("string"),
         F.lit("@"), F.col("_domain"),
     )
     return named.select(
@@ -269,10 +269,6 @@ def flat_rows(orders: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def clamp_records(count: int) -> int:
-    return max(RECORD_BOUNDS[0], min(RECORD_BOUNDS[1], count))
-
-
 def _candidate_count(total_records: int) -> int:
     # An accepted order has at least one item and two candidates in three are accepted, with about
     # one and a half items each; twice the target leaves a wide margin at any size.
@@ -306,7 +302,8 @@ def generate(spark: SparkSession, star: Star, total_records: int = DEFAULT_RECOR
     next_order = base.orders.agg(
         (F.coalesce(F.max("order_id"), F.lit(0)) + 1).cast("bigint").alias("n")).scalar()
     ids = spark.range(1, _candidate_count(total_records) + 1)
-    orders = assign_customers(orders_until(ids, total_records, next_order), customers)
+    # Drawn once: items, totals and the flat rows start from the stored orders.
+    orders = stored(assign_customers(orders_until(ids, total_records, next_order), customers), "orders")
     items = explode_items(orders)
     orders = with_totals(orders, items)
 
@@ -330,7 +327,7 @@ def generate(spark: SparkSession, star: Star, total_records: int = DEFAULT_RECOR
 def generation_log(flat: DataFrame, import_id: Column, created_at: dt.datetime) -> DataFrame:
     """The import log row of a generator run: everything valid, nothing filled in."""
     counted = flat.agg(F.count("*").alias("total_rows"))
-    message = "Generated %,d realistic synthetic sales records spanning 2023-2026."
+    message = f"%,d synthetic sales rows, order dates from {FIRST_DAY} to {LAST_DAY}"
     return _typed(counted.withColumns({
         "import_id": import_id,
         "filename": F.lit(LOG_FILENAME),

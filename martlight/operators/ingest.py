@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlight.functions.money import MONEY, PRICE, RATE
+from martlight.functions.money import MONEY, PRICE, RATE, TOTAL
 from martlight.functions.numbering import number_rows
 from martlight.operators.cleaning import Cleaning
 from martlight.operators.master import ensure_master
 from martlight.operators.metrics import spend_tier
 from martlight.schema import COMPLETED, MIDDLE_TIER_SPEND, TOP_TIER_SPEND, column_types
+from martlight.session import stored
 from martlight.sources.star import APPEND_ONLY, Star, read_star, write_table
 from martlight.sources.upload import ROW_INDEX
 
@@ -31,11 +32,13 @@ COMMITTED = "Committed"
 def next_ids(df: DataFrame, position: str, existing: DataFrame, id_column: str) -> DataFrame:
     """Give rows the ids after the largest existing one, in order of ``position``."""
     largest = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("bigint").alias("largest"))
-    return (
+    numbered = (
         number_rows(df, position, "_n")
         .withColumn(id_column, F.col("_n") + largest.scalar())
         .drop("_n")
     )
+    # Numbering reads its input twice: what is joined to it next should not repeat that.
+    return stored(numbered, id_column)
 
 
 def _shaped(df: DataFrame, table: str) -> DataFrame:
@@ -116,7 +119,7 @@ def roll_up_orders(cleaned: DataFrame) -> DataFrame:
         .agg(
             F.min_by(F.struct(*attributes), ROW_INDEX).alias("first"),
             F.min(ROW_INDEX).alias("first_row"),
-            F.sum(F.col("total_price").cast(MONEY)).cast(MONEY).alias("total_amount"),
+            F.sum(F.col("total_price").cast(MONEY)).cast(TOTAL).alias("total_amount"),
             F.count("*").alias("line_count"),
         )
         .select("order_number", "first_row", "first.*", "total_amount", "line_count")
@@ -176,7 +179,7 @@ def new_items(cleaned: DataFrame, orders: DataFrame, products: DataFrame) -> Dat
         .withColumn("product_id", F.coalesce("product_id", _first_id(products, "product_id")))
     )
     return rows.select(
-        "order_id", "product_id", F.col("quantity").cast("int").alias("quantity"),
+        "order_id", "product_id", F.col("quantity").cast("bigint").alias("quantity"),
         F.col("unit_price").cast(PRICE).alias("unit_price"),
         F.col("discount_rate").cast(RATE).alias("discount_rate"),
         F.col("total_price").cast(MONEY).alias("total_price"),

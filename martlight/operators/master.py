@@ -18,37 +18,57 @@ REGIONS = (
     ("Latin America", "LATAM", "Brazil"),
     ("Middle East & Africa", "MEA", "United Arab Emirates"),
 )
-# Master categories (name, description).
+# Names of the master categories. The descriptions are our own.
 CATEGORIES = (
-    ("Electronics", "High-tech consumer gadgets, computing, and peripherals"),
-    ("Furniture", "Ergonomic office and home furniture"),
-    ("Office Supplies", "Everyday office essentials, paper, and organization"),
-    ("Apparel", "Professional and casual corporate clothing"),
-    ("Footwear", "Work and athletic performance footwear"),
-    ("Home & Kitchen", "Modern home appliances and kitchenware"),
+    ("Electronics", "Screens, sound, storage and what connects them"),
+    ("Furniture", "Desks, seats and shelves for work and home"),
+    ("Office Supplies", "Paper, pens and everything else a desk uses up"),
+    ("Apparel", "Clothes for work days and days off"),
+    ("Footwear", "Shoes for the office, the road and the trail"),
+    ("Home & Kitchen", "Cookware, small machines and linen"),
 )
-# Per category the code letter, the first number, and (price, cost) of its products.
+# Our own sample catalogue: code, name, category, price, cost.
 CATALOGUE = (
-    ("Electronics", "E", 101, ((1499, 950), (589, 360), (399, 240), (99, 55), (210, 120),
-                               (139, 75), (1099, 750))),
-    ("Furniture", "F", 201, ((1250, 700), (1100, 620), (699, 410), (795, 460), (120, 50),
-                             (65, 28))),
-    ("Office Supplies", "O", 301, ((24.5, 9.5), (195, 95), (180, 95), (145, 70), (28, 11),
-                                   (62, 36))),
-    ("Apparel", "A", 401, ((229, 115), (138, 55), (115, 48), (299, 150), (85, 32))),
-    ("Footwear", "W", 501, ((395, 190), (149, 65), (110, 45), (180, 78), (225, 105))),
-    ("Home & Kitchen", "H", 601, ((999, 600), (345, 190), (149, 72), (379, 210), (649, 380))),
+    ("ML-EL-01", "Portable Projector", "Electronics", 449.0, 268.0),
+    ("ML-EL-02", "Desk Speaker Pair", "Electronics", 129.5, 71.0),
+    ("ML-EL-03", "Travel Router", "Electronics", 74.0, 38.5),
+    ("ML-EL-04", "Solid State Drive 2 TB", "Electronics", 158.0, 104.0),
+    ("ML-EL-05", "Drawing Tablet", "Electronics", 312.0, 187.0),
+    ("ML-EL-06", "Conference Camera", "Electronics", 236.0, 133.0),
+    ("ML-FU-01", "Folding Desk", "Furniture", 284.0, 161.0),
+    ("ML-FU-02", "Oak Bookcase", "Furniture", 419.0, 251.0),
+    ("ML-FU-03", "Reading Chair", "Furniture", 532.0, 322.0),
+    ("ML-FU-04", "Stool", "Furniture", 88.0, 41.0),
+    ("ML-FU-05", "Filing Cabinet", "Furniture", 176.0, 97.0),
+    ("ML-FU-06", "Standing Lamp", "Furniture", 117.0, 54.0),
+    ("ML-OS-01", "Copy Paper, Five Reams", "Office Supplies", 31.5, 17.0),
+    ("ML-OS-02", "Gel Pens, Box of 24", "Office Supplies", 22.0, 8.0),
+    ("ML-OS-03", "Label Printer", "Office Supplies", 134.0, 79.0),
+    ("ML-OS-04", "Wall Calendar", "Office Supplies", 14.5, 4.5),
+    ("ML-OS-05", "Whiteboard", "Office Supplies", 92.0, 47.0),
+    ("ML-OS-06", "Archive Boxes, Set of 10", "Office Supplies", 38.0, 19.0),
+    ("ML-AP-01", "Merino Cardigan", "Apparel", 119.0, 52.0),
+    ("ML-AP-02", "Linen Shirt", "Apparel", 67.0, 26.0),
+    ("ML-AP-03", "Rain Coat", "Apparel", 164.0, 81.0),
+    ("ML-AP-04", "Work Trousers", "Apparel", 93.0, 40.0),
+    ("ML-AP-05", "Wool Scarf", "Apparel", 44.0, 16.0),
+    ("ML-FW-01", "Leather Brogues", "Footwear", 188.0, 89.0),
+    ("ML-FW-02", "Canvas Sneakers", "Footwear", 62.0, 24.0),
+    ("ML-FW-03", "Hiking Boots", "Footwear", 214.0, 109.0),
+    ("ML-FW-04", "Running Shoes", "Footwear", 136.0, 61.0),
+    ("ML-FW-05", "House Slippers", "Footwear", 29.0, 9.5),
+    ("ML-HK-01", "Cast Iron Pan", "Home & Kitchen", 58.0, 27.0),
+    ("ML-HK-02", "Electric Kettle", "Home & Kitchen", 71.0, 36.0),
+    ("ML-HK-03", "Hand Blender", "Home & Kitchen", 83.5, 42.0),
+    ("ML-HK-04", "Knife Set", "Home & Kitchen", 142.0, 74.0),
+    ("ML-HK-05", "Bread Maker", "Home & Kitchen", 197.0, 118.0),
+    ("ML-HK-06", "Bed Linen Set", "Home & Kitchen", 105.0, 49.0),
 )
 
 
 def products() -> list[tuple[str, str, str, float, float]]:
-    """(code, name, category, price, cost) in catalogue order; names are our own."""
-    return [
-        (f"PROD-{letter}{first + i}", f"{category} Item {letter}{first + i}", category,
-         float(price), float(cost))
-        for category, letter, first, prices in CATALOGUE
-        for i, (price, cost) in enumerate(prices)
-    ]
+    """(code, name, category, price, cost) in catalogue order."""
+    return list(CATALOGUE)
 
 
 def literal_rows(spark: SparkSession, names: tuple[str, ...], rows) -> DataFrame:
@@ -102,7 +122,7 @@ def master_products(spark: SparkSession, categories: DataFrame) -> DataFrame:
         "position", "product_code", "product_name", "category_id",
         F.col("unit_price").cast(PRICE).alias("unit_price"),
         F.col("cost_price").cast(PRICE).alias("cost_price"),
-        F.regexp_replace("product_code", "^PROD", "SKU").alias("sku"),
+        F.concat(F.lit("SKU-"), F.col("product_code")).alias("sku"),
         F.lit(True).alias("is_active"),
     )
 

@@ -25,6 +25,13 @@ dirty AS (
          ELSE 'WEB-' || lpad(CAST(ord AS VARCHAR), 9, '0') END AS order_number,
     CASE WHEN k % 41 = 0 THEN 'invalid_date' WHEN k % 41 = 1 THEN ''
          WHEN k % 41 = 2 THEN '2024-02-30'
+         WHEN k % 43 = 3 THEN strftime(d, '%m/%d/%Y') || ' 10:30 PM'
+         WHEN k % 43 = 4 THEN strftime(d, '%-m/%-d/%Y') || ' 10:30:00 AM'
+         WHEN k % 43 = 5 THEN strftime(d, '%b %-d %Y')
+         WHEN k % 43 = 6 THEN strftime(d, '%A, %B %-d, %Y')
+         WHEN k % 43 = 7 THEN strftime(d, '%Y.%m.%d')
+         WHEN k % 43 = 8 THEN chr(9) || strftime(d, '%Y-%m-%d') || ' '
+         WHEN k % 43 = 9 THEN strftime(d, '%Y-%m-%d') || 'T10:00:00+00:00'
          WHEN k % 5 = 0 THEN strftime(d, '%Y-%m-%d') WHEN k % 5 = 1 THEN strftime(d, '%m/%d/%Y')
          WHEN k % 5 = 2 THEN strftime(d, '%d-%b-%Y') WHEN k % 5 = 3 THEN strftime(d, '%Y%m%d')
          ELSE strftime(d, '%Y-%m-%d') || ' 10:30:00' END AS order_date,
@@ -32,29 +39,34 @@ dirty AS (
          WHEN k % 9 = 1 THEN ' Customer#' || lpad(CAST(cust AS VARCHAR), 9, '0')
          WHEN k % 9 = 2 THEN 'NEW-' || lpad(CAST(cust AS VARCHAR), 6, '0')
          ELSE 'Customer#' || lpad(CAST(cust AS VARCHAR), 9, '0') END AS customer_code,
-    CASE WHEN k % 13 = 0 THEN '' WHEN k % 5 = 0 THEN 'north america' WHEN k % 5 = 1 THEN 'EUROPE'
+    CASE WHEN k % 13 = 0 THEN '' WHEN k % 13 = 2 THEN chr(9) || 'north america' || chr(160)
+         WHEN k % 5 = 0 THEN 'north america' WHEN k % 5 = 1 THEN 'EUROPE'
          WHEN k % 5 = 2 THEN 'asia-pacific' WHEN k % 5 = 3 THEN ' Latin America '
          ELSE 'Atlantis' END AS region_name,
-    CASE WHEN k % 13 = 1 THEN '   ' WHEN k % 3 = 0 THEN 'ELECTRONICS'
+    CASE WHEN k % 13 = 1 THEN '   ' WHEN k % 26 = 14 THEN chr(9) || chr(160) WHEN k % 3 = 0 THEN 'ELECTRONICS'
          WHEN k % 3 = 1 THEN 'office supplies' ELSE 'o''neil garden-tools 2go' END AS category_name,
     code AS product_code,
     CASE WHEN k % 19 = 0 THEN NULL ELSE 'Item ' || code END AS product_name,
     CASE WHEN k % 31 = 0 THEN '-4.50' WHEN k % 31 = 1 THEN '' WHEN k % 31 = 2 THEN '1,200'
          ELSE CAST(price AS VARCHAR) END AS unit_price,
-    CASE WHEN k % 29 = 0 THEN '-5' WHEN k % 29 = 1 THEN '0' WHEN k % 29 = 2 THEN 'abc'
+    CASE WHEN k % 1009 = 7 THEN '3000000000' WHEN k % 29 = 0 THEN '-5' WHEN k % 29 = 1 THEN '0' WHEN k % 29 = 2 THEN 'abc'
          WHEN k % 29 = 3 THEN '0.5' WHEN k % 29 = 4 THEN '2.7' WHEN k % 29 = 5 THEN ' 3 '
          WHEN k % 29 = 6 THEN '1e1' ELSE CAST(units AS VARCHAR) END AS quantity,
     CASE WHEN k % 17 = 0 THEN 'n/a' WHEN k % 17 = 1 THEN '250' WHEN k % 17 = 2 THEN '-0.2'
          WHEN k % 17 = 3 THEN '1.0' WHEN k % 4 = 0 THEN '15' WHEN k % 4 = 1 THEN '0.15'
          WHEN k % 4 = 2 THEN '' ELSE '0.0725' END AS discount_rate,
-    CASE WHEN k % 11 = 0 THEN '' WHEN k % 11 = 1 THEN '0' WHEN k % 997 = 2 THEN '9999999.99'
+    CASE WHEN k % 2003 = 7 THEN '100000000000000' WHEN k % 4999 = 11 THEN '1000000000000'
+         WHEN kk % 53 = 5 AND k % 4 = 1 THEN '30000000000'
+         WHEN k % 11 = 0 THEN '' WHEN k % 11 = 1 THEN '0' WHEN k % 997 = 2 THEN '9999999.99'
          ELSE CAST(CAST(price * CAST(units AS DECIMAL(10,0)) AS DECIMAL(12,2)) AS VARCHAR)
     END AS total_price,
     CASE WHEN k % 6 = 0 THEN 'PayPal' WHEN k % 6 = 1 THEN 'CREDIT CARD'
          WHEN k % 6 = 2 THEN 'bank transfer' WHEN k % 6 = 3 THEN '' ELSE 'Debit Card'
     END AS payment_method,
     CASE WHEN k % 8 = 0 THEN 'completed' WHEN k % 8 = 1 THEN 'SHIPPED' WHEN k % 8 = 2 THEN ''
-         WHEN k % 8 = 3 THEN 'cancelled' ELSE 'Completed' END AS order_status
+         WHEN k % 8 = 3 THEN 'cancelled' ELSE 'Completed' END AS order_status,
+    -- What a reader of the file should find: the day itself, however it is written.
+    CASE WHEN k % 41 NOT IN (0, 1, 2) THEN d END AS true_date
   FROM priced
 )"""
 
@@ -79,28 +91,22 @@ def title(expr: str) -> str:
             f"'\\p{{L}}+|[^\\p{{L}}]+'), lambda x: upper(x[1]) || x[2:]), '')")
 
 
-_DAY = r"regexp_replace(trim(order_date), '[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?Z?$', '')"
+_SPACE = r"[\s\p{Z}\x0b\x{1c}-\x{1f}\x{85}]"
 
 
-def _dates(day: str) -> str:
-    # A two-digit year has its own formats; DuckDB would read it as a full year otherwise.
-    full = ("'%Y-%m-%d', '%Y/%m/%d', '%Y%m%d', '%m/%d/%Y', '%d/%m/%Y', '%m-%d-%Y', '%d-%m-%Y', "
-            "'%m.%d.%Y', '%d.%m.%Y', '%b %d, %Y', '%d-%b-%Y', '%d %b %Y', '%d %B %Y', '%b %Y', "
-            "'%Y-%m', '%Y'")
-    return (rf"CASE WHEN regexp_matches({day}, '^\d{{1,2}}/\d{{1,2}}/\d{{2}}$') "
-            f"THEN try_strptime({day}, ['%m/%d/%y', '%d/%m/%y']) "
-            rf"WHEN regexp_matches({day}, '\d{{4}}') THEN try_strptime({day}, [{full}]) END")
+def strip(expr: str) -> str:
+    return f"regexp_replace({expr}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
 def _text(column: str, default: str) -> str:
-    value = f"CASE WHEN {column} IS NULL OR trim({column}) = '' THEN '{default}' ELSE trim({column}) END"
+    value = f"CASE WHEN {_blank(column)} THEN '{default}' ELSE {strip(column)} END"
     if column in ("region_name", "category_name", "order_status", "payment_method"):
         return title(value)
     return value
 
 
 def _blank(column: str) -> str:
-    return f"{column} IS NULL OR trim({column}) = ''"
+    return f"{column} IS NULL OR {strip(column)} = ''"
 
 
 CLEANED = f"""{DIRTY},
@@ -109,7 +115,7 @@ unique_rows AS (
   QUALIFY row_number() OVER (PARTITION BY order_number, product_code ORDER BY row_idx) = 1
 ),
 parsed AS (
-  SELECT *, CAST({_dates(_DAY)} AS DATE) AS _date, {number('quantity')} AS _quantity,
+  SELECT *, true_date AS _date, {number('quantity')} AS _quantity,
          {number('unit_price')} AS _price, {number('total_price')} AS _total,
          coalesce({number('discount_rate')}, 0.0) AS _discount
   FROM unique_rows
@@ -118,19 +124,20 @@ judged AS (
   SELECT *,
     CASE WHEN _date IS NULL THEN 'date'
          WHEN _quantity IS NULL OR _quantity < 1 THEN 'quantity'
-         WHEN _price IS NULL OR _price <= 0 THEN 'price' END AS failed_rule,
-    CAST(floor(_quantity) AS BIGINT) AS _units, CAST(_price AS DECIMAL(16,2)) AS _unit_price,
+         WHEN _price IS NULL OR _price <= 0 THEN 'price'
+         WHEN _total >= 1e13 OR _quantity >= 9007199254740992 THEN 'range' END AS failed_rule,
+    CAST(floor(_quantity) AS BIGINT) AS _units, CAST(_price AS DECIMAL(13,2)) AS _unit_price,
     CAST(round(least(greatest(CASE WHEN _discount > 1 THEN _discount / 100.0 ELSE _discount END,
                               0.0), 0.9), 4) AS DECIMAL(5,4)) AS _rate
   FROM parsed
 ),
 cleaned AS (
-  SELECT row_idx, trim(coalesce(order_number, 'nan')) AS order_number, _date AS order_date,
+  SELECT row_idx, {strip("coalesce(order_number, 'nan')")} AS order_number, _date AS order_date,
     {', '.join(f"{_text(c, d)} AS {c}" for c, d in TEXT_DEFAULTS.items())},
     CAST(_unit_price AS DOUBLE) AS unit_price, _units AS quantity,
     CAST(_rate AS DOUBLE) AS discount_rate,
     CASE WHEN _total IS NULL OR _total <= 0
-         THEN CAST(round(CAST(_units AS DECIMAL(12,0)) * _unit_price * (1 - _rate), 2) AS DOUBLE)
+         THEN CAST(round(CAST(_units AS DECIMAL(19,0)) * _unit_price * (1 - _rate), 2) AS DOUBLE)
          ELSE _total END AS total_price,
     CAST(_date AS TIMESTAMP) + INTERVAL 12 HOURS AS order_timestamp
   FROM judged WHERE failed_rule IS NULL
@@ -144,6 +151,7 @@ figures AS (
     count(*) FILTER (failed_rule = 'date') AS rejected_date,
     count(*) FILTER (failed_rule = 'quantity') AS rejected_quantity,
     count(*) FILTER (failed_rule = 'price') AS rejected_price,
+    count(*) FILTER (failed_rule = 'range') AS rejected_range,
     count(*) FILTER (failed_rule IS NULL AND _discount > 1) AS scaled_discount,
     count(*) FILTER (failed_rule IS NULL AND (_total IS NULL OR _total <= 0)) AS filled_total_price,
     {', '.join(f"count(*) FILTER (failed_rule IS NULL AND ({_blank(c)})) AS filled_{c}"
@@ -179,6 +187,8 @@ _ACTIONS = [
     "' row(s) with non-positive or non-numeric quantity.' END",
     "CASE WHEN rejected_price > 0 THEN 'Rejected ' || rejected_price || "
     "' row(s) with non-positive or non-numeric unit price.' END",
+    "CASE WHEN rejected_range > 0 THEN 'Rejected ' || rejected_range || "
+    "' row(s) with values too large to store.' END",
     "CASE WHEN scaled_discount > 0 THEN 'Normalized ' || scaled_discount || "
     "' percentage discount values (e.g. 15% -> 0.15).' END",
     "CASE WHEN filled_total_price > 0 THEN 'Recalculated ' || filled_total_price || "
@@ -192,11 +202,13 @@ _ACTIONS = [
     "format('{:,.2f}', threshold) || ' for analyst review.' END",
 ]
 
-ACTIONS = figures(f""",
+LISTED = f""",
 listed AS (
   SELECT list_filter([{', '.join(_ACTIONS)}], lambda x: x IS NOT NULL) AS actions
   FROM figures, limits,
        (SELECT count(*) AS high FROM cleaned, limits WHERE total_price > threshold))
+"""
+ACTIONS = figures(f"""{LISTED}
 SELECT CAST(generate_subscripts(actions, 1) AS BIGINT) AS step, unnest(actions) AS action
 FROM listed""")
 
@@ -241,7 +253,7 @@ base_products AS (
   UNION ALL
   SELECT (SELECT max(product_id) FROM star_products) + row_number() OVER (ORDER BY position),
          product_code, product_name, category_id, CAST(m.unit_price AS DECIMAL(10,2)),
-         CAST(m.cost_price AS DECIMAL(10,2)), replace(product_code, 'PROD', 'SKU')
+         CAST(m.cost_price AS DECIMAL(10,2)), 'SKU-' || product_code
   FROM master_products m JOIN base_categories USING (category_name)
   WHERE product_code NOT IN (SELECT product_code FROM star_products))"""
 
@@ -266,9 +278,9 @@ all_categories AS (
 added_products AS (
   SELECT (SELECT max(product_id) FROM base_products) + row_number() OVER (ORDER BY row_idx)
            AS product_id, product_code, product_name, category_id,
-         CAST(unit_price AS DECIMAL(10,2)) AS unit_price,
-         CAST(round(CAST(unit_price AS DECIMAL(10,2)) * CAST(0.65 AS DECIMAL(3,2)), 2)
-              AS DECIMAL(10,2)) AS cost_price
+         CAST(unit_price AS DECIMAL(20,2)) AS unit_price,
+         CAST(round(CAST(unit_price AS DECIMAL(20,2)) * CAST(0.65 AS DECIMAL(3,2)), 2)
+              AS DECIMAL(20,2)) AS cost_price
   FROM (SELECT * FROM cleaned
         QUALIFY row_number() OVER (PARTITION BY product_code ORDER BY row_idx) = 1)
   LEFT JOIN all_categories USING (category_name)
@@ -281,7 +293,7 @@ rolled AS (
          payment_method, order_status, t.total_amount, t.line_count
   FROM cleaned c JOIN (
     SELECT order_number, min(row_idx) AS first_row, count(*) AS line_count,
-           CAST(sum(CAST(total_price AS DECIMAL(12,2))) AS DECIMAL(12,2)) AS total_amount
+           sum(CAST(total_price AS DECIMAL(20,2))) AS total_amount
     FROM cleaned GROUP BY 1) t ON t.order_number = c.order_number AND t.first_row = c.row_idx),
 placed AS (
   SELECT r.*, coalesce(g.region_id, (SELECT min(region_id) FROM all_regions)) AS region_id,

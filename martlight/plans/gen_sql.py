@@ -151,7 +151,7 @@ drawn AS (
   FROM ids)
 SELECT id, 'CUST-' || lpad(CAST(id AS VARCHAR), CAST(greatest(5, length(CAST(id AS VARCHAR))) AS INTEGER), '0') AS customer_code,
        first_name, last_name,
-       lower(first_name) || '.' || lower(last_name) || (id % 99) || '@' || domain AS email,
+       lower(last_name) || '-' || lower(substr(first_name, 1, 1)) || id || '@' || domain AS email,
        'Standard' AS segment, place.city AS city, place.state AS state, place.country AS country,
        created_on
 FROM drawn"""

@@ -20,11 +20,11 @@ from martlight.operators.export import write_csv
 from martlight.operators.master import ensure_master
 from martlight.plans import clean_sql as sql
 from martlight.plans.reports import AS_OF, HI_SPEND, MID_SPEND
-from martlight.session import scratch_path
+from martlight.session import scratch_path, stored
 from martlight.sources.bound import bind_star
 from martlight.sources.dirty import dirty_rows
 from martlight.sources.star import recent_imports
-from martlight.sources.upload import ROW_INDEX, read_raw
+from martlight.sources.upload import MALFORMED, ROW_INDEX, read_raw
 
 FILENAME = "sales_upload.csv"
 CREATED_AT = dt.datetime(2001, 8, 1, 9, 30)
@@ -50,6 +50,22 @@ def _uploaded(spark: SparkSession, folder: str) -> DataFrame:
     return read_raw(spark, path)
 
 
+def _uploaded_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells with line breaks between quotes, written and read back."""
+    path = scratch_path(spark, "lines")
+    note = F.concat(F.col("SKU"), F.lit("\nsecond \"line\",\r\n"), F.col("Qty"))
+    rows = dirty_rows(spark, folder).orderBy(ROW_INDEX).select("SKU", note.alias("Note"))
+    write_csv(rows, path)
+    return read_raw(spark, path, multiline=True).drop(MALFORMED)
+
+
+def _staged(spark: SparkSession, folder: str) -> Cleaning:
+    """The messy file as staged for review: cleaned once, then only read."""
+    path = scratch_path(spark, "stage")
+    stage(dirty_rows(spark, folder), path, AS_OF)
+    return load_staged(spark, path)
+
+
 def _actions(c: Cleaning) -> DataFrame:
     exploded = c.actions().select(F.posexplode("actions").alias("step", "action"))
     return exploded.select((F.col("step") + 1).cast("bigint").alias("step"), "action")
@@ -67,9 +83,7 @@ class _Import:
         self.old = bind_star(spark, folder)
         self.base = ensure_master(spark, self.old)
         # An import starts from staged rows, so the cleaning runs once for all its steps.
-        path = scratch_path(spark, "stage")
-        stage(dirty_rows(spark, folder), path, AS_OF)
-        self.cleaned = load_staged(spark, path).cleaned()
+        self.cleaned = _staged(spark, folder).cleaned()
         self.rollup = ingest.roll_up_orders(self.cleaned)
 
     def customers(self) -> DataFrame:
@@ -119,10 +133,10 @@ def _upserted(i: _Import) -> DataFrame:
 def _items(i: _Import) -> DataFrame:
     names = ("product_id", "product_code")
     added = ingest.number_new(i.cleaned, "product_code", i.base.products, "product_id")
-    products = i.base.products.select(*names).unionByName(added.select(*names))
+    products = stored(i.base.products.select(*names).unionByName(added.select(*names)), "products")
     names = ("order_id", "order_number")
     added = ingest.number_new_orders(i.rollup, i.old.orders)
-    orders = i.old.orders.select(*names).unionByName(added.select(*names))
+    orders = stored(i.old.orders.select(*names).unionByName(added.select(*names)), "orders")
     items = ingest.new_items(i.cleaned, orders, products)
     money = {c: F.col(c).cast("double") for c in ("unit_price", "discount_rate", "total_price")}
     return items.withColumns(money)
@@ -135,7 +149,7 @@ def _segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _log_row(c: Cleaning) -> DataFrame:
-    return ingest.import_log_row(c.audit(), c.actions(), 1, FILENAME, CREATED_AT).drop("audit_details")
+    return ingest.import_log_row(c.audit(), c.actions(), 1, FILENAME, CREATED_AT)
 
 
 def _monthly_logs(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,7 +170,8 @@ def _monthly_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "src_csv_upload": lambda s, f: _uploaded(s, f).drop(ROW_INDEX),
+    "src_csv_upload": lambda s, f: _uploaded(s, f).drop(ROW_INDEX, MALFORMED),
+    "src_csv_quoted_newlines": _uploaded_lines,
     "src_row_index": lambda s, f: _uploaded(s, f).select(ROW_INDEX, "SKU", "Qty"),
     "recent_imports": lambda s, f: recent_imports(_monthly_logs(s, f)),
     "clean_headers": lambda s, f: map_headers(dirty_rows(s, f)),
@@ -176,7 +191,7 @@ QUERIES = {
     "clean_audit": _clean(lambda c: c.audit()),
     "clean_rejects": _clean(lambda c: c.rejects()),
     "clean_rejects_sample": _clean(lambda c: c.rejects_sample()),
-    "clean_actions": _clean(_actions),
+    "clean_actions": lambda s, f: _actions(_staged(s, f)),
     "clean_preview": _clean(lambda c: c.preview()),
     "clean_rows": _columns(*[c for c in CLEANED_COLUMNS if c != ROW_INDEX]),
     "commit_new_customers": _import(
@@ -192,7 +207,7 @@ QUERIES = {
     "commit_order_upsert": _import(_upserted),
     "commit_items": _import(_items),
     "segment_refresh": _segments,
-    "import_log_row": _clean(_log_row),
+    "import_log_row": lambda s, f: _log_row(_staged(s, f)),
 }
 
 
@@ -207,6 +222,8 @@ _REJECTS = """
 SELECT row_idx + 1 AS row_index, order_number,
   CASE failed_rule
     WHEN 'date' THEN 'Invalid or unparseable order_date value: ''' || coalesce(order_date, 'nan') || ''''
+    WHEN 'range' THEN 'Value too large to store: quantity ' || coalesce(quantity, 'nan') || ', unit price '
+                      || coalesce(unit_price, 'nan') || ', total ' || coalesce(total_price, 'nan')
     WHEN 'quantity' THEN 'Invalid quantity value: ' || coalesce(CAST(_quantity AS VARCHAR), 'nan')
                          || ' (must be positive integer)'
     ELSE 'Invalid unit price value: ' || coalesce(CAST(_price AS VARCHAR), 'nan')
@@ -218,8 +235,8 @@ without_price AS (
          round(coalesce(_total, 0.0) / _units, 2) AS unit_price
   FROM judged WHERE failed_rule IS NULL OR failed_rule = 'price')
 SELECT row_idx, unit_price,
-       CASE WHEN given <= 0 THEN CAST(round(CAST(_units AS DECIMAL(12,0))
-              * CAST(unit_price AS DECIMAL(16,2)) * (1 - _rate), 2) AS DOUBLE)
+       CASE WHEN given <= 0 THEN CAST(round(CAST(_units AS DECIMAL(19,0))
+              * CAST(unit_price AS DECIMAL(13,2)) * (1 - _rate), 2) AS DOUBLE)
             ELSE given END AS total_price
 FROM without_price"""
 # Without order numbers, rows are told apart by product code alone.
@@ -229,6 +246,10 @@ _WITHOUT_NUMBERS = sql.cleaned("\nSELECT row_idx, 'IMP-ORD-' || lpad(CAST(row_nu
 
 ORACLES = {
     "src_csv_upload": f"WITH {sql.DIRTY.strip()}\nSELECT {_RAW_TEXT} FROM dirty",
+    "src_csv_quoted_newlines": f"""WITH {sql.DIRTY.strip()}
+SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, product_code AS "SKU",
+       product_code || chr(10) || 'second "line",' || chr(13) || chr(10) || quantity AS "Note"
+FROM dirty""",
     "src_row_index": f"WITH {sql.DIRTY.strip()}\nSELECT row_number() OVER (ORDER BY row_idx) - 1 "
                      "AS row_idx, product_code AS \"SKU\", quantity AS \"Qty\" FROM dirty",
     "recent_imports": """
@@ -240,7 +261,7 @@ SELECT CAST(year(month) * 12 + month(month) AS BIGINT) AS import_id,
        'orders_' || strftime(month, '%Y-%m') || '.csv' AS filename, total_rows, valid_records,
        CAST(last_day(month) AS TIMESTAMP) AS created_at
 FROM monthly ORDER BY created_at DESC, import_id DESC LIMIT 10""",
-    "clean_headers": f"WITH {sql.DIRTY.strip()}\nSELECT * FROM dirty",
+    "clean_headers": f"WITH {sql.DIRTY.strip()}\nSELECT * EXCLUDE (true_date) FROM dirty",
     "clean_dedup": sql.cleaned(
         "\nSELECT row_idx, order_number AS given_order_number, product_code FROM unique_rows"),
     "clean_dates": _cleaned_columns("order_date"),
@@ -261,7 +282,7 @@ FROM monthly ORDER BY created_at DESC, import_id DESC LIMIT 10""",
     "clean_rejects": sql.cleaned(_REJECTS),
     "clean_rejects_sample": sql.cleaned(
         f"\nSELECT row_index, order_number, reason FROM ({_REJECTS}) ORDER BY "
-        "list_position(['date', 'quantity', 'price'], failed_rule), row_index LIMIT 50"),
+        "list_position(['row', 'date', 'quantity', 'price', 'range'], failed_rule), row_index LIMIT 50"),
     "clean_actions": sql.ACTIONS,
     "clean_preview": sql.cleaned("\nSELECT * FROM cleaned ORDER BY row_idx LIMIT 15"),
     "clean_rows": sql.cleaned("\nSELECT * FROM cleaned"),
@@ -286,10 +307,10 @@ SELECT order_number, first_row, customer_code, region_name, order_date, payment_
     "commit_order_upsert": sql.commit(
         "\nSELECT * REPLACE (CAST(total_amount AS DOUBLE) AS total_amount) FROM all_orders"),
     "commit_items": sql.commit("""
-SELECT order_id, product_id, CAST(quantity AS INTEGER) AS quantity,
-       CAST(CAST(unit_price AS DECIMAL(10,2)) AS DOUBLE) AS unit_price,
+SELECT order_id, product_id, CAST(quantity AS BIGINT) AS quantity,
+       CAST(CAST(unit_price AS DECIMAL(20,2)) AS DOUBLE) AS unit_price,
        CAST(CAST(discount_rate AS DECIMAL(5,4)) AS DOUBLE) AS discount_rate,
-       CAST(CAST(total_price AS DECIMAL(12,2)) AS DOUBLE) AS total_price
+       CAST(CAST(total_price AS DECIMAL(20,2)) AS DOUBLE) AS total_price
 FROM cleaned JOIN all_orders USING (order_number) JOIN all_products USING (product_code)"""),
     "segment_refresh": f"""WITH {sql.STAR.strip()}
 SELECT customer_id, customer_code,
@@ -299,9 +320,10 @@ SELECT customer_id, customer_code,
 FROM star_customers LEFT JOIN (
   SELECT customer_id, sum(total_amount) AS spent FROM star_orders
   WHERE order_status = 'Completed' GROUP BY 1) USING (customer_id)""",
-    "import_log_row": sql.figures(f"""
+    "import_log_row": sql.figures(f"""{sql.LISTED}
 SELECT CAST(1 AS BIGINT) AS import_id, '{FILENAME}' AS filename, 'Uploaded File' AS file_type,
        {sql.AUDIT_COLUMNS}, 'Committed' AS status,
+       CAST(to_json(actions) AS VARCHAR) AS audit_details,
        TIMESTAMP '{CREATED_AT:%Y-%m-%d %H:%M:%S}' AS created_at
-FROM figures"""),
+FROM figures, listed"""),
 }

@@ -153,6 +153,8 @@ QUERIES = {
     "orders_ledger": _on_star(lambda s: ranking.orders_table(s, page=3)),
     "orders_ledger_count": _on_star(ranking.orders_count),
     "export_lines": _on_star(export.export_lines),
+    "export_lines_newest": _on_star(
+        lambda s: export.export_lines(s, max_rows=sql.EXPORT_NEWEST_ROWS)),
     "report_summary": _on_star(lambda s: export.report_summary(s, YEAR_2000, AS_OF)),
     "report_monthly": _on_star(export.report_monthly),
     "report_products": _on_star(export.report_products),
@@ -262,6 +264,7 @@ FROM lines WHERE {sql.REVENUE}"""),
     "orders_ledger": sql.ledger(25, 50),
     "orders_ledger_count": sql.LEDGER_COUNT,
     "export_lines": sql.EXPORT_LINES,
+    "export_lines_newest": sql.EXPORT_NEWEST,
     "report_summary": sql.report_summary(IN_2000, IN_1999),
     "report_monthly": _MONTHLY_HEADINGS,
     "report_products": sql.top_products(

@@ -9,9 +9,8 @@ star_regions AS (
     ON c.n_regionkey = r_regionkey
 ),
 star_categories AS (
-  SELECT CAST(dense_rank() OVER (ORDER BY p_type) AS INTEGER) AS category_id,
-         p_type AS category_name
-  FROM (SELECT DISTINCT p_type FROM part)
+  SELECT CAST(min(p_partkey) AS INTEGER) AS category_id, p_type AS category_name
+  FROM part WHERE p_type IS NOT NULL GROUP BY p_type
 ),
 star_customers AS (
   SELECT c_custkey AS customer_id, c_name AS customer_code,
@@ -31,7 +30,7 @@ star_products AS (
 ),
 star_orders AS (
   SELECT o_orderkey AS order_id, 'ORD-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS order_number,
-         o_custkey AS customer_id, n_regionkey AS region_id, CAST(o_orderdate AS DATE) AS order_date,
+         CAST(o_orderdate AS TIMESTAMP) AS order_timestamp, o_custkey AS customer_id, n_regionkey AS region_id, CAST(o_orderdate AS DATE) AS order_date,
          o_orderpriority AS payment_method,
          CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Shipped'
               WHEN 'P' THEN 'Processing' END AS order_status,
@@ -39,7 +38,7 @@ star_orders AS (
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 ),
 star_items AS (
-  SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
+  SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS quantity,
          CAST(CAST((2 * CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * 100 AS BIGINT)
                     + CAST(l_quantity AS INTEGER)) // (2 * CAST(l_quantity AS INTEGER)) AS DOUBLE)
               / 100 AS DECIMAL(10,2)) AS unit_price,
@@ -337,5 +336,6 @@ SELECT order_number AS "Order ID", order_date AS "Order Date", customer_code AS
 FROM lines JOIN star_categories USING (category_id) JOIN star_customers c USING (customer_id)
 JOIN star_regions USING (region_id)
 WHERE {REVENUE}
-ORDER BY order_date DESC, order_id DESC, product_id, quantity, total_price, unit_price, discount_rate
-LIMIT 50000""")
+ORDER BY order_date DESC, order_id DESC, product_id, quantity, total_price, unit_price, discount_rate""")
+EXPORT_NEWEST_ROWS = 20_000
+EXPORT_NEWEST = f"{EXPORT_LINES}\nLIMIT {EXPORT_NEWEST_ROWS}"

@@ -10,6 +10,8 @@ from martlight.operators.adhoc import guarded_query
 from martlight.operators.master import ensure_master
 from martlight.plans import gen_sql as sql
 from martlight.plans.star_sql import star as star_sql
+from martlight.schema import UNIQUE_KEYS
+from martlight.session import stored
 from martlight.sources.bound import bind_star, read_table
 from martlight.sources.star import Star, register_views
 
@@ -38,7 +40,7 @@ class _Sales:
         ids = _order_ids(spark, folder)
         target = ids.agg(F.call_function("div", F.count("*"), F.lit(2)).alias("n")).scalar()
         first = ids.agg((F.max("id") + 1).alias("n")).scalar()
-        self.orders = generate.orders_until(ids, target, first)
+        self.orders = stored(generate.orders_until(ids, target, first), "orders")
         self.items = generate.explode_items(self.orders)
         self.customers = bind_star(spark, folder).customers
 
@@ -147,7 +149,10 @@ def _union(parts) -> str:
     return star_sql("\n" + "\nUNION ALL ".join(parts))
 
 
-_VIEWS = {"orders": "star_orders", "order_items": "star_items"}
+_VIEWS = {
+    "categories": "star_categories", "customers": "star_customers", "products": "star_products",
+    "regions": "star_regions", "orders": "star_orders", "order_items": "star_items",
+}
 _GONE = f"(SELECT customer_id FROM star_customers WHERE city = '{DELETED_CITY}')"
 
 ORACLES = {
@@ -175,13 +180,7 @@ SELECT order_number AS "Order_ID", order_date AS "Order_Date",
        CAST(discount_rate AS DOUBLE) AS "Discount", CAST(total_price AS DOUBLE) AS "Total_Price",
        payment_method AS "Payment_Method", order_status AS "Order_Status", 'Yes' AS "Is_Synthetic"
 FROM totalled JOIN sold_items USING (order_id)"""),
-    "dq_unique": _union([
-        _unique("categories", "star_categories", "category_name"),
-        _unique("customers", "star_customers", "customer_code"),
-        _unique("orders", "star_orders", "order_number"),
-        _unique("products", "star_products", "product_code"),
-        _unique("regions", "star_regions", "region_name"),
-    ]),
+    "dq_unique": _union([_unique(table, _VIEWS[table], key) for table, key in UNIQUE_KEYS]),
     "dq_orphans": _union([
         _orphan("order_items", "star_items", "order_id", "orders", "star_orders"),
         _orphan("order_items", "star_items", "product_id", "products", "star_products"),

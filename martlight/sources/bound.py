@@ -6,13 +6,10 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from martlight.functions.money import MONEY, PRICE, RATE, from_cents
+from martlight.functions.money import PRICE, RATE, TOTAL, from_cents
 from martlight.sources.star import Star
 
-INLINE_CATEGORIES = 1000
-
 # Declared here, a table needs no job to look into its files first.
 TABLES = {
     "region": "r_regionkey int, r_name string",
@@ -40,21 +37,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-# Category names per application and folder. Test folders do not change while a session runs.
-_found_names: dict[tuple[str, str], list[str] | None] = {}
-
-
-def _short_list(spark: SparkSession, folder: str) -> list[str] | None:
-    """The category names in order, or None when there are too many to hold inline."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _found_names:
-        names = _category_names(lambda name: read_table(spark, folder, name))
-        head = names.orderBy("category_name").limit(INLINE_CATEGORIES + 1).collect()
-        found = [row.category_name for row in head]
-        _found_names[key] = found if len(found) <= INLINE_CATEGORIES else None
-    return _found_names[key]
-
-
 def bind_star(spark: SparkSession, folder: str) -> Star:
     @cache
     def read(name: str) -> DataFrame:
@@ -62,9 +44,9 @@ def bind_star(spark: SparkSession, folder: str) -> Star:
 
     builders = {
         "regions": lambda: _regions(read),
-        "categories": lambda: _categories(read, _short_list(spark, folder)),
+        "categories": lambda: _categories(read),
         "customers": lambda: _customers(read),
-        "products": lambda: _products(read, _short_list(spark, folder)),
+        "products": lambda: _products(read),
         "orders": lambda: _orders(read),
         "order_items": lambda: _order_items(read),
     }
@@ -87,28 +69,16 @@ def _regions(read) -> DataFrame:
     )
 
 
-def _category_names(read) -> DataFrame:
-    named = read("part").where(F.col("p_type").isNotNull())
-    return named.select(F.col("p_type").alias("category_name")).distinct()
-
-
 def _numbered_categories(read) -> DataFrame:
-    numbered = F.dense_rank().over(Window.orderBy("category_name"))
-    return _category_names(read).select(numbered.alias("category_id"), "category_name")
-
-
-def _categories(read, names: list[str] | None) -> DataFrame:
-    rows = _numbered_categories(read).withColumn("description", F.lit(None).cast("string"))
-    return rows if names is None else F.broadcast(rows)
+    """A category's id is the smallest product key in it: unique, and no numbering of names."""
+    named = read("part").where(F.col("p_type").isNotNull())
+    return named.groupBy(F.col("p_type").alias("category_name")).agg(
+        F.min("p_partkey").cast("int").alias("category_id"))
 
 
-def _with_category_id(parts: DataFrame, read, names: list[str] | None) -> DataFrame:
-    """Category number per part: an inline lookup in a short list, a join beyond it."""
-    if names is None:
-        lookup = _numbered_categories(read).withColumnRenamed("category_name", "p_type")
-        return parts.join(lookup, "p_type", "left")
-    position = F.array_position(F.array(*map(F.lit, names)), F.col("p_type"))
-    return parts.withColumn("category_id", position.cast("int"))
+def _categories(read) -> DataFrame:
+    return _numbered_categories(read).select(
+        "category_id", "category_name", F.lit(None).cast("string").alias("description"))
 
 
 def _customers(read) -> DataFrame:
@@ -139,9 +109,10 @@ def order_number(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix), F.lpad(key.cast("string"), 9, "0"))
 
 
-def _products(read, names: list[str] | None) -> DataFrame:
+def _products(read) -> DataFrame:
     price = F.col("p_retailprice").cast(PRICE)
-    return _with_category_id(read("part"), read, names).select(
+    categories = _numbered_categories(read).withColumnRenamed("category_name", "p_type")
+    return read("part").join(categories, "p_type", "left").select(
         F.col("p_partkey").alias("product_id"),
         product_code(F.col("p_partkey")).alias("product_code"),
         F.col("p_name").alias("product_name"),
@@ -180,7 +151,7 @@ def _orders(read) -> DataFrame:
             status.alias("order_status"),
             F.lit(0).cast(PRICE).alias("shipping_cost"),
             F.lit(0).cast(PRICE).alias("discount_amount"),
-            F.col("o_totalprice").cast(MONEY).alias("total_amount"),
+            F.col("o_totalprice").cast(TOTAL).alias("total_amount"),
             F.lit(True).alias("is_synthetic"),
         )
         .join(home_region, "customer_id", "left")
@@ -189,7 +160,7 @@ def _orders(read) -> DataFrame:
 
 def _order_items(read) -> DataFrame:
     # Integer arithmetic throughout: cents, ten-thousandths of discount, halves rounded up.
-    quantity = F.col("l_quantity").cast("int")
+    quantity = F.col("l_quantity").cast("bigint")
     amount = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
     discount = F.rint(F.col("l_discount") * 10000).cast("bigint")
     half = F.when(amount < 0, -5000).otherwise(5000)

@@ -43,6 +43,13 @@ def dirty_rows(spark: SparkSession, folder: str) -> DataFrame:
                 (k % 41 == 0, "invalid_date"),
                 (k % 41 == 1, ""),
                 (k % 41 == 2, "2024-02-30"),
+                (k % 43 == 3, F.concat(F.date_format(d, "MM/dd/yyyy"), F.lit(" 10:30 PM"))),
+                (k % 43 == 4, F.concat(F.date_format(d, "M/d/yyyy"), F.lit(" 10:30:00 AM"))),
+                (k % 43 == 5, F.date_format(d, "MMM d yyyy")),
+                (k % 43 == 6, F.date_format(d, "EEEE, MMMM d, yyyy")),
+                (k % 43 == 7, F.date_format(d, "yyyy.MM.dd")),
+                (k % 43 == 8, F.concat(F.lit("\t"), d.cast("string"), F.lit(" "))),
+                (k % 43 == 9, F.concat(d.cast("string"), F.lit("T10:00:00+00:00"))),
                 (k % 5 == 0, d.cast("string")),
                 (k % 5 == 1, F.date_format(d, "MM/dd/yyyy")),
                 (k % 5 == 2, F.date_format(d, "dd-MMM-yyyy")),
@@ -61,6 +68,7 @@ def dirty_rows(spark: SparkSession, folder: str) -> DataFrame:
         "Region": _cases(
             [
                 (k % 13 == 0, ""),
+                (k % 13 == 2, "\tnorth america\u00a0"),
                 (k % 5 == 0, "north america"),
                 (k % 5 == 1, "EUROPE"),
                 (k % 5 == 2, "asia-pacific"),
@@ -71,6 +79,7 @@ def dirty_rows(spark: SparkSession, folder: str) -> DataFrame:
         "Category": _cases(
             [
                 (k % 13 == 1, "   "),
+                (k % 26 == 14, "\t\u00a0"),
                 (k % 3 == 0, "ELECTRONICS"),
                 (k % 3 == 1, "office supplies"),
             ],
@@ -84,6 +93,7 @@ def dirty_rows(spark: SparkSession, folder: str) -> DataFrame:
         ),
         "Qty": _cases(
             [
+                (k % 1009 == 7, "3000000000"),
                 (k % 29 == 0, "-5"),
                 (k % 29 == 1, "0"),
                 (k % 29 == 2, "abc"),
@@ -107,7 +117,14 @@ def dirty_rows(spark: SparkSession, folder: str) -> DataFrame:
             "0.0725",
         ),
         "Total": _cases(
-            [(k % 11 == 0, ""), (k % 11 == 1, "0"), (k % 997 == 2, "9999999.99")],
+            [
+                (k % 2003 == 7, "100000000000000"),
+                (k % 4999 == 11, "1000000000000"),
+                ((kk % 53 == 5) & (k % 4 == 1), "30000000000"),
+                (k % 11 == 0, ""),
+                (k % 11 == 1, "0"),
+                (k % 997 == 2, "9999999.99"),
+            ],
             total.cast("string"),
         ),
         "Payment": _cases(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 ROW_INDEX = "row_idx"
-BROADCAST_BLOCKS = 100_000
+MALFORMED = "_malformed"
 
 # Cell texts that count as missing.
 MISSING_TOKENS = (
@@ -16,35 +17,38 @@ MISSING_TOKENS = (
 )
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Every column as text, missing cells as null, rows numbered in file order.
 
     Headers are in the first row of each file. No schema is inferred, which saves a pass and keeps
-    codes such as ``007`` as written.
+    codes such as ``007`` as written. ``_malformed`` holds the text of rows with more or fewer cells
+    than the header, null otherwise; cleaning rejects them.
+
+    ``multiline`` reads cells with line breaks between quotes. A line may then begin anywhere in a
+    file, so each file is read by one task; leave it off for files whose cells are single lines.
     """
-    text = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    cells = [
-        F.when(~F.col(f"`{c}`").isin(*MISSING_TOKENS), F.col(f"`{c}`")).alias(c)
-        for c in text.columns
-    ]
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multiline}
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, MALFORMED]])
+    text = spark.read.schema(schema).options(**options, columnNameOfCorruptRecord=MALFORMED).csv(path)
+    cells = [F.when(~F.col(f"`{c}`").isin(*MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in names]
     located = text.select(
         *cells,
+        MALFORMED,
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    # A scan partition holds at most one block of full size, and each file at most one shorter one.
-    blocks = text.rdd.getNumPartitions() + len(text.inputFiles())
-    return with_row_index(located, few_blocks=blocks <= BROADCAST_BLOCKS)
+    return with_row_index(located)
 
 
-def with_row_index(located: DataFrame, few_blocks: bool = False) -> DataFrame:
+def with_row_index(located: DataFrame) -> DataFrame:
     """Turn (_file, _start, _id) into consecutive numbers from 0 in file order.
 
     Inside one block of one file the id grows by one per row, so a row's number is the count of rows
     in all earlier blocks plus its distance from the first id of its block. Only one row per block
-    (about one per 128 MB) is ordered in a single task. With few blocks their offsets are broadcast
-    and the rows stay where they were read; otherwise rows are shuffled by block.
+    (about one per 128 MB) is ordered in a single task. Spark joins the offsets in the way their size
+    at run time suggests.
     """
     blocks = located.groupBy("_file", "_start").agg(
         F.count("*").alias("_rows"), F.min("_id").alias("_first")
@@ -54,7 +58,7 @@ def with_row_index(located: DataFrame, few_blocks: bool = False) -> DataFrame:
         "_file", "_start", "_first",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
     )
-    numbered = located.join(F.broadcast(offsets) if few_blocks else offsets, ["_file", "_start"])
+    numbered = located.join(offsets, ["_file", "_start"])
     position = F.col("_before") + F.col("_id") - F.col("_first")
     return numbered.withColumn(ROW_INDEX, position).drop(
         "_file", "_start", "_id", "_first", "_before"

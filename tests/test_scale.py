@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from martlight.plans import all_queries as queries
 from martlight.functions.draws import SCRAMBLE_MODULUS, draw
 from martlight.functions.numbering import number_rows, running_total
 from martlight.operators import metrics, ranking
