@@ -80,11 +80,45 @@ def test_discounts_and_totals(spark):
     assert rows == [(0.15, 17.0), (0.9, 0.10), (0.0, 21.0), (0.0, 4.999), (0.9, 200.0)]
 
 
-def test_absurd_numbers_do_not_fail(spark):
-    c = clean(raw(spark, ["order", "qty", "price"], [
-        ("1", "1e300", "1"), ("2", "1", "1e300"), ("3", "9" * 40, "1"),
+def test_numbers_too_large_to_store_are_rejected(spark):
+    c = clean(raw(spark, ["order", "qty", "price", "total"], [
+        ("1", "1e300", "1", ""), ("2", "1", "1e300", ""), ("3", "9" * 40, "1", "5"),
+        ("4", "3000000000", "9", "9e9"), ("5", "1", "1", "1e14"), ("6", "1", "1e12", "1e12"),
     ]), AS_OF)
-    assert [r.order_number for r in c.cleaned().collect()] == ["2"]
+    assert sorted((r.order_number, r.quantity, r.total_price) for r in c.cleaned().collect()) == [
+        ("4", 3_000_000_000, 9e9), ("6", 1, 1e12)]
+    reasons = {r.order_number: r.reason for r in c.rejects().collect()}
+    assert set(reasons) == {"1", "2", "3", "5"}
+    assert reasons["5"] == "Value too large to store: quantity 1, unit price 1, total 1e14"
+
+
+def test_blanks_are_any_white_space(spark):
+    c = clean(raw(spark, ["order", "region", "category"], [
+        ("1", "\tnorth america\t", "\u00a0\t"), ("2", "\u2003south\u2028", "a\tb"),
+    ]), AS_OF)
+    rows = c.cleaned().orderBy(ROW_INDEX).collect()
+    assert [(r.region_name, r.category_name) for r in rows] == [
+        ("North America", "General Supplies"), ("South", "A\tB")]
+
+
+def test_dates_of_sales_exports(spark):
+    day = dt.date(2024, 5, 12)
+    texts = ["05/12/2024 10:30 PM", "5/12/2024 10:30:00 AM", "May 12 2024", "may 12, 2024",
+             "Sunday, May 12, 2024", "2024.05.12", "\t2024-05-12 ", "2024-05-12T10:00:00+00:00",
+             "2024-05-12 10:00:00.123Z", "12 May 2024", "12-MAY-2024", "20240512", "Sun 05/12/2024"]
+    c = clean(raw(spark, ["order", "date"], [(str(k), t) for k, t in enumerate(texts)]), AS_OF)
+    rows = c.cleaned().orderBy(ROW_INDEX).collect()
+    assert [r.order_date for r in rows] == [day] * len(texts)
+
+
+def test_rows_that_do_not_fit_the_header(spark):
+    path = scratch_path(spark, "odd")
+    spark.createDataFrame([("order,qty",), ("1,2",), ("2,2,9",), ("3",), ("4,5",)], "value string").coalesce(1).write.text(path)
+    c = clean(read_raw(spark, path), AS_OF)
+    assert sorted(r.order_number for r in c.cleaned().collect()) == ["1", "4"]
+    assert {r.failed_rule for r in c.rejects().collect()} == {"row"}
+    assert c.audit().first().rejected_rows == 2
+    assert "Rejected 2 row(s) that do not fit the header." in c.actions().first().actions
 
 
 def test_header_names():
