@@ -274,10 +274,12 @@ TAG_COLUMNS = ("given_order_number", "reject_reason", "failed_rule", "scaled_dis
 class Cleaning:
     """Views over tagged rows: what was kept, what was refused, and the figures about both."""
 
-    def __init__(self, tagged: DataFrame, totals: DataFrame, headers: list[str]):
+    def __init__(self, tagged: DataFrame, totals: DataFrame, headers: list[str],
+                 folder: str | None = None):
         self.tagged = tagged
         self.totals = totals
         self.headers = headers
+        self.folder = folder  # where the rows are staged, if they are
 
     def _valid(self) -> DataFrame:
         return self.tagged.where(F.col("reject_reason").isNull())
@@ -465,4 +467,4 @@ def stage(raw: DataFrame, folder: str, as_of: dt.date) -> None:
 def load_staged(spark: SparkSession, folder: str) -> Cleaning:
     totals = spark.read.parquet(f"{folder}/totals")
     headers = list(totals.first().headers)
-    return Cleaning(spark.read.parquet(f"{folder}/rows"), totals.select("total_rows"), headers)
+    return Cleaning(spark.read.parquet(f"{folder}/rows"), totals.select("total_rows"), headers, folder)

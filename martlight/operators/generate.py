@@ -15,7 +15,7 @@ from martlight.operators.ingest import next_ids, refresh_segments
 from martlight.operators.master import REGIONS, ensure_master, products
 from martlight.schema import column_types
 from martlight.session import stored
-from martlight.sources.star import Star, read_star, write_table
+from martlight.sources.star import Draft, Star, read_star
 
 # Distributions of the generated sales.
 FIRST_DAY = dt.date(2023, 1, 1)
@@ -345,15 +345,16 @@ def generation_log(flat: DataFrame, import_id: Column, created_at: dt.datetime)
 
 def seed_star(spark: SparkSession, root: str, version: int, total_records: int,
               created_at: dt.datetime) -> int:
-    """Write generated sales as star version ``version`` + 1 and return that number."""
-    old, new = read_star(spark, root, version), version + 1
+    """Publish generated sales as star version ``version`` + 1 and return that number."""
+    old, draft = read_star(spark, root, version), Draft(spark, root, version + 1)
     sales, extra = generate(spark, old, total_records), ensure_master(spark, old, missing_only=True)
     for table in ("regions", "categories", "products"):
-        write_table(extra.table(table), root, table, new)
-    write_table(sales.star.orders, root, "orders", new)
-    write_table(sales.star.customers, root, "customers", new)
-    write_table(sales.new_items, root, "order_items", new)
+        draft.write(table, extra.table(table))
+    draft.write("orders", sales.star.orders)
+    draft.write("customers", sales.star.customers)
+    draft.write("order_items", sales.new_items)
     log = old.table("data_import_logs")
     next_id = log.agg((F.coalesce(F.max("import_id"), F.lit(0)) + 1).alias("n")).scalar()
-    write_table(generation_log(sales.new_items, next_id, created_at), root, "data_import_logs", new)
-    return new
+    draft.write("data_import_logs", generation_log(sales.new_items, next_id, created_at))
+    draft.publish(old.keys_verified)
+    return version + 1

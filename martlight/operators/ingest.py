@@ -14,8 +14,8 @@ from martlight.operators.cleaning import Cleaning
 from martlight.operators.master import ensure_master
 from martlight.operators.metrics import spend_tier
 from martlight.schema import COMPLETED, MIDDLE_TIER_SPEND, TOP_TIER_SPEND, column_types
-from martlight.session import stored
-from martlight.sources.star import APPEND_ONLY, Star, read_star, write_table
+from martlight.session import create_once, remove_small, stored
+from martlight.sources.star import Draft, read_star
 from martlight.sources.upload import ROW_INDEX
 
 # Attributes of customers, categories and log rows created by an import.
@@ -223,49 +223,53 @@ class Commit:
     items_inserted: int
 
 
+class StageUsed(RuntimeError):
+    """The staged rows have been committed already."""
+
+
 def commit(spark: SparkSession, root: str, version: int, staged: Cleaning, filename: str,
            created_at: dt.datetime) -> Commit:
-    """Write star version ``version`` + 1 from the current one and a staged, approved import.
+    """Publish star version ``version`` + 1 from the current one and a staged, approved import.
 
     Readers keep using ``version`` until the caller hands them the new number, so an import that
-    dies half-way changes nothing, and running it again overwrites only its own version. Each
+    dies half-way changes nothing. Of two imports that start from one version the later one raises
+    VersionConflict and can be run again on the new version. A stage is used up by its commit. Each
     table is written before the next step reads it: later steps start from files, not from the
     whole lineage.
     """
-    new = version + 1
-    old = read_star(spark, root, version)
+    claim = f"{staged.folder}/_committed" if staged.folder else None
+    if claim and not create_once(spark, claim, filename):
+        raise StageUsed(f"{staged.folder} has been committed before")
+    try:
+        return _commit(spark, root, version, staged, filename, created_at)
+    except BaseException:
+        if claim:
+            remove_small(spark, claim)
+        raise
+
+
+def _commit(spark: SparkSession, root: str, version: int, staged: Cleaning, filename: str,
+            created_at: dt.datetime) -> Commit:
+    old, draft = read_star(spark, root, version), Draft(spark, root, version + 1)
     cleaned = staged.cleaned()
-
-    def added(table: str, rows: DataFrame) -> None:
-        write_table(rows, root, table, new)
-
-    def written(table: str) -> DataFrame:
-        return read_star(spark, root, new).table(table)
-
-    def old_and_written(table: str) -> DataFrame:
-        if table in APPEND_ONLY:
-            return written(table)
-        return old.table(table).unionByName(written(table))
-
     base, extra = ensure_master(spark, old), ensure_master(spark, old, missing_only=True)
-    added("regions", extra.regions)
-    added("categories", extra.categories.unionByName(new_categories(cleaned, base.categories)))
-    categories = old_and_written("categories")
-    added("products", extra.products.unionByName(
-        new_products(cleaned, base.products, categories)))
-    products, regions = old_and_written("products"), old_and_written("regions")
+    draft.write("regions", extra.regions)
+    draft.write("categories", extra.categories.unionByName(new_categories(cleaned, base.categories)))
+    draft.write("products", extra.products.unionByName(
+        new_products(cleaned, base.products, draft.table("categories"))))
 
     customers = old.customers.unionByName(new_customers(cleaned, old.customers))
     rollup = roll_up_orders(cleaned)
-    write_table(upsert_orders(rollup, old.orders, customers, regions), root, "orders", new)
-    orders = written("orders")
-    write_table(refresh_segments(customers, orders), root, "customers", new)
-    added("order_items", new_items(cleaned, orders, products))
+    draft.write("orders", upsert_orders(rollup, old.orders, customers, draft.table("regions")))
+    orders = draft.table("orders")
+    draft.write("customers", refresh_segments(customers, orders))
+    draft.write("order_items", new_items(cleaned, orders, draft.table("products")))
 
     log = old.table("data_import_logs")
     next_id = log.agg((F.coalesce(F.max("import_id"), F.lit(0)) + 1).alias("next_id")).scalar()
-    added("data_import_logs", import_log_row(
+    draft.write("data_import_logs", import_log_row(
         staged.audit(), staged.actions(), next_id, filename, created_at))
-
     inserted = orders.join(old.orders.select("order_id"), "order_id", "left_anti").count()
-    return Commit(new, inserted, cleaned.count())
+    # Every imported row got an existing parent, so the keys are as sound as they were.
+    draft.publish(old.keys_verified)
+    return Commit(version + 1, inserted, cleaned.count())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
@@ -43,3 +44,39 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file if nobody has; False if it is there. Of several callers one succeeds."""
+    files, place = _at(spark, path)
+    try:
+        out = files.create(place, False)
+    except Py4JJavaError as error:
+        if files.exists(place):
+            return False
+        raise error
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file; empty if it is not there."""
+    files, place = _at(spark, path)
+    if not files.exists(place):
+        return ""
+    stream = files.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def remove_small(spark: SparkSession, path: str) -> None:
+    files, place = _at(spark, path)
+    files.delete(place, False)

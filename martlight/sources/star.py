@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from martlight.functions.money import cents
 from martlight.schema import SCHEMAS, TABLE_NAMES, column_types
+from martlight.session import create_once, read_small
 
 # Tables whose rows are only ever added; the others are written whole for each version.
 APPEND_ONLY = ("regions", "categories", "products", "order_items", "data_import_logs")
@@ -80,26 +83,72 @@ def recent_imports(logs: DataFrame, n: int = 10) -> DataFrame:
     return logs.orderBy(F.desc("created_at"), F.desc("import_id")).limit(n)
 
 
-def read_star(spark: SparkSession, root: str, version: int) -> Star:
-    """Tables as of ``version``. The version is a partition column, so other versions are not read."""
+class VersionConflict(RuntimeError):
+    """Another import has published this version first."""
+
+
+def _marker(root: str, version: int) -> str:
+    return f"{root}/_published/{version:010d}"
+
+
+def _published(spark: SparkSession, root: str, version: int) -> dict:
+    text = read_small(spark, _marker(root, version))
+    if not text:
+        raise ValueError(f"version {version} of {root} is not published")
+    return json.loads(text)
+
+
+def _tables(spark: SparkSession, root: str, attempts: list[str]) -> Callable[[str], DataFrame]:
+    """Tables as of the last of the attempts. Attempts are partitions: others are not read."""
+    version = len(attempts) - 1
 
     def build(name: str) -> DataFrame:
-        rows = spark.read.schema(f"{SCHEMAS[name]}, version int").parquet(f"{root}/{name}")
-        visible = F.col("version") <= version if name in APPEND_ONLY else F.col("version") == version
-        return rows.where(visible).drop("version")
+        rows = spark.read.schema(f"{SCHEMAS[name]}, version int, attempt string").parquet(f"{root}/{name}")
+        if name in APPEND_ONLY:
+            visible = (F.col("version") <= version) & F.col("attempt").isin(*attempts)
+        else:
+            visible = (F.col("version") == version) & (F.col("attempt") == attempts[-1])
+        return rows.where(visible).drop("version", "attempt")
 
-    return Star(build)
+    return build
 
 
-def write_table(df: DataFrame, root: str, name: str, version: int) -> None:
-    """Write one version of a table. A retry after a failure replaces only that version."""
-    columns = [F.col(c).cast(kind).alias(c) for c, kind in column_types(name)]
-    df.select(*columns).write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
+def read_star(spark: SparkSession, root: str, version: int) -> Star:
+    """The published tables of ``version``, with the keys verified if the version says so."""
+    found = _published(spark, root, version)
+    return Star(_tables(spark, root, found["attempts"]), found["keys_verified"])
+
+
+class Draft:
+    """A version in the making: its tables are written under a name of its own, and nobody reads
+    them before ``publish``, which creates the version's marker if it does not exist yet. Of two
+    drafts of one version the second cannot be published, and its rows are never seen."""
+
+    def __init__(self, spark: SparkSession, root: str, version: int):
+        self.spark, self.root, self.version = spark, root, version
+        before = _published(spark, root, version - 1)["attempts"] if version else []
+        self.attempts = [*before, uuid.uuid4().hex]
+        self.table = _tables(spark, root, self.attempts)
 
+    def write(self, name: str, rows: DataFrame) -> None:
+        columns = [F.col(c).cast(kind).alias(c) for c, kind in column_types(name)]
+        path = f"{self.root}/{name}/version={self.version}/attempt={self.attempts[-1]}"
+        rows.select(*columns).write.mode("errorifexists").parquet(path)
 
-def write_star(spark: SparkSession, star: Star, root: str, version: int = 0) -> None:
-    """Write all tables, with an empty import log."""
+    def publish(self, keys_verified: bool) -> None:
+        content = json.dumps({"attempts": self.attempts, "keys_verified": keys_verified})
+        if not create_once(self.spark, _marker(self.root, self.version), content):
+            raise VersionConflict(f"version {self.version} of {self.root} exists already")
+
+
+def write_star(spark: SparkSession, star: Star, root: str) -> None:
+    """Write all tables as version 0, with an empty import log.
+
+    Whether its keys are verified is the given star's word: see ``quality.verify_keys``.
+    """
+    draft = Draft(spark, root, 0)
     for name in TABLE_NAMES:
-        write_table(star.table(name), root, name, version)
+        draft.write(name, star.table(name))
     log = "data_import_logs"
-    write_table(spark.createDataFrame([], SCHEMAS[log]), root, log, version)
+    draft.write(log, spark.createDataFrame([], SCHEMAS[log]))
+    draft.publish(star.keys_verified)

@@ -1,11 +1,13 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
+
 from martlight.operators.cleaning import load_staged, stage
 from martlight.operators.generate import generate, seed_star
 from martlight.operators.export import write_csv, write_report
 from martlight.operators.filters import EVERYTHING
-from martlight.operators.ingest import commit
+from martlight.operators.ingest import StageUsed, commit
 from martlight.operators.quality import (
     delete_customers,
     duplicate_keys,
@@ -14,7 +16,7 @@ from martlight.operators.quality import (
     verify_keys,
 )
 from martlight.session import scratch_path
-from martlight.sources.star import read_star, recent_imports, write_star
+from martlight.sources.star import VersionConflict, read_star, recent_imports, write_star
 from martlight.sources.upload import read_raw
 from tests.shop import ROWS, make_star
 from tests.test_cleaning import AS_OF, raw
@@ -83,19 +85,45 @@ def test_commit(spark):
 def test_commit_again(spark):
     """The same file twice: totals replaced, items appended, nothing else doubled."""
     root = scratch_path(spark, "star")
-    write_star(spark, make_star(spark), root)
-    upload = staged(spark, ["order", "sku", "total"], [("Q", "P1", "5"), ("Q", "P2", "7")])
-    commit(spark, root, 0, upload, "a.csv", NOW)
-    again = commit(spark, root, 1, upload, "a.csv", NOW)
+    write_star(spark, verify_keys(make_star(spark)), root)
+    file = (["order", "sku", "total"], [("Q", "P1", "5"), ("Q", "P2", "7")])
+    first = staged(spark, *file)
+    commit(spark, root, 0, first, "a.csv", NOW)
+    with pytest.raises(StageUsed):
+        commit(spark, root, 1, first, "a.csv", NOW)
+    again = commit(spark, root, 1, staged(spark, *file), "a.csv", NOW)
     assert (again.orders_inserted, again.items_inserted) == (0, 2)
     star = read_star(spark, root, 2)
     assert star.orders.where("order_number = 'Q'").first().total_amount == Decimal("12.00")
     assert star.orders.count() == 6 and star.order_items.count() == 9
     assert star.customers.count() == 4
     assert [r.import_id for r in recent_imports(star.table("data_import_logs")).collect()] == [2, 1]
-    # A retry of a commit replaces its own version.
-    commit(spark, root, 1, upload, "a.csv", NOW)
-    assert read_star(spark, root, 2).order_items.count() == 9
+    assert star.keys_verified and verify_keys(star).keys_verified
+
+    # Two imports from one version: the later one is refused, loses nothing, and can be repeated.
+    late = staged(spark, ["order", "sku", "total"], [("Z", "P1", "1")])
+    with pytest.raises(VersionConflict):
+        commit(spark, root, 1, late, "z.csv", NOW)
+    star = read_star(spark, root, 2)
+    assert star.order_items.count() == 9 and star.orders.where("order_number = 'Z'").count() == 0
+    commit(spark, root, 2, late, "z.csv", NOW)
+    assert read_star(spark, root, 3).orders.count() == 7
+    assert read_star(spark, root, 2).orders.count() == 6
+
+
+def test_commit_of_large_numbers(spark):
+    """Quantities over 2^31, totals over 10^10, and rows without a number that add up to more."""
+    root = scratch_path(spark, "star")
+    write_star(spark, make_star(spark), root)
+    rows = [(None, f"S{k}", "1", "9e9") for k in range(3)]
+    rows += [("B", "P1", "3000000000", "5"), ("C", "P2", "1", "1e12"), ("D", "P1", "1", "1e15")]
+    done = commit(spark, root, 0, staged(spark, ["order", "sku", "qty", "total"], rows), "l.csv", NOW)
+    assert (done.orders_inserted, done.items_inserted) == (3, 5)
+    star = read_star(spark, root, 1)
+    totals = {r.order_number: r.total_amount for r in star.orders.where("order_id > 5").collect()}
+    assert totals == {"nan": Decimal("27000000000.00"), "B": Decimal("5.00"), "C": Decimal("1000000000000.00")}
+    assert star.order_items.agg({"quantity": "max"}).first()[0] == 3_000_000_000
+    assert star.table("data_import_logs").first().rejected_rows == 1
 
 
 def test_generated_sales(spark):
