@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 
 #: Entries a worker's two caches, of words and of token pairs, hold at most each. Full caches start
 #: anew; results do not depend on them.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Longer texts are encoded word by word as a stream.
 LONG_TEXT = 2_000_000
 END_OF_WORD = "</w>"
@@ -116,7 +116,7 @@ class Merges:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary file (``model`` BPE over byte letters).
+    """Encoder of one vocabulary file (``model`` BPE over byte letters).
 
     ``encode`` gives what the tokenizers library gives with ``add_special_tokens=False``: strings of
     special tokens in a text become their ids. A null text is an empty text.
@@ -143,15 +143,6 @@ class Codec:
         self._odd = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
         self._match = self._automaton(vocab)
         self._known: dict[str, bytes] = {}
-        names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        shown = [names.get(i, "") for i in range(max(names) + 1)]
-        self._plain = spec["decoder"] is None
-        if self._plain:
-            self._token = pa.array(shown, pa.string())
-        else:
-            special = set(self.special.values())
-            raw = [t.encode() if i in special else bytes(map(self._letters.get, t)) for i, t in enumerate(shown)]
-            self._token = pa.array(raw, pa.binary())
 
     @staticmethod
     def _split_pattern(pre: dict) -> str:
@@ -303,6 +294,24 @@ class Codec:
         bounds = np.concatenate(([0], ends))[begins]
         return ids, bounds
 
+
+class Decoder:
+    """The strings of a vocabulary file's ids; holds no more than those."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        special = {t["id"]: t["content"] for t in spec["added_tokens"]}
+        names = {i: t for t, i in spec["model"]["vocab"].items()} | special
+        shown = [names.get(i, "") for i in range(max(names) + 1)]
+        self._plain = spec["decoder"] is None
+        if self._plain:
+            self._token = pa.array(shown, pa.string())
+        else:
+            letters = byte_letters()
+            raw = [t.encode() if i in special else bytes(map(letters.get, t)) for i, t in enumerate(shown)]
+            self._token = pa.array(raw, pa.binary())
+
     def decode_batch(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
         """The texts of ids, as the library's decode with ``skip_special_tokens=False``."""
         tokens = self._token.take(pa.array(ids.astype(np.int64)))
@@ -327,9 +336,6 @@ class CountingCodec(Codec):
         super().__init__(path)
         if self.suffix or self._lower:
             raise ValueError("byte-level vocabulary without word ends expected")
-        ranks = {t: i for i, t in enumerate(self._token.to_pylist()) if i not in self.special.values()}
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._ordinary = own.encode_ordinary
 
     def _piece(self, piece: str) -> bytes:
         if max(piece) < SIMPLE_BELOW and "<|" not in piece:
@@ -348,7 +354,8 @@ class CountingCodec(Codec):
 
     def _automaton(self, vocab: dict[str, int]):
         ranks = {bytes(map(self._letters.get, t)): i for t, i in vocab.items()}
-        own = tiktoken.Encoding("word", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._ordinary = own.encode_ordinary
         return lambda symbols: own._encode_single_piece(symbols.encode("latin-1"))
 
 
@@ -362,6 +369,11 @@ def codec(vocabulary: str) -> Codec:
     return Codec(_path(vocabulary))
 
 
+@lru_cache(maxsize=4)
+def decoder(vocabulary: str) -> Decoder:
+    return Decoder(_path(vocabulary))
+
+
 @lru_cache(maxsize=4)
 def counting_codec(vocabulary: str) -> CountingCodec:
     return CountingCodec(_path(vocabulary))
