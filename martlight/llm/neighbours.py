@@ -33,8 +33,8 @@ PROJECTIONS = 48
 RATIO = 1.5
 THRESHOLD = 36
 GROWTH = 1.2
-BLOCK = 16_384
-QUERY_BLOCK = 256
+BLOCK = 8192
+QUERY_BLOCK = 128
 SEED = 20
 #: Rows of a block that give a query its first radius.
 FEW = 256
@@ -132,10 +132,11 @@ def nearest(
     rows, asked = vectors.count(), queries.count()
     blocks, query_blocks = max(1, -(-rows // block)), max(1, -(-asked // query_block))
     size = F.size("vector").alias("size")
-    held = vectors.select("id", "vector", size, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    held = vectors.select("id", "vector", size, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     wanted = queries.select(
-        "id", "vector", size, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).alias("query_block")
+        "id", "vector", size, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block")
     )
+    # Keys of both sides have one type, or equal keys would not meet.
     # Each query goes to every block and each vector to every block of queries: rows * queries /
     # block size, the least a search of all blocks can move.
     wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
