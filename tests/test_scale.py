@@ -142,7 +142,7 @@ def test_columns_and_filters_reach_the_scan(spark):
     assert "EqualTo(order_status,Completed)" in text
     assert re.search(r"ReadSchema: struct<order_id:bigint,order_date:date,order_status:string>", text)
     assert re.search(
-        r"ReadSchema: struct<order_id:bigint,product_id:bigint,quantity:int,total_price:decimal",
+        r"ReadSchema: struct<order_id:bigint,product_id:bigint,quantity:bigint,total_price:decimal",
         text)
     assert re.search(r"PartitionFilters: \[[^\]]*version", text)
 
