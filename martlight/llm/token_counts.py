@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from martlight.llm.codec import counting_codec
+from martlight.llm.common import written
 
 #: Lengths in one range of the suffix sums.
-RANGE = 4096
+RANGE = 256
 
 
 def lengths(documents: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
@@ -47,12 +48,16 @@ def histogram(token_counts: DataFrame) -> DataFrame:
 
 
 def suffix_sums(counts: DataFrame) -> DataFrame:
-    """Answers for every length in the histogram; empty for an empty corpus."""
+    """Answers for every length in the histogram; empty for an empty corpus.
+
+    The histogram is written first: the sums read it three times, the documents once.
+    """
+    counts = written(counts, "histogram")
     ranged = counts.withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn(
         "range", F.expr(f"n_tokens div {RANGE}")
     )
     above = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per 4,096 lengths.
+    # One row per 256 lengths.
     totals = ranged.groupBy("range").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t")).select(
         "range",
         F.coalesce(F.sum("d").over(above), F.lit(0)).alias("docs_above"),
