@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 
 #: Entries a worker's two caches, of words and of token pairs, hold at most each. Full caches start
 #: anew; results do not depend on them.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 #: Longer texts are encoded word by word as a stream.
 LONG_TEXT = 2_000_000
 END_OF_WORD = "</w>"

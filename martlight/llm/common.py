@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from martlight.session import scratch_path
 
 #: Rows and bytes of one Arrow batch: bounds a Python worker's memory, not the result.
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
