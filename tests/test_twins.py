@@ -2,10 +2,11 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from martlight.plans import all_oracles, all_queries
 from tests.compare import TEST_DATA, difference
 
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 def test_every_query_has_a_twin():
