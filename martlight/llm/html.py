@@ -3,7 +3,7 @@
 1. A page is cut into flat blocks at block-level tags. A block knows its words, its share of words in
    links, whether it is a heading, whether it stands in an article or main element, beside one, or in
    an element for page furniture (menu, header, footer, aside, form, dialog ...), which may also be
-   known by its class, id or role.
+   known by its class, id or role, unless those name a layout or the block is long with few links.
 2. A decision tree takes word count and link density of the block and of its two neighbours, with
    those marks, and says text or not. The tree is trained here, by Gini splits, on a small labelled
    table of block features.
@@ -56,6 +56,13 @@ FURNITURE_NAMES = frozenset(
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Before or after one of those words in the same name, these say how a wrapper is laid out.
+LAYOUT_BEFORE = frozenset("has have no not with without hide show tag category".split())
+LAYOUT_AFTER = frozenset("layout enabled".split())
+#: In an article or main element these name the place of its title.
+TITLES = frozenset("header masthead".split())
+#: A block of so many words with at most this share in links is text in spite of a name.
+LONG, PLAIN = 40, 0.1
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose end tag may be missing: a new one of the kind ends it.
 SELF_CLOSING = {"p": "p", "li": "li", "dt": "dt", "dd": "dd", "option": "option", "tr": "tr", "td": "td", "th": "th"}
@@ -146,31 +153,57 @@ def tree() -> DecisionTree:
     return DecisionTree(table[:, :-1], table[:, -1])
 
 
-def _is_furniture(tag: str, attrs: str) -> bool:
-    if tag in FURNITURE:
-        return True
+def _named(attrs: str, content: bool) -> bool:
+    """Whether a class, id or role tells of furniture."""
     if "=" not in attrs:
         return False
     for match in NAMES.finditer(attrs):
-        value = match[1] or match[2] or match[3] or ""
-        if not FURNITURE_NAMES.isdisjoint(w.lower() for w in WORDS.findall(value)):
-            return True
+        for name in (match[1] or match[2] or match[3] or "").split():
+            words = [w.lower() for w in WORDS.findall(name)]
+            for k, word in enumerate(words):
+                if word not in FURNITURE_NAMES or content and word in TITLES:
+                    continue
+                if LAYOUT_BEFORE.isdisjoint(words[:k]) and LAYOUT_AFTER.isdisjoint(words[k + 1 :]):
+                    return True
     return False
 
 
+class _Open:
+    """An open element: marked as furniture by its tag or its name; what content elements it holds."""
+
+    __slots__ = ("tag", "marked", "named", "article", "main")
+
+    def __init__(self, tag: str, marked: bool, named: bool):
+        self.tag, self.marked, self.named = tag, marked, named
+        self.article = self.main = False
+
+
 class _Block:
-    __slots__ = ("text", "words", "linked", "content", "furniture", "heading")
+    __slots__ = ("text", "words", "linked", "content", "furniture", "heading", "named")
 
-    def __init__(self, text: str, linked: int, content: bool, furniture: bool, heading: bool):
+    def __init__(self, text: str, linked: int, content: bool, furniture: bool, heading: bool, named: tuple[_Open, ...]):
         self.text, self.words, self.linked = text, text.count(" ") + 1, linked
-        self.content, self.furniture, self.heading = content, furniture, heading
+        self.content, self.furniture, self.heading, self.named = content, furniture, heading, named
+
+
+def _believe_names(found: list[_Block]) -> None:
+    """Mark the blocks that names tell of.
+
+    A name is not believed of a main element or what holds one, nor of an article or what holds one if
+    no other content would be left, nor against a long block with few links.
+    """
+    other = any(b.content and not b.furniture and all(e.main for e in b.named) for b in found)
+    for block in found:
+        if any(not (e.main or e.article and not other) for e in block.named):
+            block.furniture |= block.words < LONG or block.linked > PLAIN * block.words
 
 
 def blocks(page: str) -> list[_Block]:
     """Flat text blocks in page order."""
     out: list[_Block] = []
     parts: list[str] = []
-    open_tags: list[tuple[str, bool]] = []  # (block-level tag, furniture)
+    open_tags: list[_Open] = []
+    named: tuple[_Open, ...] = ()  # those open whose name tells of furniture
     furniture = content = links = linked = 0
     heading = False
 
@@ -179,17 +212,31 @@ def blocks(page: str) -> list[_Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(_Block(text, linked, content > 0, furniture > 0, heading))
+                out.append(_Block(text, linked, content > 0, furniture > 0, heading, named))
             parts.clear()
         linked = 0
 
     def leave(at: int) -> None:
-        nonlocal furniture, content
-        for tag, marked in open_tags[at:]:
-            furniture -= marked
-            content -= tag in CONTENT
+        nonlocal furniture, content, named
+        for element in open_tags[at:]:
+            furniture -= element.marked
+            content -= element.tag in CONTENT
+            if element.named:
+                named = named[:-1]
         del open_tags[at:]
 
+    def enter(element: _Open) -> None:
+        nonlocal furniture, content, named
+        furniture += element.marked
+        content += element.tag in CONTENT
+        open_tags.append(element)
+        if element.named:
+            named = (*named, element)
+        if element.tag in CONTENT:
+            for outer in named:
+                outer.article |= element.tag == "article"
+                outer.main |= element.tag == "main"
+
     for match in TOKEN.finditer(page):
         tag = match["tag"]
         if tag is None:
@@ -209,39 +256,35 @@ def blocks(page: str) -> list[_Block]:
             parts.append(" ")
             continue
         if tag not in BLOCKS:
-            if not match["end"] and tag not in VOID and _is_furniture(tag, match["attrs"]):
+            if not match["end"] and tag not in VOID and _named(match["attrs"], content > 0):
                 # An inline element that is furniture stands as a block of its own.
                 close()
-                open_tags.append((tag, True))
-                furniture += 1
-            elif match["end"] and open_tags and open_tags[-1] == (tag, True):
+                enter(_Open(tag, False, True))
+            elif match["end"] and open_tags and open_tags[-1].tag == tag:
                 close()
                 leave(len(open_tags) - 1)
             continue
         close()
         if match["end"]:
-            at = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == tag), None)
+            at = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k].tag == tag), None)
             if at is not None:
                 leave(at)
             heading = False
             if tag not in ("p", "li"):
                 links = 0
         elif tag not in VOID:
-            if tag in SELF_CLOSING and open_tags and open_tags[-1][0] == SELF_CLOSING[tag]:
+            if tag in SELF_CLOSING and open_tags and open_tags[-1].tag == SELF_CLOSING[tag]:
                 leave(len(open_tags) - 1)
             elif tag == "p" or tag in HEADINGS:
                 heading = False
-            marked = _is_furniture(tag, match["attrs"])
-            if tag in ("html", "body"):
-                marked = False
+            marked = tag in FURNITURE
             if tag == "header" and content:
                 marked = False  # an article's own header holds its title
-            furniture += marked
-            content += tag in CONTENT
-            open_tags.append((tag, marked))
+            enter(_Open(tag, marked, tag not in ("html", "body") and _named(match["attrs"], content > 0 or tag in CONTENT)))
             heading = tag in HEADINGS
             links = 0
     close()
+    _believe_names(out)
     return out
 
 

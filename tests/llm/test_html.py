@@ -70,3 +70,24 @@ def test_frame(spark):
     found = html.extract_pages(df).orderBy(F.col("page_id").asc_nulls_first()).collect()
     assert [tuple(r) for r in found] == [(None, None, "", 0), (1, "u", "é", 1), (1, "u", "é", 1)]
     assert html.extract_pages(df.limit(0)).count() == 0
+
+
+LONG_TEXT = " ".join(["plain"] * 60)
+NAMED = {
+    "<div class='layout has-sidebar'><article><p>Body</p></article></div>": "Body",
+    "<div id=content-with-sidebar><p>Intro</p><article><p>Body</p></article></div>": "Body",
+    "<article class='post tag-ads'><p>Body</p></article>": "Body",
+    "<main class=no-header><p>Body</p></main>": "Body",
+    "<div class=sidebar-page><main><p>Body</p></main></div>": "Body",
+    "<div class=widget><article class=promo><p>Body</p></article></div>": "Body",
+    "<article><div class=post-header><h1>Title</h1></div><p>Body</p></article>": "Title\n\nBody",
+    f"<article><div class=share-wrap><p>{LONG_TEXT}</p><a href=x>Share</a></div></article>": LONG_TEXT,
+    "<article><p>Body</p></article><div class=related><article><a href=x>Teaser</a></article></div>": "Body",
+    "<article><p>Body</p><article class=comment><p>First!</p></article></article>": "Body",
+    "<article><p>a</p><span class=ad>buy</span><p>b</p></article>": "a\n\nb",
+}
+
+
+@pytest.mark.parametrize("page,text", NAMED.items())
+def test_a_name_alone_does_not_drop_what_a_wrapper_holds(page, text):
+    assert html.extract(page) == text
