@@ -108,10 +108,21 @@ SHAPES = (
     (6, 0.0, 4, 0.0, 3, 1.0, 0, 0),
     (3, 0.0, 2, 1.0, 3, 1.0, 1, 0),
 )
-#: Every shape counts as text within an article or main element, as furniture beside one, and as
-#: furniture where the page marks it so.
+#: Every shape counts as text within an article or main element, long plain ones also beside one, and
+#: none where the page marks it as furniture. None: as the shape says.
 MARKS = ((0, 0, 0, None), (1, 0, 0, 1), (0, 1, 0, 0), (0, 0, 1, 0), (1, 0, 1, 0), (0, 1, 1, 0))
-TRAINING = [(*shape[:-1], *marks[:-1], shape[-1] if marks[-1] is None else marks[-1]) for marks in MARKS for shape in SHAPES]
+
+
+def _label(shape: tuple, marks: tuple) -> int:
+    if marks == (0, 1, 0, 0) and shape[0] >= LONG and shape[1] <= PLAIN:
+        return 1
+    return shape[-1] if marks[-1] is None else marks[-1]
+
+
+#: Beside an article, blocks on both sides of that bound.
+EDGES = ((LONG - 1, 0.0, 60, 0.0, 60, 0.0, 0, 0), (LONG, 0.0, 60, 0.0, 60, 0.0, 0, 1), (90, PLAIN, 50, 0.0, 60, 0.0, 0, 1), (90, PLAIN + 0.02, 50, 0.0, 60, 0.0, 0, 0))
+TRAINING = [(*shape[:-1], *marks[:-1], _label(shape, marks)) for marks in MARKS for shape in SHAPES]
+TRAINING += [(*shape[:-1], *MARKS[2][:-1], shape[-1]) for shape in EDGES]
 
 
 class DecisionTree:
@@ -190,12 +201,13 @@ def _believe_names(found: list[_Block]) -> None:
     """Mark the blocks that names tell of.
 
     A name is not believed of a main element or what holds one, nor of an article or what holds one if
-    no other content would be left, nor against a long block with few links.
+    no other content would be left, nor, except beside such content, against a long block with few links.
     """
     other = any(b.content and not b.furniture and all(e.main for e in b.named) for b in found)
     for block in found:
         if any(not (e.main or e.article and not other) for e in block.named):
-            block.furniture |= block.words < LONG or block.linked > PLAIN * block.words
+            beside = other and not block.content
+            block.furniture |= beside or block.words < LONG or block.linked > PLAIN * block.words
 
 
 def blocks(page: str) -> list[_Block]:

@@ -91,3 +91,13 @@ NAMED = {
 @pytest.mark.parametrize("page,text", NAMED.items())
 def test_a_name_alone_does_not_drop_what_a_wrapper_holds(page, text):
     assert html.extract(page) == text
+
+
+def test_long_plain_blocks_beside_articles_are_text():
+    cards = "".join(f"<article><h3><a href=/{k}>Card {k}</a></h3></article>" for k in range(3))
+    for words in (40, 100, 700):
+        body = " ".join(["word"] * words)
+        found = html.extract(f"<div><p>{body}</p><p>{body}</p></div>{cards}<div><p>Short line</p></div>").split("\n\n")
+        assert found[:2] == [body, body] and "Short line" not in found
+        for beside in (f"<div class=comments><p>{body}</p></div>", f"<p><a href=x>{body}</a></p>", f"<footer>{body}</footer>", " ".join(["word"] * 39)):
+            assert html.extract(f"<article><p>Body</p></article>{beside}") == "Body"
