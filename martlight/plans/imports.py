@@ -56,7 +56,7 @@ def _uploaded_lines(spark: SparkSession, folder: str) -> DataFrame:
     note = F.concat(F.col("SKU"), F.lit("\nsecond \"line\",\r\n"), F.col("Qty"))
     rows = dirty_rows(spark, folder).orderBy(ROW_INDEX).select("SKU", note.alias("Note"))
     write_csv(rows, path)
-    return read_raw(spark, path, multiline=True).drop(MALFORMED)
+    return read_raw(spark, path).drop(MALFORMED)
 
 
 def _staged(spark: SparkSession, folder: str) -> Cleaning:
