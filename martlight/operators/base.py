@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlight.operators.filters import EVERYTHING, SalesFilter
-from martlight.sources.star import Star
+from martlight.operators.filters import EVERYTHING, Period, SalesFilter, in_months
+from martlight.sources.star import MONTH, Star
 
 
-def matched_items(star: Star, flt: SalesFilter, *product_columns: str) -> DataFrame:
+def order_keys(star: Star) -> list[str]:
+    """What orders and items are joined by. A published star's items carry the month of their order:
+    with it in the key, months that a filter on orders leaves out are pruned from the items too."""
+    return ["order_id", MONTH] if MONTH in star.order_items.columns else ["order_id"]
+
+
+def _in_periods(rows: DataFrame, *periods: Period) -> DataFrame:
+    return rows.where(in_months(F.col(MONTH), *periods)) if MONTH in rows.columns else rows
+
+
+def matched_items(star: Star, flt: SalesFilter, *product_columns: str,
+                  periods: tuple[Period, ...] | None = None) -> DataFrame:
     """Order items whose product exists and passes the filter, with the wanted product columns.
 
-    No broadcast is forced: Catalyst broadcasts a product table under its size limit and shuffles a
-    larger one, where AQE splits a hot product.
+    Items that carry a month are cut to the months of the filter's dates (or of ``periods``), which
+    prunes whole folders. No broadcast is forced: Catalyst broadcasts a product table under its size
+    limit and shuffles a larger one, where AQE splits a hot product.
     """
-    items = star.order_items
+    items = _in_periods(star.order_items, *(periods or (flt.period(),)))
     wanted = [c for c in product_columns if c != "product_id"]
     if wanted or flt.category_id is not None:
         products = star.products.where(flt.product_condition()).select("product_id", *wanted)
@@ -25,9 +37,12 @@ def matched_items(star: Star, flt: SalesFilter, *product_columns: str) -> DataFr
     return items.join(star.products.select("product_id"), "product_id", "left_semi")
 
 
-def matched_orders(star: Star, flt: SalesFilter, *columns: str) -> DataFrame:
-    wanted = [c for c in columns if c != "order_id"]
-    return star.orders.where(flt.order_condition()).select("order_id", *wanted)
+def matched_orders(star: Star, flt: SalesFilter, *columns: str, when: Column | None = None,
+                   periods: tuple[Period, ...] | None = None) -> DataFrame:
+    orders = star.orders.where(flt.order_condition() if when is None else when)
+    keys = order_keys(star)
+    wanted = [c for c in columns if c not in keys]
+    return _in_periods(orders, *(periods or (flt.period(),))).select(*keys, *wanted)
 
 
 def sales_base(
@@ -39,12 +54,12 @@ def sales_base(
 ) -> DataFrame:
     """One row per order item that survives the filter."""
     return matched_orders(star, flt, *order_columns).join(
-        matched_items(star, flt, *product_columns), "order_id"
+        matched_items(star, flt, *product_columns), order_keys(star)
     )
 
 
-def sum_by_order(items: DataFrame) -> DataFrame:
-    return items.groupBy("order_id").agg(
+def sum_by_order(items: DataFrame, keys: list[str]) -> DataFrame:
+    return items.groupBy(*keys).agg(
         F.sum("total_cents").alias("revenue"),
         F.sum("quantity").alias("units"),
         F.count("*").alias("lines"),
@@ -52,15 +67,15 @@ def sum_by_order(items: DataFrame) -> DataFrame:
 
 
 def order_grain(star: Star, flt: SalesFilter, *order_columns: str,
-                when: Column | None = None) -> DataFrame:
+                when: Column | None = None, periods: tuple[Period, ...] | None = None) -> DataFrame:
     """One row per order with at least one matching item: revenue (in cents), units and lines.
 
     Items are summed before they meet the orders. The partial sums run map-side, so an order
     holding a large part of all items shrinks to one row per input split, and the join reuses the
     order_id partitioning of the sums. Order counts above this grain are plain counts, not distinct.
+    ``when`` replaces the filter's condition on orders; ``periods`` then are the dates it can match.
     """
-    orders = star.orders.where(flt.order_condition() if when is None else when)
-    wanted = [c for c in order_columns if c != "order_id"]
-    return orders.select("order_id", *wanted).join(
-        sum_by_order(matched_items(star, flt)), "order_id"
+    keys = order_keys(star)
+    return matched_orders(star, flt, *order_columns, when=when, periods=periods).join(
+        sum_by_order(matched_items(star, flt, periods=periods), keys), keys
     )

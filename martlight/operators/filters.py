@@ -18,6 +18,23 @@ ANY = "all"
 YEAR_SPANS = (364, 365, 366)
 
 
+# First and last day, None where there is no limit.
+Period = tuple[dt.date | None, dt.date | None]
+
+
+def in_months(month: Column, *periods: Period) -> Column:
+    """Whether a month (year * 100 + month) holds days of one of the periods."""
+    any_of = F.lit(False)
+    for start, end in periods:
+        parts = [F.lit(True)]
+        if start is not None:
+            parts.append(month >= start.year * 100 + start.month)
+        if end is not None:
+            parts.append(month <= end.year * 100 + end.month)
+        any_of = any_of | reduce(and_, parts)
+    return any_of
+
+
 def _given(value):
     return None if value in (None, "", ANY) else value
 
@@ -58,6 +75,9 @@ class SalesFilter:
             parts.append(F.col("order_date") <= F.lit(self.end_date))
         return reduce(and_, parts, F.lit(True))
 
+    def period(self) -> Period:
+        return self.start_date, self.end_date
+
     def order_condition(self) -> Column:
         """Everything that can be decided on the order row alone."""
         parts = [self.date_condition()]

@@ -15,7 +15,7 @@ from martlight.operators.ingest import next_ids, refresh_segments
 from martlight.operators.master import REGIONS, ensure_master, products
 from martlight.schema import column_types
 from martlight.session import stored
-from martlight.sources.star import Draft, Star, read_star
+from martlight.sources.star import LOGS, Draft, Star, largest_id, read_star, spend_of, with_month
 
 # Distributions of the generated sales.
 FIRST_DAY = dt.date(2023, 1, 1)
@@ -277,11 +277,13 @@ def _candidate_count(total_records: int) -> int:
 
 @dataclass(frozen=True)
 class GeneratedSales:
-    """The grown star, the item rows that are new in it, and the flat sales rows."""
+    """The grown star, the rows that are new in it, and the flat sales rows."""
 
     star: Star
     new_items: DataFrame
     flat: DataFrame
+    new_orders: DataFrame
+    new_customers: DataFrame
 
 
 def _typed(df: DataFrame, table: str) -> DataFrame:
@@ -292,7 +294,7 @@ def generate(spark: SparkSession, star: Star, total_records: int = DEFAULT_RECOR
              ) -> GeneratedSales:
     """Add generated orders to a star, with master records and customers where they are missing."""
     base = ensure_master(spark, star)
-    customers = base.customers
+    customers, fresh = base.customers, base.customers.limit(0)
     if customers.limit(ENOUGH_CUSTOMERS).count() < ENOUGH_CUSTOMERS:
         made = next_ids(
             new_customers(spark.range(1, CUSTOMER_COUNT + 1)), "id", customers, "customer_id")
@@ -315,13 +317,15 @@ def generate(spark: SparkSession, star: Star, total_records: int = DEFAULT_RECOR
     new_orders = orders.join(F.broadcast(regions), "region_name").withColumns({
         "discount_amount": F.lit(0), "is_synthetic": F.lit(True)})
     new_items = _typed(items.join(F.broadcast(codes), "product_code"), "order_items")
-    all_orders = _typed(base.orders, "orders").unionByName(_typed(new_orders, "orders"))
+    new_orders = _typed(new_orders, "orders")
+    all_orders = _typed(base.orders, "orders").unionByName(new_orders)
     grown = base.replace({
         "customers": refresh_segments(customers, all_orders),
         "orders": all_orders,
         "order_items": _typed(base.order_items, "order_items").unionByName(new_items),
     })
-    return GeneratedSales(grown, new_items, flat_rows(orders, items))
+    return GeneratedSales(
+        grown, new_items, flat_rows(orders, items), new_orders, _typed(fresh, "customers"))
 
 
 def generation_log(flat: DataFrame, import_id: Column, created_at: dt.datetime) -> DataFrame:
@@ -350,11 +354,15 @@ def seed_star(spark: SparkSession, root: str, version: int, total_records: int,
     sales, extra = generate(spark, old, total_records), ensure_master(spark, old, missing_only=True)
     for table in ("regions", "categories", "products"):
         draft.write(table, extra.table(table))
-    draft.write("orders", sales.star.orders)
-    draft.write("customers", sales.star.customers)
-    draft.write("order_items", sales.new_items)
-    log = old.table("data_import_logs")
+    customers, orders = stored(sales.new_customers, "customers"), stored(sales.new_orders, "orders")
+    draft.used_to("customer_id", largest_id(customers, "customer_id"))
+    draft.used_to("order_id", largest_id(orders, "order_id"))
+    draft.write_customers(customers)
+    draft.write_orders(orders)
+    draft.write("customer_spend", spend_of(orders))
+    draft.write("order_items", with_month(sales.new_items, orders))
+    log = old.table(LOGS)
     next_id = log.agg((F.coalesce(F.max("import_id"), F.lit(0)) + 1).alias("n")).scalar()
-    draft.write("data_import_logs", generation_log(sales.new_items, next_id, created_at))
+    draft.write(LOGS, generation_log(sales.new_items, next_id, created_at))
     draft.publish(old.keys_verified)
     return version + 1

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from martlight.functions.money import MONEY, PRICE, RATE, TOTAL
 from martlight.functions.numbering import number_rows
+from martlight.functions.tiers import spend_tier
 from martlight.operators.cleaning import Cleaning
 from martlight.operators.master import ensure_master
-from martlight.operators.metrics import spend_tier
 from martlight.schema import COMPLETED, MIDDLE_TIER_SPEND, TOP_TIER_SPEND, column_types
-from martlight.session import create_once, remove_small, stored
-from martlight.sources.star import Draft, read_star
+from martlight.session import stored
+from martlight.sources.star import LOGS, MONTH, Draft, PublishedStar, month_of, read_star, spend_of
 from martlight.sources.upload import ROW_INDEX
 
 # Attributes of customers, categories and log rows created by an import.
@@ -29,14 +29,17 @@ UPLOAD_FILE_TYPE = "Uploaded File"
 COMMITTED = "Committed"
 
 
-def next_ids(df: DataFrame, position: str, existing: DataFrame, id_column: str) -> DataFrame:
-    """Give rows the ids after the largest existing one, in order of ``position``."""
-    largest = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("bigint").alias("largest"))
-    numbered = (
-        number_rows(df, position, "_n")
-        .withColumn(id_column, F.col("_n") + largest.scalar())
-        .drop("_n")
-    )
+def next_ids(df: DataFrame, position: str, existing: DataFrame | int, id_column: str) -> DataFrame:
+    """Give rows the ids after the largest existing one, in order of ``position``.
+
+    ``existing`` holds the ids in use, or is the largest of them.
+    """
+    if isinstance(existing, int):
+        largest = F.lit(existing).cast("bigint")
+    else:
+        largest = existing.agg(
+            F.coalesce(F.max(id_column), F.lit(0)).cast("bigint").alias("largest")).scalar()
+    numbered = number_rows(df, position, "_n").withColumn(id_column, F.col("_n") + largest).drop("_n")
     # Numbering reads its input twice: what is joined to it next should not repeat that.
     return stored(numbered, id_column)
 
@@ -68,8 +71,13 @@ def number_new(cleaned: DataFrame, key: str, existing: DataFrame, id_column: str
 
 
 def new_customers(cleaned: DataFrame, customers: DataFrame) -> DataFrame:
+    return imported_customers(number_new(cleaned, "customer_code", customers, "customer_id"))
+
+
+def imported_customers(numbered: DataFrame) -> DataFrame:
+    """Whole customer rows from new codes and their ids."""
     code = F.col("customer_code")
-    rows = number_new(cleaned, "customer_code", customers, "customer_id").withColumns({
+    rows = numbered.withColumns({
         "first_name": F.lit(IMPORTED_FIRST_NAME),
         "last_name": F.concat(F.lit("User_"), F.right(code, F.lit(4))),
         "email": F.concat(F.lower(code), F.lit(IMPORTED_EMAIL_DOMAIN)),
@@ -142,7 +150,12 @@ def number_new_orders(rollup: DataFrame, orders: DataFrame) -> DataFrame:
 
 def new_orders(rollup: DataFrame, orders: DataFrame, customers: DataFrame,
                regions: DataFrame) -> DataFrame:
-    placed = look_up_regions(number_new_orders(rollup, orders), regions).join(
+    return imported_orders(number_new_orders(rollup, orders), customers, regions)
+
+
+def imported_orders(numbered: DataFrame, customers: DataFrame, regions: DataFrame) -> DataFrame:
+    """Whole order rows from rolled-up orders and their ids."""
+    placed = look_up_regions(numbered, regions).join(
         customers.select("customer_code", "customer_id"), "customer_code", "left"
     )
     rows = placed.withColumns({
@@ -171,10 +184,11 @@ def upsert_orders(rollup: DataFrame, orders: DataFrame, customers: DataFrame,
     )
 
 
-def new_items(cleaned: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
-    """Every cleaned row becomes an item, also for orders that existed before."""
+def new_items(cleaned: DataFrame, orders: DataFrame, products: DataFrame, *kept: str) -> DataFrame:
+    """Every cleaned row becomes an item, also for orders that existed before. ``kept`` names columns
+    of the order that its items carry."""
     rows = (
-        cleaned.join(orders.select("order_number", "order_id"), "order_number")
+        cleaned.join(orders.select("order_number", "order_id", *kept), "order_number")
         .join(products.select("product_code", "product_id"), "product_code", "left")
         .withColumn("product_id", F.coalesce("product_id", _first_id(products, "product_id")))
     )
@@ -182,7 +196,7 @@ def new_items(cleaned: DataFrame, orders: DataFrame, products: DataFrame) -> Dat
         "order_id", "product_id", F.col("quantity").cast("bigint").alias("quantity"),
         F.col("unit_price").cast(PRICE).alias("unit_price"),
         F.col("discount_rate").cast(RATE).alias("discount_rate"),
-        F.col("total_price").cast(MONEY).alias("total_price"),
+        F.col("total_price").cast(MONEY).alias("total_price"), *kept,
     )
 
 
@@ -231,45 +245,68 @@ def commit(spark: SparkSession, root: str, version: int, staged: Cleaning, filen
            created_at: dt.datetime) -> Commit:
     """Publish star version ``version`` + 1 from the current one and a staged, approved import.
 
-    Readers keep using ``version`` until the caller hands them the new number, so an import that
-    dies half-way changes nothing. Of two imports that start from one version the later one raises
-    VersionConflict and can be run again on the new version. A stage is used up by its commit. Each
-    table is written before the next step reads it: later steps start from files, not from the
-    whole lineage.
+    Only what the import brings is read and written: its keys are looked up in the folders they fall
+    in, new totals and spend are added as rows of their own (see ``sources.star``), and ids come from
+    the ranges the version before left free.
+
+    Readers keep using ``version`` until the caller hands them the new number, so an import that dies
+    at any step changes nothing and can be run again. Of two imports that start from one version the
+    later one raises VersionConflict and can be run again on the new version. Which stages a version
+    holds is part of the version, so a stage is used up exactly when its import is published. Each
+    table is written before the next step reads it: later steps start from files, not from the whole
+    lineage.
     """
-    claim = f"{staged.folder}/_committed" if staged.folder else None
-    if claim and not create_once(spark, claim, filename):
+    old = read_star(spark, root, version)
+    if staged.folder and not old.rows("used_stages").where(F.col("stage") == staged.folder).isEmpty():
         raise StageUsed(f"{staged.folder} has been committed before")
-    try:
-        return _commit(spark, root, version, staged, filename, created_at)
-    except BaseException:
-        if claim:
-            remove_small(spark, claim)
-        raise
-
-
-def _commit(spark: SparkSession, root: str, version: int, staged: Cleaning, filename: str,
-            created_at: dt.datetime) -> Commit:
-    old, draft = read_star(spark, root, version), Draft(spark, root, version + 1)
-    cleaned = staged.cleaned()
+    draft, cleaned = Draft(spark, root, version + 1), staged.cleaned()
     base, extra = ensure_master(spark, old), ensure_master(spark, old, missing_only=True)
     draft.write("regions", extra.regions)
     draft.write("categories", extra.categories.unionByName(new_categories(cleaned, base.categories)))
     draft.write("products", extra.products.unionByName(
         new_products(cleaned, base.products, draft.table("categories"))))
 
-    customers = old.customers.unionByName(new_customers(cleaned, old.customers))
-    rollup = roll_up_orders(cleaned)
-    draft.write("orders", upsert_orders(rollup, old.orders, customers, draft.table("regions")))
-    orders = draft.table("orders")
-    draft.write("customers", refresh_segments(customers, orders))
-    draft.write("order_items", new_items(cleaned, orders, draft.table("products")))
-
-    log = old.table("data_import_logs")
+    codes = stored(old.look_up("customer_keys", _first_rows(cleaned, "customer_code")), "codes")
+    made = _numbered(draft, codes.where("customer_id is null").drop("customer_id"), "customer_id")
+    draft.write_customers(imported_customers(made))
+    buyers = codes.where("customer_id is not null").unionByName(made).select("customer_code", "customer_id")
+
+    rollup = stored(roll_up_orders(cleaned), "rollup")
+    numbers = stored(old.look_up("order_keys", rollup), "numbers")
+    known = numbers.where("order_id is not null")
+    made = _numbered(draft, numbers.where("order_id is null").drop("order_id", MONTH), "order_id")
+    orders = stored(imported_orders(made, buyers, draft.table("regions")), "orders")
+    draft.write_orders(orders)
+    draft.write("order_totals", known)
+    draft.write("customer_spend", spend_of(orders).unionByName(_changed_spend(old, known)))
+    months = orders.select("order_number", "order_id", month_of(F.col("order_date")).alias(MONTH))
+    placed = known.select("order_number", "order_id", MONTH).unionByName(months)
+    draft.write("order_items", new_items(cleaned, placed, draft.table("products"), MONTH))
+
+    log = old.table(LOGS)
     next_id = log.agg((F.coalesce(F.max("import_id"), F.lit(0)) + 1).alias("next_id")).scalar()
-    draft.write("data_import_logs", import_log_row(
-        staged.audit(), staged.actions(), next_id, filename, created_at))
-    inserted = orders.join(old.orders.select("order_id"), "order_id", "left_anti").count()
+    draft.write(LOGS, import_log_row(staged.audit(), staged.actions(), next_id, filename, created_at))
+    if staged.folder:
+        draft.write("used_stages", spark.range(1).select(F.lit(staged.folder).alias("stage")))
     # Every imported row got an existing parent, so the keys are as sound as they were.
     draft.publish(old.keys_verified)
-    return Commit(version + 1, inserted, cleaned.count())
+    return Commit(version + 1, orders.count(), cleaned.count())
+
+
+def _numbered(draft: Draft, rows: DataFrame, id_column: str) -> DataFrame:
+    """Rows with ids of a range that this version reserves."""
+    return next_ids(rows, "first_row", draft.free_ids(id_column, rows.count()), id_column)
+
+
+def _changed_spend(old: PublishedStar, known: DataFrame) -> DataFrame:
+    """What new totals of known orders change in their customers' spend.
+
+    Only the months of these orders are read: their numbers, one per calendar month at most, come to
+    the driver first.
+    """
+    months = [r[0] for r in known.select(MONTH).distinct().collect()]
+    hit = old.orders.where(F.col(MONTH).isin(*months) if months else F.lit(False))
+    totals = known.select("order_id", MONTH, F.col("total_amount").alias("_imported"))
+    changed = hit.join(totals, ["order_id", MONTH]).withColumn(
+        "total_amount", F.col("_imported") - F.col("total_amount"))
+    return spend_of(changed)

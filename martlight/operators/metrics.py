@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from martlight.functions.money import dollars, mean_dollars, share_pct
+from martlight.functions.tiers import spend_tier
 from martlight.operators.base import order_grain, sales_base
 from martlight.operators.filters import EVERYTHING, SalesFilter, prior_window
-from martlight.schema import MIDDLE_TIER_SPEND, TIER_NAMES, TOP_TIER_SPEND
+from martlight.schema import MIDDLE_TIER_SPEND, TOP_TIER_SPEND
 from martlight.sources.star import Star
 
 MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -37,13 +38,6 @@ def growth_pct(current: Column, prior: Column) -> Column:
     )
 
 
-def spend_tier(spend: Column, names=TIER_NAMES, hi=TOP_TIER_SPEND, mid=MIDDLE_TIER_SPEND) -> Column:
-    return (
-        F.when(spend >= hi, F.lit(names[0])).when(spend >= mid, F.lit(names[1]))
-        .otherwise(F.lit(names[2]))
-    )
-
-
 def kpi_primary(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
     return order_grain(star, flt, "customer_id").agg(
         dollars(F.sum("revenue")).alias("total_revenue"),
@@ -117,17 +111,20 @@ def _between(window: tuple[dt.date, dt.date] | None) -> Column:
 
 
 def kpi_prior_revenue(star: Star, flt: SalesFilter, as_of: dt.date) -> DataFrame:
-    inside = flt.without_dates().order_condition() & _between(prior_window(flt, as_of))
-    return order_grain(star, flt, when=inside).agg(
+    window = prior_window(flt, as_of)
+    inside = flt.without_dates().order_condition() & _between(window)
+    return order_grain(star, flt, when=inside, periods=(window,) if window else None).agg(
         dollars(F.sum("revenue")).alias("prior_revenue")
     )
 
 
 def kpis(star: Star, flt: SalesFilter, as_of: dt.date) -> DataFrame:
     """One row with every key figure. Current and prior period come from one pass over the facts."""
-    current, prior = flt.date_condition(), _between(prior_window(flt, as_of))
+    window = prior_window(flt, as_of)
+    current, prior = flt.date_condition(), _between(window)
+    periods = (flt.period(), *([window] if window else []))
     either = flt.without_dates().order_condition() & (current | prior)
-    figures = order_grain(star, flt, "order_date", "customer_id", when=either).agg(
+    figures = order_grain(star, flt, "order_date", "customer_id", when=either, periods=periods).agg(
         F.sum(F.when(current, F.col("revenue"))).alias("revenue"),
         F.count_if(current).alias("total_orders"),
         F.coalesce(F.sum(F.when(current, F.col("units"))), F.lit(0)).alias("units_sold"),

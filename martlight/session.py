@@ -52,16 +52,28 @@ def _at(spark: SparkSession, path: str):
 
 
 def create_once(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a small file if nobody has; False if it is there. Of several callers one succeeds."""
+    """Create a small file if nobody has; False if it is there. Of several callers one succeeds.
+
+    The text is written to a file of its own first and then renamed without overwriting, so the file
+    never exists without its text, and a caller that dies half-way leaves only a hidden file that
+    nobody reads. The rename is atomic on HDFS and on POSIX file systems; an object store needs a
+    Hadoop connector whose rename refuses an existing target.
+    """
     files, place = _at(spark, path)
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    draft = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}-{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf)
     try:
-        out = files.create(place, False)
+        context.rename(draft, place, gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
     except Py4JJavaError as error:
+        files.delete(draft, False)
         if files.exists(place):
             return False
         raise error
-    out.write(bytearray(text.encode()))
-    out.close()
     return True
 
 
@@ -75,8 +87,3 @@ def read_small(spark: SparkSession, path: str) -> str:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
-
-
-def remove_small(spark: SparkSession, path: str) -> None:
-    files, place = _at(spark, path)
-    files.delete(place, False)

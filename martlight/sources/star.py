@@ -1,4 +1,21 @@
-"""The star schema as a set of DataFrames, read from versioned parquet folders or bound elsewhere."""
+"""The star schema as a set of DataFrames, read from versioned parquet folders or bound elsewhere.
+
+A published star is a list of parts. A part is what one import (or seeding, or compaction) wrote, and is
+never changed. An import therefore costs what it brings, not what is there already:
+
+- ``orders`` and ``order_items`` lie in folders by month of the order, orders sorted by day: a report
+  over some dates reads only these months, and only row groups with these days.
+- A new total of an old order is a row in ``order_totals``; reading takes the newest per order. The
+  right side of that join is unique, so Catalyst drops it from every report that needs no total.
+- ``customer_spend`` holds what each part adds to a customer's completed orders. Tiers are derived from
+  its sums when they are read, and again only then.
+- ``order_keys`` and ``customer_keys`` map order numbers and customer codes to ids, in folders by a hash
+  of the key: an import looks its keys up in the folders they fall in.
+
+A part is written under a name of its own and nobody reads it before ``Draft.publish`` creates the
+version's marker, if it does not exist yet. The marker names the parts of the version (MAX_PARTS at most:
+the next import then folds them into one) and the next free ids.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +27,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlight.functions.money import cents
-from martlight.schema import SCHEMAS, TABLE_NAMES, column_types
-from martlight.session import create_once, read_small
-
-# Tables whose rows are only ever added; the others are written whole for each version.
-APPEND_ONLY = ("regions", "categories", "products", "order_items", "data_import_logs")
+from martlight.functions.tiers import spend_tier
+from martlight.schema import COMPLETED, SCHEMAS, TABLE_NAMES, column_types
+from martlight.session import create_once, read_small, stored
+
+MONTH = "order_month"
+BUCKET = "bucket"
+LOGS = "data_import_logs"
+#: Parts of a version; one more import folds them into one part first.
+MAX_PARTS = 32
+#: Keys in one folder of an index.
+BUCKET_ROWS = 1 << 22
+MAX_BUCKETS = 4096
+
+# Tables that only a published star has: name, columns.
+SIDE_TABLES = {
+    "order_keys": "order_number string, order_id bigint, order_month int",
+    "customer_keys": "customer_code string, customer_id bigint",
+    "order_totals": "order_id bigint, total_amount decimal(38,2)",
+    "customer_spend": "customer_id bigint, spent decimal(38,2)",
+    "used_stages": "stage string",
+}
+FOLDERS = {
+    "orders": MONTH, "order_items": MONTH, "order_totals": MONTH,
+    "order_keys": BUCKET, "customer_keys": BUCKET,
+}
+# Inside its folders a table is sorted, so that row groups can be skipped.
+SORTED = {
+    "orders": ("order_date", "order_id"), "order_items": ("order_id",), "order_totals": ("order_id",),
+    "order_keys": ("order_number",), "customer_keys": ("customer_code",),
+}
+INDEXES = {"order_keys": "order_number", "customer_keys": "customer_code"}
+
+
+def month_of(day: Column) -> Column:
+    """Year and month as one number, 0 for a missing date."""
+    return F.coalesce(F.year(day) * 100 + F.month(day), F.lit(0))
+
+
+def with_month(items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Items with the month of their order; 0 without an order."""
+    months = orders.select("order_id", month_of(F.col("order_date")).alias("_month"))
+    found = items.join(months.groupBy("order_id").agg(F.min("_month").alias("_month")), "order_id", "left")
+    return found.withColumn(MONTH, F.coalesce("_month", F.lit(0))).drop("_month")
+
+
+def spend_of(orders: DataFrame) -> DataFrame:
+    """What each customer's completed orders add up to."""
+    done = orders.where(F.col("order_status") == COMPLETED)
+    return done.groupBy("customer_id").agg(F.sum("total_amount").alias("spent"))
 
 
 def _with_cents(items: DataFrame) -> DataFrame:
@@ -98,57 +159,180 @@ def _published(spark: SparkSession, root: str, version: int) -> dict:
     return json.loads(text)
 
 
-def _tables(spark: SparkSession, root: str, attempts: list[str]) -> Callable[[str], DataFrame]:
-    """Tables as of the last of the attempts. Attempts are partitions: others are not read."""
-    version = len(attempts) - 1
+def _declared(name: str) -> str:
+    columns = SCHEMAS.get(name) or SIDE_TABLES[name]
+    return f"{columns}, {FOLDERS[name]} int" if name in FOLDERS and FOLDERS[name] not in columns else columns
 
-    def build(name: str) -> DataFrame:
-        rows = spark.read.schema(f"{SCHEMAS[name]}, version int, attempt string").parquet(f"{root}/{name}")
-        if name in APPEND_ONLY:
-            visible = (F.col("version") <= version) & F.col("attempt").isin(*attempts)
-        else:
-            visible = (F.col("version") == version) & (F.col("attempt") == attempts[-1])
-        return rows.where(visible).drop("version", "attempt")
 
-    return build
+def _rows(spark: SparkSession, root: str, parts: list[dict], name: str) -> DataFrame:
+    """All rows of a table in the given parts, with the version that brought them."""
+    paths = [f"{root}/{name}/{p['path']}" for p in parts if name in p["tables"]]
+    schema = f"{_declared(name)}, version int, attempt string"
+    if not paths:
+        return spark.createDataFrame([], schema).drop("attempt")
+    rows = spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(*paths)
+    # Only what lies in a version's folder. (No comparison here: Spark would take it for a selective
+    # filter and prune orders by items instead of items by orders.)
+    return rows.where(F.col("version").isNotNull()).drop("attempt")
+
+
+class PublishedStar(Star):
+    """The tables of one published version, and its indexes."""
+
+    def __init__(self, spark: SparkSession, root: str, version: int, marker: dict):
+        super().__init__(self._logical, marker["keys_verified"])
+        self.spark, self.root, self.version, self.marker = spark, root, version, marker
+
+    def rows(self, name: str) -> DataFrame:
+        return _rows(self.spark, self.root, self.marker["parts"], name)
+
+    def has(self, name: str) -> bool:
+        return any(name in p["tables"] for p in self.marker["parts"])
+
+    def _logical(self, name: str) -> DataFrame:
+        rows = self.rows(name).drop("version")
+        if name == "orders" and self.has("order_totals"):
+            newest = self.rows("order_totals").groupBy("order_id", MONTH).agg(
+                F.max_by("total_amount", "version").alias("_newest"))
+            total = F.coalesce("_newest", "total_amount").cast(dict(column_types("orders"))["total_amount"])
+            return rows.join(newest, ["order_id", MONTH], "left").withColumn("total_amount", total).drop("_newest")
+        if name == "customers" and self.marker["tiers"]:
+            spent = self.rows("customer_spend").groupBy("customer_id").agg(F.sum("spent").alias("_spent"))
+            tier = spend_tier(F.coalesce("_spent", F.lit(0)))
+            return rows.join(spent, "customer_id", "left").withColumn("segment", tier).drop("_spent")
+        return rows
+
+    def look_up(self, index: str, wanted: DataFrame) -> DataFrame:
+        """``wanted`` with the columns of an index beside its key, null where the key is not there.
 
+        Only the folders that the wanted keys fall in are read; their numbers (MAX_BUCKETS at most)
+        come to the driver first, so that the others are not even listed.
+        """
+        key, folder = INDEXES[index], bucket_of(F.col(INDEXES[index]), self.marker["buckets"][index])
+        hit = [r[0] for r in wanted.select(folder.alias(BUCKET)).distinct().collect()]
+        entries = self.rows(index).where(F.col(BUCKET).isin(*hit) if hit else F.lit(False))
+        return wanted.join(entries.drop("version", BUCKET), key, "left")
 
-def read_star(spark: SparkSession, root: str, version: int) -> Star:
+
+def largest_id(rows: DataFrame, id_column: str) -> int:
+    return rows.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("bigint")).first()[0]
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def read_star(spark: SparkSession, root: str, version: int) -> PublishedStar:
     """The published tables of ``version``, with the keys verified if the version says so."""
-    found = _published(spark, root, version)
-    return Star(_tables(spark, root, found["attempts"]), found["keys_verified"])
+    return PublishedStar(spark, root, version, _published(spark, root, version))
 
 
 class Draft:
-    """A version in the making: its tables are written under a name of its own, and nobody reads
-    them before ``publish``, which creates the version's marker if it does not exist yet. Of two
-    drafts of one version the second cannot be published, and its rows are never seen."""
+    """A version in the making, from the version before it and what ``write`` adds.
 
-    def __init__(self, spark: SparkSession, root: str, version: int):
+    Of two drafts of one version the second cannot be published, and its rows are never seen. If the
+    version before has MAX_PARTS parts, or ``fold`` asks for it, its tables are first written whole
+    as one part of this version.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, version: int, fold: bool = False):
         self.spark, self.root, self.version = spark, root, version
-        before = _published(spark, root, version - 1)["attempts"] if version else []
-        self.attempts = [*before, uuid.uuid4().hex]
-        self.table = _tables(spark, root, self.attempts)
+        self.part = {"path": f"version={version}/attempt={uuid.uuid4().hex}", "tables": []}
+        self.marker = {"parts": [], "keys_verified": False, "tiers": False, "next": {}, "buckets": {}}
+        if version:
+            before = read_star(spark, root, version - 1)
+            self.marker = before.marker
+            if fold or len(before.marker["parts"]) >= MAX_PARTS:
+                folded = self._whole(before)
+                self.marker = before.marker | {"parts": [folded.part], "buckets": folded.marker["buckets"]}
+
+    def _whole(self, star: PublishedStar) -> Draft:
+        draft = Draft.__new__(Draft)
+        draft.spark, draft.root, draft.version = self.spark, self.root, self.version
+        draft.part = {"path": f"version={self.version}/attempt={uuid.uuid4().hex}", "tables": []}
+        draft.marker = {"parts": [], "buckets": {}}
+        draft.write_all(star)
+        draft.write(LOGS, star.table(LOGS))
+        draft.write("used_stages", star.rows("used_stages"))
+        return draft
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        columns = [F.col(c).cast(kind).alias(c) for c, kind in column_types(name)]
-        path = f"{self.root}/{name}/version={self.version}/attempt={self.attempts[-1]}"
-        rows.select(*columns).write.mode("errorifexists").parquet(path)
+    def table(self, name: str) -> DataFrame:
+        """Rows of a table of this version, as far as it is written."""
+        parts = [*self.marker["parts"], self.part]
+        return PublishedStar(self.spark, self.root, self.version, self.marker | {"parts": parts}).table(name)
 
-    def publish(self, keys_verified: bool) -> None:
-        content = json.dumps({"attempts": self.attempts, "keys_verified": keys_verified})
-        if not create_once(self.spark, _marker(self.root, self.version), content):
+    def write(self, name: str, rows: DataFrame) -> None:
+        """Write a table of this part, in its folders and its order."""
+        columns = [tuple(c.split(" ")) for c in _declared(name).split(", ")]
+        if name in INDEXES:
+            rows = rows.withColumn(BUCKET, bucket_of(F.col(INDEXES[name]), self.marker["buckets"][name]))
+        if name == "orders":
+            rows = rows.withColumn(MONTH, month_of(F.col("order_date")))
+        rows = rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in columns])
+        writer = rows.write
+        if name in FOLDERS:
+            order = (FOLDERS[name], *SORTED[name])
+            # Ranges, not hashes: a month with a third of all rows is spread over many tasks.
+            writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(FOLDERS[name])
+        writer.mode("errorifexists").parquet(f"{self.root}/{name}/{self.part['path']}")
+        self.part["tables"].append(name)
+
+    def write_orders(self, orders: DataFrame) -> None:
+        """New orders and their entries in the index."""
+        self.write("orders", orders)
+        self.write("order_keys", orders.withColumn(MONTH, month_of(F.col("order_date"))))
+
+    def write_customers(self, customers: DataFrame) -> None:
+        self.write("customers", customers)
+        self.write("customer_keys", customers)
+
+    def write_all(self, star: Star) -> None:
+        """Every table of a star, whole."""
+        for index, table in (("order_keys", "orders"), ("customer_keys", "customers")):
+            rows = star.table(table).count()
+            self.marker["buckets"][index] = min(max(rows // BUCKET_ROWS, 8), MAX_BUCKETS)
+        for name in ("regions", "categories", "products"):
+            self.write(name, star.table(name))
+        self.write_customers(star.customers)
+        self.write_orders(star.orders)
+        dated = MONTH in star.order_items.columns
+        self.write("order_items", star.order_items if dated else with_month(star.order_items, star.orders))
+        self.write("customer_spend", spend_of(star.orders))
+
+    def free_ids(self, id_column: str, count: int) -> int:
+        """Reserve ``count`` ids and return the largest one in use before them."""
+        last = self.marker["next"].get(id_column, 1) - 1
+        self.used_to(id_column, last + count)
+        return last
+
+    def used_to(self, id_column: str, largest: int) -> None:
+        """Ids up to ``largest`` are in use."""
+        known = self.marker["next"].get(id_column, 1)
+        self.marker["next"] = self.marker["next"] | {id_column: max(known, largest + 1)}
+
+    def publish(self, keys_verified: bool, tiers: bool = True) -> None:
+        parts = [*self.marker["parts"], self.part] if self.part["tables"] else self.marker["parts"]
+        content = self.marker | {"parts": parts, "keys_verified": keys_verified, "tiers": tiers}
+        if not create_once(self.spark, _marker(self.root, self.version), json.dumps(content)):
             raise VersionConflict(f"version {self.version} of {self.root} exists already")
 
 
 def write_star(spark: SparkSession, star: Star, root: str) -> None:
     """Write all tables as version 0, with an empty import log.
 
-    Whether its keys are verified is the given star's word: see ``quality.verify_keys``.
+    Whether its keys are verified is the given star's word: see ``quality.verify_keys``. Customers keep
+    the tiers they come with until the first import.
     """
     draft = Draft(spark, root, 0)
-    for name in TABLE_NAMES:
-        draft.write(name, star.table(name))
-    log = "data_import_logs"
-    draft.write(log, spark.createDataFrame([], SCHEMAS[log]))
-    draft.publish(star.keys_verified)
+    for column, rows in (("order_id", star.orders), ("customer_id", star.customers)):
+        draft.used_to(column, largest_id(rows, column))
+    draft.write_all(star)
+    draft.write(LOGS, spark.createDataFrame([], SCHEMAS[LOGS]))
+    draft.publish(star.keys_verified, tiers=False)
+
+
+def compact(spark: SparkSession, root: str, version: int) -> int:
+    """Publish version ``version`` + 1 with the same rows in one part, and return that number."""
+    old, draft = read_star(spark, root, version), Draft(spark, root, version + 1, fold=True)
+    draft.publish(old.keys_verified, old.marker["tiers"])
+    return version + 1
