@@ -168,22 +168,6 @@ def imported_orders(numbered: DataFrame, customers: DataFrame, regions: DataFram
     return _shaped(rows, "orders")
 
 
-def retotal_orders(rollup: DataFrame, orders: DataFrame) -> DataFrame:
-    """Known orders with the imported total in place of the old one; nothing else changes."""
-    totals = rollup.select("order_number", F.col("total_amount").alias("_imported"))
-    changed = orders.join(totals, "order_number", "left").withColumn(
-        "total_amount", F.coalesce("_imported", "total_amount")
-    )
-    return _shaped(changed, "orders")
-
-
-def upsert_orders(rollup: DataFrame, orders: DataFrame, customers: DataFrame,
-                  regions: DataFrame) -> DataFrame:
-    return retotal_orders(rollup, orders).unionByName(
-        new_orders(rollup, orders, customers, regions)
-    )
-
-
 def new_items(cleaned: DataFrame, orders: DataFrame, products: DataFrame, *kept: str) -> DataFrame:
     """Every cleaned row becomes an item, also for orders that existed before. ``kept`` names columns
     of the order that its items carry."""

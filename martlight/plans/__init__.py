@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from martlight.plans import imports, reports, upkeep
+from martlight.plans import imports, published, reports, upkeep
 from martlight.session import tune
 
-MODULES = (reports, imports, upkeep)
+MODULES = (reports, imports, published, upkeep)
 
 
 def _tuned(build):

@@ -102,10 +102,6 @@ class _Import:
         return ingest.new_orders(
             self.rollup, self.old.orders, self.customers(), self.base.regions)
 
-    def orders(self) -> DataFrame:
-        return ingest.upsert_orders(
-            self.rollup, self.old.orders, self.customers(), self.base.regions)
-
 
 def _import(view):
     return lambda spark, folder: view(_Import(spark, folder))
@@ -123,13 +119,6 @@ def _rolled(i: _Import) -> DataFrame:
     return i.rollup.withColumn("total_amount", F.col("total_amount").cast("double"))
 
 
-def _upserted(i: _Import) -> DataFrame:
-    return i.orders().select(
-        "order_id", "order_number", "customer_id", "region_id", "order_date", "payment_method",
-        "order_status", F.col("total_amount").cast("double").alias("total_amount"),
-    )
-
-
 def _items(i: _Import) -> DataFrame:
     names = ("product_id", "product_code")
     added = ingest.number_new(i.cleaned, "product_code", i.base.products, "product_id")
@@ -204,7 +193,6 @@ QUERIES = {
             "order_number", "region_name", "region_id", "unknown_region")),
     "commit_orders": _import(_rolled),
     "commit_keys": _import(lambda i: i.new_orders().select("order_id", "order_number", "customer_id")),
-    "commit_order_upsert": _import(_upserted),
     "commit_items": _import(_items),
     "segment_refresh": _segments,
     "import_log_row": lambda s, f: _log_row(_staged(s, f)),
@@ -304,8 +292,6 @@ FROM added_products"""),
 SELECT order_number, first_row, customer_code, region_name, order_date, payment_method, order_status,
        CAST(total_amount AS DOUBLE) AS total_amount, line_count FROM rolled"""),
     "commit_keys": sql.commit("\nSELECT order_id, order_number, customer_id FROM added_orders"),
-    "commit_order_upsert": sql.commit(
-        "\nSELECT * REPLACE (CAST(total_amount AS DOUBLE) AS total_amount) FROM all_orders"),
     "commit_items": sql.commit("""
 SELECT order_id, product_id, CAST(quantity AS BIGINT) AS quantity,
        CAST(CAST(unit_price AS DECIMAL(20,2)) AS DOUBLE) AS unit_price,
