@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlight.operators.filters import EVERYTHING, Period, SalesFilter, in_months
+from martlight.sources import rollup
 from martlight.sources.star import MONTH, Star
 
 
@@ -79,3 +80,26 @@ def order_grain(star: Star, flt: SalesFilter, *order_columns: str,
     return matched_orders(star, flt, *order_columns, when=when, periods=periods).join(
         sum_by_order(matched_items(star, flt, periods=periods), keys), keys
     )
+
+
+def rolled_up(star: Star, flt: SalesFilter, *columns: str) -> bool:
+    """Whether the sums per day answer for this filter and these columns: the star keeps them, every item
+    counts (no orphans), and categories are not asked for, as sums per day do not know them."""
+    return (star.rollups and star.keys_verified and flt.category_id is None
+            and set(columns) <= set(rollup.KEYS))
+
+
+def rolled_rows(star: Star, flt: SalesFilter, table: str, when: Column | None = None,
+                periods: tuple[Period, ...] | None = None) -> DataFrame:
+    rows = star.table(table).where(flt.order_condition() if when is None else when)
+    return _in_periods(rows, *(periods or (flt.period(),)))
+
+
+def order_sums(star: Star, flt: SalesFilter, *order_columns: str, when: Column | None = None,
+               periods: tuple[Period, ...] | None = None) -> DataFrame:
+    """The wanted columns of orders with revenue (in cents), units, lines and ``orders``: rows per day if
+    the star keeps them, else rows per order. Their sums over any of the columns are the same."""
+    if rolled_up(star, flt, *order_columns):
+        rows = rolled_rows(star, flt, "sales_by_day", when, periods)
+        return rows.select(*order_columns, "revenue", "units", "lines", "orders")
+    return order_grain(star, flt, *order_columns, when=when, periods=periods).withColumn("orders", F.lit(1))

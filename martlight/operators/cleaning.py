@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from martlight.functions.dates import date_text, parse_mixed_date
-from martlight.functions.numbering import number_rows
 from martlight.functions.money import TOO_LARGE
+from martlight.functions.numbering import number_rows
+from martlight.functions.plan import settled
 from martlight.functions.text import is_blank, strip, title_case, to_number
 from martlight.sources.upload import MALFORMED, ROW_INDEX
 
@@ -163,6 +164,7 @@ def tag_rows(rows: DataFrame, as_of: dt.date) -> DataFrame:
         (to_number(text("discount_rate")) if "discount_rate" in have else F.lit(0.0))
         .alias("_discount"),
     )
+    parsed = settled(parsed)
     date, quantity, price, total = (F.col(f"_{n}") for n in ("date", "quantity", "price", "total"))
     bad_date = date.isNull()
     # Below one unit nothing is left after truncation to whole units.
@@ -229,6 +231,7 @@ def tag_rows(rows: DataFrame, as_of: dt.date) -> DataFrame:
             "Value too large to store: quantity %s, unit price %s, total %s", *given))),
     })
 
+    storable = settled(storable)
     result = {
         "order_date": date,
         "unit_price": F.col("_unit_price"),

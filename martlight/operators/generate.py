@@ -361,6 +361,8 @@ def seed_star(spark: SparkSession, root: str, version: int, total_records: int,
     draft.write_orders(orders)
     draft.write("customer_spend", spend_of(orders))
     draft.write("order_items", with_month(sales.new_items, orders))
+    if old.rollups:
+        draft.write_rollups(sales.new_items, orders)
     log = old.table(LOGS)
     next_id = log.agg((F.coalesce(F.max("import_id"), F.lit(0)) + 1).alias("n")).scalar()
     draft.write(LOGS, generation_log(sales.new_items, next_id, created_at))

@@ -15,6 +15,7 @@ from martlight.operators.cleaning import Cleaning
 from martlight.operators.master import ensure_master
 from martlight.schema import COMPLETED, MIDDLE_TIER_SPEND, TOP_TIER_SPEND, column_types
 from martlight.session import stored
+from martlight.sources import rollup
 from martlight.sources.star import LOGS, MONTH, Draft, PublishedStar, month_of, read_star, spend_of
 from martlight.sources.upload import ROW_INDEX
 
@@ -265,7 +266,10 @@ def commit(spark: SparkSession, root: str, version: int, staged: Cleaning, filen
     draft.write("customer_spend", spend_of(orders).unionByName(_changed_spend(old, known)))
     months = orders.select("order_number", "order_id", month_of(F.col("order_date")).alias(MONTH))
     placed = known.select("order_number", "order_id", MONTH).unionByName(months)
-    draft.write("order_items", new_items(cleaned, placed, draft.table("products"), MONTH))
+    items = new_items(cleaned, placed, draft.table("products"), MONTH)
+    draft.write("order_items", items)
+    if old.rollups:
+        _roll_up(draft, stored(items, "items"), orders, old, known)
 
     log = old.table(LOGS)
     next_id = log.agg((F.coalesce(F.max("import_id"), F.lit(0)) + 1).alias("next_id")).scalar()
@@ -282,15 +286,28 @@ def _numbered(draft: Draft, rows: DataFrame, id_column: str) -> DataFrame:
     return next_ids(rows, "first_row", draft.free_ids(id_column, rows.count()), id_column)
 
 
-def _changed_spend(old: PublishedStar, known: DataFrame) -> DataFrame:
-    """What new totals of known orders change in their customers' spend.
+def _old_orders(old: PublishedStar, known: DataFrame, table: str) -> DataFrame:
+    """Rows of known orders in a table of the star before.
 
     Only the months of these orders are read: their numbers, one per calendar month at most, come to
     the driver first.
     """
     months = [r[0] for r in known.select(MONTH).distinct().collect()]
-    hit = old.orders.where(F.col(MONTH).isin(*months) if months else F.lit(False))
+    rows = old.table(table).where(F.col(MONTH).isin(*months) if months else F.lit(False))
+    return rows.join(known.select("order_id", MONTH), ["order_id", MONTH], "left_semi")
+
+
+def _roll_up(draft: Draft, items: DataFrame, orders: DataFrame, old: PublishedStar, known: DataFrame) -> None:
+    """Add imported items to the sums per day."""
+    again = _old_orders(old, known, "orders")
+    seen = _old_orders(old, known, "order_items").select("order_id")
+    columns = ["order_id", "customer_id", *rollup.KEYS]
+    draft.write_rollups(items, orders.select(*columns).unionByName(again.select(*columns)), seen)
+
+
+def _changed_spend(old: PublishedStar, known: DataFrame) -> DataFrame:
+    """What new totals of known orders change in their customers' spend."""
     totals = known.select("order_id", MONTH, F.col("total_amount").alias("_imported"))
-    changed = hit.join(totals, ["order_id", MONTH]).withColumn(
+    changed = _old_orders(old, known, "orders").join(totals, ["order_id", MONTH]).withColumn(
         "total_amount", F.col("_imported") - F.col("total_amount"))
     return spend_of(changed)

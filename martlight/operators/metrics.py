@@ -10,9 +10,10 @@ from pyspark.sql.window import Window
 
 from martlight.functions.money import dollars, mean_dollars, share_pct
 from martlight.functions.tiers import spend_tier
-from martlight.operators.base import order_grain, sales_base
+from martlight.operators.base import order_grain, order_sums, rolled_rows, rolled_up, sales_base
 from martlight.operators.filters import EVERYTHING, SalesFilter, prior_window
 from martlight.schema import MIDDLE_TIER_SPEND, TOP_TIER_SPEND
+from martlight.sources import rollup
 from martlight.sources.star import Star
 
 MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -39,21 +40,41 @@ def growth_pct(current: Column, prior: Column) -> Column:
 
 
 def kpi_primary(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
-    return order_grain(star, flt, "customer_id").agg(
-        dollars(F.sum("revenue")).alias("total_revenue"),
-        F.count("*").alias("total_orders"),
-        F.coalesce(F.sum("units"), F.lit(0)).alias("units_sold"),
-        F.count_distinct("customer_id").alias("total_customers"),
-    )
+    sums = {
+        "total_revenue": dollars(F.sum("revenue")),
+        "total_orders": F.coalesce(F.sum("orders"), F.lit(0)),
+        "units_sold": F.coalesce(F.sum("units"), F.lit(0)),
+    }
+    figures = [value.cast("bigint" if name != "total_revenue" else "double").alias(name) for name, value in sums.items()]
+    if _customers_by_day(star, flt):
+        return order_sums(star, flt).agg(*figures).withColumn(
+            "total_customers", distinct_customers(star, flt).scalar())
+    return order_grain(star, flt, "customer_id").withColumn("orders", F.lit(1)).agg(
+        *figures, F.count_distinct("customer_id").alias("total_customers"))
+
+
+def _customers_by_day(star: Star, flt: SalesFilter) -> bool:
+    """Bitmaps of customers know days only, for orders that count as revenue."""
+    return rolled_up(star, flt) and flt == SalesFilter(flt.start_date, flt.end_date)
+
+
+def distinct_customers(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
+    """Customers with at least one matching order, as one row; from bitmaps per day where they answer."""
+    if _customers_by_day(star, flt):
+        return rollup.count_customers(rolled_rows(star, flt, "customers_by_day", flt.date_condition()))
+    return order_grain(star, flt, "customer_id").agg(F.count_distinct("customer_id").alias("total_customers"))
 
 
 def kpi_aov(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
-    totals = order_grain(star, flt).agg(F.sum("revenue").alias("r"), F.count("*").alias("n"))
+    totals = order_sums(star, flt).agg(F.sum("revenue").alias("r"), F.coalesce(F.sum("orders"), F.lit(0)).alias("n"))
     return totals.select(average_order_value(F.col("r"), F.col("n")).alias("aov"))
 
 
 def product_revenue(star: Star, flt: SalesFilter) -> DataFrame:
     """Revenue and units per product. Names are joined to these sums, never to the lines."""
+    if rolled_up(star, flt):
+        return rolled_rows(star, flt, "product_by_day").groupBy("product_id").agg(
+            F.sum("revenue").alias("revenue"), F.sum("units").alias("units"))
     return sales_base(star, flt, order_columns=()).groupBy("product_id").agg(
         F.sum("total_cents").alias("revenue"), F.sum("quantity").alias("units")
     )
@@ -62,11 +83,11 @@ def product_revenue(star: Star, flt: SalesFilter) -> DataFrame:
 def region_totals(star: Star, flt: SalesFilter) -> DataFrame:
     """Revenue, orders and units per region row; regions unknown to the dimension drop out."""
     return (
-        order_grain(star, flt, "region_id")
+        order_sums(star, flt, "region_id")
         .groupBy("region_id")
         .agg(
             F.sum("revenue").alias("revenue"),
-            F.count("*").alias("orders"),
+            F.sum("orders").alias("orders"),
             F.sum("units").alias("units"),
         )
         .join(star.regions, "region_id")
@@ -113,7 +134,7 @@ def _between(window: tuple[dt.date, dt.date] | None) -> Column:
 def kpi_prior_revenue(star: Star, flt: SalesFilter, as_of: dt.date) -> DataFrame:
     window = prior_window(flt, as_of)
     inside = flt.without_dates().order_condition() & _between(window)
-    return order_grain(star, flt, when=inside, periods=(window,) if window else None).agg(
+    return order_sums(star, flt, when=inside, periods=(window,) if window else None).agg(
         dollars(F.sum("revenue")).alias("prior_revenue")
     )
 
@@ -124,13 +145,20 @@ def kpis(star: Star, flt: SalesFilter, as_of: dt.date) -> DataFrame:
     current, prior = flt.date_condition(), _between(window)
     periods = (flt.period(), *([window] if window else []))
     either = flt.without_dates().order_condition() & (current | prior)
-    figures = order_grain(star, flt, "order_date", "customer_id", when=either, periods=periods).agg(
+    sums = [
         F.sum(F.when(current, F.col("revenue"))).alias("revenue"),
-        F.count_if(current).alias("total_orders"),
+        F.coalesce(F.sum(F.when(current, F.col("orders"))), F.lit(0)).cast("bigint").alias("total_orders"),
         F.coalesce(F.sum(F.when(current, F.col("units"))), F.lit(0)).alias("units_sold"),
-        F.count_distinct(F.when(current, F.col("customer_id"))).alias("total_customers"),
         dollars(F.sum(F.when(prior, F.col("revenue")))).alias("prior_revenue"),
-    ).withColumn("total_revenue", dollars(F.col("revenue")))
+    ]
+    if _customers_by_day(star, flt):
+        figures = order_sums(star, flt, "order_date", when=either, periods=periods).agg(*sums).withColumn(
+            "total_customers", distinct_customers(star, flt).scalar())
+    else:
+        buyers = F.count_distinct(F.when(current, F.col("customer_id"))).alias("total_customers")
+        figures = order_grain(star, flt, "order_date", "customer_id", when=either, periods=periods).withColumn(
+            "orders", F.lit(1)).agg(*sums, buyers)
+    figures = figures.withColumn("total_revenue", dollars(F.col("revenue")))
     nothing = F.struct(F.lit("N/A").alias("name"), F.lit(0.0).alias("revenue"))
 
     def winner(top: DataFrame) -> Column:
@@ -151,11 +179,11 @@ def kpis(star: Star, flt: SalesFilter, as_of: dt.date) -> DataFrame:
 
 def monthly_totals(star: Star, flt: SalesFilter) -> DataFrame:
     return (
-        order_grain(star, flt, "order_date")
+        order_sums(star, flt, "order_date")
         .groupBy(F.substring(F.col("order_date").cast("string"), 1, 7).alias("year_month"))
         .agg(
             F.sum("revenue").alias("revenue"),
-            F.count("*").alias("orders"),
+            F.sum("orders").alias("orders"),
             F.sum("units").alias("units"),
         )
     )
@@ -176,7 +204,7 @@ def monthly_sales_trend(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
 
 
 def _by_year_and_month(star: Star, flt: SalesFilter) -> DataFrame:
-    return order_grain(star, flt, "order_date").groupBy(
+    return order_sums(star, flt, "order_date").groupBy(
         F.year("order_date").alias("order_year"), F.month("order_date").alias("order_month")
     ).agg(F.sum("revenue").alias("revenue"))
 
@@ -295,8 +323,8 @@ def customer_segments(star: Star, flt: SalesFilter = EVERYTHING,
 
 
 def payment_methods(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
-    methods = order_grain(star, flt, "payment_method").groupBy("payment_method").agg(
-        F.sum("revenue").alias("revenue"), F.count("*").alias("orders")
+    methods = order_sums(star, flt, "payment_method").groupBy("payment_method").agg(
+        F.sum("revenue").alias("revenue"), F.sum("orders").alias("orders")
     )
     revenue = F.col("revenue")
     return methods.select(

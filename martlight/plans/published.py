@@ -11,24 +11,24 @@ from martlight.operators.ingest import commit
 from martlight.operators.quality import verify_keys
 from martlight.plans import clean_sql as sql
 from martlight.plans.imports import CREATED_AT, FILENAME
-from martlight.plans.reports import AS_OF
+from martlight.plans.reports import AS_OF, YEAR_2000
 from martlight.session import scratch_path
 from martlight.sources.bound import bind_star
 from martlight.sources.dirty import dirty_rows
 from martlight.sources.star import PublishedStar, compact, read_star, write_star
 
 
-def imported(spark: SparkSession, folder: str) -> tuple[str, int]:
+def imported(spark: SparkSession, folder: str, rollups: bool = False) -> tuple[str, int]:
     """Root and version of the bound star after the messy file was imported."""
     root, staged = scratch_path(spark, "star"), scratch_path(spark, "stage")
-    write_star(spark, verify_keys(bind_star(spark, folder)), root)
+    write_star(spark, verify_keys(bind_star(spark, folder)), root, rollups)
     stage(dirty_rows(spark, folder), staged, AS_OF)
     return root, commit(spark, root, 0, load_staged(spark, staged), FILENAME, CREATED_AT).version
 
 
-def _after_import(view):
+def _after_import(view, rollups: bool = False):
     def build(spark: SparkSession, folder: str) -> DataFrame:
-        root, version = imported(spark, folder)
+        root, version = imported(spark, folder, rollups)
         return view(read_star(spark, root, version))
 
     return build
@@ -50,7 +50,8 @@ def _compacted_tiers(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "commit_order_upsert": _after_import(_orders),
     "star_import_trend": _after_import(metrics.monthly_sales_trend),
-    "star_import_regions": _after_import(metrics.region_performance),
+    "star_rollup_regions": _after_import(metrics.region_performance, rollups=True),
+    "star_rollup_customers": _after_import(lambda star: metrics.kpi_primary(star, YEAR_2000), rollups=True),
     "star_compacted_tiers": _compacted_tiers,
 }
 
@@ -75,7 +76,7 @@ SELECT strftime(order_date, '%Y-%m') AS year_month, CAST(sum(total_price) AS DOU
        count(DISTINCT order_id) AS orders_count, CAST(sum(quantity) AS BIGINT) AS units_sold,
        round(CAST(sum(total_price) AS DOUBLE) / count(DISTINCT order_id), 2) AS aov
 FROM all_lines GROUP BY 1"""),
-    "star_import_regions": sql.commit(f"""{_LINES},
+    "star_rollup_regions": sql.commit(f"""{_LINES},
 sums AS (
   SELECT region_id, sum(total_price) AS revenue, count(DISTINCT order_id) AS total_orders,
          CAST(sum(quantity) AS BIGINT) AS units_sold
@@ -85,6 +86,10 @@ SELECT region_id, region_name, code AS region_code, country, CAST(revenue AS DOU
        row_number() OVER (ORDER BY revenue DESC, region_id) AS rank,
        round(CAST(revenue AS DOUBLE) / CAST(sum(revenue) OVER () AS DOUBLE) * 100.0, 2) AS share_pct
 FROM sums JOIN all_regions USING (region_id)"""),
+    "star_rollup_customers": sql.commit(f"""{_LINES}
+SELECT coalesce(CAST(sum(total_price) AS DOUBLE), 0.0) AS total_revenue, count(DISTINCT order_id) AS total_orders,
+       CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units_sold, count(DISTINCT customer_id) AS total_customers
+FROM all_lines WHERE order_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'"""),
     "star_compacted_tiers": sql.commit("""
 SELECT customer_id, customer_code,
        CASE WHEN coalesce(spent, 0) >= 5000 THEN 'High Spending (VIP)'

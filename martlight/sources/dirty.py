@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martlight.functions.plan import settled
 from martlight.sources.bound import order_number, product_code, read_table
 from martlight.sources.upload import ROW_INDEX
 
@@ -146,6 +147,8 @@ def dirty_rows(spark: SparkSession, folder: str) -> DataFrame:
             "Completed",
         ),
     }
-    return orders.select(
-        k.alias(ROW_INDEX), *[text.cast("string").alias(name) for name, text in columns.items()]
-    )
+    # A few columns at a time: one method for all of them is too large for the JVM to optimize.
+    rows, names = orders.withColumn(ROW_INDEX, k), list(columns)
+    for at in range(0, len(names), 3):
+        rows = settled(rows.select("*", *[columns[n].cast("string").alias(n) for n in names[at : at + 3]]))
+    return rows.select(ROW_INDEX, *names)

@@ -9,6 +9,9 @@ never changed. An import therefore costs what it brings, not what is there alrea
   right side of that join is unique, so Catalyst drops it from every report that needs no total.
 - ``customer_spend`` holds what each part adds to a customer's completed orders. Tiers are derived from
   its sums when they are read, and again only then.
+- ``sales_by_day``, ``product_by_day`` and ``customers_by_day``, if the star keeps them, hold sums (and
+  bitmaps of customers) that merge: each part adds its own, and reports add them up instead of the
+  facts (see ``sources.rollup``).
 - ``order_keys`` and ``customer_keys`` map order numbers and customer codes to ids, in folders by a hash
   of the key: an import looks its keys up in the folders they fall in.
 
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 from martlight.functions.money import cents
 from martlight.functions.tiers import spend_tier
 from martlight.schema import COMPLETED, SCHEMAS, TABLE_NAMES, column_types
-from martlight.session import create_once, read_small, stored
+from martlight.session import create_once, read_small
+from martlight.sources import rollup
 
 MONTH = "order_month"
 BUCKET = "bucket"
@@ -47,14 +51,25 @@ SIDE_TABLES = {
     "order_totals": "order_id bigint, total_amount decimal(38,2)",
     "customer_spend": "customer_id bigint, spent decimal(38,2)",
     "used_stages": "stage string",
+    "sales_by_day": (
+        "order_date date, region_id int, payment_method string, order_status string, revenue bigint, "
+        "units bigint, lines bigint, orders bigint"
+    ),
+    "product_by_day": (
+        "order_date date, product_id bigint, region_id int, payment_method string, order_status string, "
+        "revenue bigint, units bigint, lines bigint"
+    ),
+    "customers_by_day": "order_date date, block bigint, customers binary",
 }
 FOLDERS = {
     "orders": MONTH, "order_items": MONTH, "order_totals": MONTH,
+    "sales_by_day": MONTH, "product_by_day": MONTH, "customers_by_day": MONTH,
     "order_keys": BUCKET, "customer_keys": BUCKET,
 }
 # Inside its folders a table is sorted, so that row groups can be skipped.
 SORTED = {
     "orders": ("order_date", "order_id"), "order_items": ("order_id",), "order_totals": ("order_id",),
+    "sales_by_day": ("order_date",), "product_by_day": ("order_date", "product_id"), "customers_by_day": ("order_date",),
     "order_keys": ("order_number",), "customer_keys": ("customer_code",),
 }
 INDEXES = {"order_keys": "order_number", "customer_keys": "customer_code"}
@@ -78,7 +93,7 @@ def spend_of(orders: DataFrame) -> DataFrame:
     return done.groupBy("customer_id").agg(F.sum("total_amount").alias("spent"))
 
 
-def _with_cents(items: DataFrame) -> DataFrame:
+def with_cents(items: DataFrame) -> DataFrame:
     """Order items with their money also as BIGINT cents, for sums. Unused columns cost nothing."""
     missing = {
         name: cents(F.col(source))
@@ -95,6 +110,9 @@ class Star:
     then leave out joins that only test whether a parent row exists.
     """
 
+    #: Whether the tables of ``sources.rollup`` are there.
+    rollups = False
+
     def __init__(self, build: Callable[[str], DataFrame], keys_verified: bool = False):
         self._build = build
         self._frames: dict[str, DataFrame] = {}
@@ -103,7 +121,7 @@ class Star:
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
             rows = self._build(name)
-            self._frames[name] = _with_cents(rows) if name == "order_items" else rows
+            self._frames[name] = with_cents(rows) if name == "order_items" else rows
         return self._frames[name]
 
     regions = property(lambda self: self.table("regions"))
@@ -182,6 +200,7 @@ class PublishedStar(Star):
     def __init__(self, spark: SparkSession, root: str, version: int, marker: dict):
         super().__init__(self._logical, marker["keys_verified"])
         self.spark, self.root, self.version, self.marker = spark, root, version, marker
+        self.rollups = marker["rollups"]
 
     def rows(self, name: str) -> DataFrame:
         return _rows(self.spark, self.root, self.marker["parts"], name)
@@ -238,7 +257,7 @@ class Draft:
     def __init__(self, spark: SparkSession, root: str, version: int, fold: bool = False):
         self.spark, self.root, self.version = spark, root, version
         self.part = {"path": f"version={version}/attempt={uuid.uuid4().hex}", "tables": []}
-        self.marker = {"parts": [], "keys_verified": False, "tiers": False, "next": {}, "buckets": {}}
+        self.marker = {"parts": [], "keys_verified": False, "tiers": False, "rollups": False, "next": {}, "buckets": {}}
         if version:
             before = read_star(spark, root, version - 1)
             self.marker = before.marker
@@ -250,7 +269,7 @@ class Draft:
         draft = Draft.__new__(Draft)
         draft.spark, draft.root, draft.version = self.spark, self.root, self.version
         draft.part = {"path": f"version={self.version}/attempt={uuid.uuid4().hex}", "tables": []}
-        draft.marker = {"parts": [], "buckets": {}}
+        draft.marker = {"parts": [], "buckets": {}, "rollups": star.rollups}
         draft.write_all(star)
         draft.write(LOGS, star.table(LOGS))
         draft.write("used_stages", star.rows("used_stages"))
@@ -266,7 +285,7 @@ class Draft:
         columns = [tuple(c.split(" ")) for c in _declared(name).split(", ")]
         if name in INDEXES:
             rows = rows.withColumn(BUCKET, bucket_of(F.col(INDEXES[name]), self.marker["buckets"][name]))
-        if name == "orders":
+        if FOLDERS.get(name) == MONTH and ("order_date", "date") in columns:
             rows = rows.withColumn(MONTH, month_of(F.col("order_date")))
         rows = rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in columns])
         writer = rows.write
@@ -298,6 +317,13 @@ class Draft:
         dated = MONTH in star.order_items.columns
         self.write("order_items", star.order_items if dated else with_month(star.order_items, star.orders))
         self.write("customer_spend", spend_of(star.orders))
+        if self.marker["rollups"]:
+            self.write_rollups(star.order_items, star.orders)
+
+    def write_rollups(self, items: DataFrame, orders: DataFrame, seen: DataFrame | None = None) -> None:
+        """Add new items to the sums per day. ``orders`` are theirs, ``seen`` those that had items."""
+        for name, rows in rollup.additions(with_cents(items), orders, seen).items():
+            self.write(name, rows)
 
     def free_ids(self, id_column: str, count: int) -> int:
         """Reserve ``count`` ids and return the largest one in use before them."""
@@ -317,13 +343,14 @@ class Draft:
             raise VersionConflict(f"version {self.version} of {self.root} exists already")
 
 
-def write_star(spark: SparkSession, star: Star, root: str) -> None:
+def write_star(spark: SparkSession, star: Star, root: str, rollups: bool = False) -> None:
     """Write all tables as version 0, with an empty import log.
 
-    Whether its keys are verified is the given star's word: see ``quality.verify_keys``. Customers keep
+    With ``rollups`` the star also keeps sums per day, which every later import adds to. Whether its keys are verified is the given star's word: see ``quality.verify_keys``. Customers keep
     the tiers they come with until the first import.
     """
     draft = Draft(spark, root, 0)
+    draft.marker["rollups"] = rollups
     for column, rows in (("order_id", star.orders), ("customer_id", star.customers)):
         draft.used_to(column, largest_id(rows, column))
     draft.write_all(star)
