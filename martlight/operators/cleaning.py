@@ -20,6 +20,7 @@ from martlight.functions.money import TOO_LARGE
 from martlight.functions.numbering import number_rows
 from martlight.functions.plan import settled
 from martlight.functions.text import is_blank, strip, title_case, to_number
+from martlight.session import stored
 from martlight.sources.upload import MALFORMED, ROW_INDEX
 
 # Standard columns with the header spellings that map to them.
@@ -142,6 +143,51 @@ def _computed_total(quantity: Column, price: Column, discount: Column) -> Column
     return F.when(rough < TOO_LARGE, F.round(exact, 2).cast("double")).otherwise(rough)
 
 
+# Parts of the moments of money amounts, see ``moments``.
+MOMENTS = ("_n", "_high", "_low", "_high_high", "_high_low", "_low_low")
+UNIT = 10_000
+SPLIT = 10**9
+WIDE = "decimal(38,0)"
+
+
+def moments(amount: Column) -> dict[str, Column]:
+    """Exact sums of an amount, in ten-thousandths, and of its square: aggregates named MOMENTS.
+
+    Doubles added in another order give other last bits, so a threshold from them would depend on how
+    the rows were partitioned. Integers do not. An amount is split in two parts so that the sums of
+    their products fit a DECIMAL for any number of rows.
+    """
+    units = F.rint(amount * UNIT).cast("bigint")
+    low = F.pmod(units, F.lit(SPLIT))
+    high = F.call_function("div", units - low, F.lit(SPLIT))
+    products = {"_high": high, "_low": low, "_high_high": high * high, "_high_low": high * low, "_low_low": low * low}
+    return {"_n": F.count(amount)} | {name: F.sum(p.cast("decimal(20,0)")) for name, p in products.items()}
+
+
+def mean_and_spread() -> tuple[Column, Column]:
+    """Mean and sample standard deviation from MOMENTS, null for no rows and for one row."""
+    n, high, low, hh, hl, ll = (F.col(name).cast(WIDE) for name in MOMENTS)
+    total = high * SPLIT + low
+    # Squares are taken around a whole number next to the mean: nothing large is subtracted.
+    middle = F.call_function("div", total, F.nullif(n, F.lit(0).cast(WIDE)))
+    low0 = F.pmod(middle, F.lit(SPLIT))
+    high0 = F.call_function("div", middle - low0, F.lit(SPLIT)).cast(WIDE)
+    low0 = low0.cast(WIDE)
+    squares = (
+        hh - high0 * high * 2 + n * high0 * high0,
+        hl - low0 * high - high0 * low + n * high0 * low0,
+        ll - low0 * low * 2 + n * low0 * low0,
+    )
+    exact = F.try_add(
+        F.try_add(F.try_multiply(squares[0], F.lit(SPLIT**2).cast(WIDE)), F.try_multiply(squares[1], F.lit(2 * SPLIT).cast(WIDE))),
+        squares[2])
+    rough = squares[0].cast("double") * float(SPLIT) ** 2 + squares[1].cast("double") * 2 * SPLIT + squares[2].cast("double")
+    rest = (total - n * middle.cast(WIDE)).cast("double")
+    around = F.greatest(F.coalesce(exact.cast("double"), rough) - rest * rest / n.cast("double"), F.lit(0.0))
+    spread = F.when(n > 1, F.sqrt(around / (n.cast("double") - 1)) / UNIT)
+    return total.cast("double") / n.cast("double") / UNIT, spread
+
+
 def tag_rows(rows: DataFrame, as_of: dt.date) -> DataFrame:
     """Rows with standard values, the reason of rejection, and what had to be filled in."""
     have = set(rows.columns)
@@ -313,10 +359,10 @@ class Cleaning:
         step = F.array_position(F.array(*map(F.lit, RULES)), F.col("failed_rule"))
         return self.rejects().orderBy(step, "row_index").limit(n).drop("failed_rule")
 
-    def counts(self) -> DataFrame:
-        """One row with every figure of the audit, from one pass over the tagged rows."""
+    def sums(self) -> DataFrame:
+        """One row with every count of the audit and the moments of the valid totals, from one pass over
+        the tagged rows."""
         valid = F.col("reject_reason").isNull()
-        absent = [c for c in TEXT_DEFAULTS if c not in self.headers]
         figures = {
             "unique_rows": F.count("*"),
             "valid_records": F.count_if(valid),
@@ -333,9 +379,16 @@ class Cleaning:
                 for c in self.tagged.columns
                 if c.startswith("filled_") and c != "filled_total_price"
             },
+            **moments(F.when(valid, F.col("total_price"))),
         }
-        sums = self.tagged.agg(*[figure.alias(name) for name, figure in figures.items()])
-        filled = [F.col(c) for c in figures if c.startswith("filled_")]
+        return self.tagged.agg(*[figure.alias(name) for name, figure in figures.items()])
+
+    def counts(self, sums: DataFrame | None = None) -> DataFrame:
+        """One row with every figure of the audit."""
+        absent = [c for c in TEXT_DEFAULTS if c not in self.headers]
+        sums = self.sums() if sums is None else sums
+        sums = sums.select(*[c for c in sums.columns if c not in MOMENTS])
+        filled = [F.col(c) for c in sums.columns if c.startswith("filled_")]
         filled += [F.col("valid_records")] * len(absent)
         if "unit_price" not in self.headers:
             filled.append(F.col("valid_records"))
@@ -365,16 +418,14 @@ class Cleaning:
             F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(share, 2))).alias("quality_score"),
         )
 
-    def threshold(self) -> DataFrame:
+    def threshold(self, sums: DataFrame | None = None) -> DataFrame:
         """Totals above this are worth a second look; null when the totals do not vary."""
-        spread = F.stddev_samp("total_price")
-        return self._valid().agg(
-            F.when(spread > 0, F.avg("total_price") + OUTLIER_DEVIATIONS * spread)
-            .alias("threshold")
-        )
+        mean, spread = mean_and_spread()
+        return (self.sums() if sums is None else sums).select(
+            F.when(spread > 0, mean + OUTLIER_DEVIATIONS * spread).alias("threshold"))
 
-    def outliers(self) -> DataFrame:
-        return self._valid().withColumn("threshold", self.threshold().scalar()).where(
+    def outliers(self, sums: DataFrame | None = None) -> DataFrame:
+        return self._valid().withColumn("threshold", self.threshold(sums).scalar()).where(
             F.col("total_price") > F.col("threshold")
         )
 
@@ -443,9 +494,11 @@ class Cleaning:
             "Flagged %d high-value transaction(s) exceeding $%,.2f for analyst review.",
             n("outliers"), n("threshold"),
         ))
-        figures = self.counts().withColumns({
-            "threshold": self.threshold().scalar(),
-            "outliers": self.outliers().agg(F.count("*")).scalar(),
+        # Written, so that the rows are read twice in all: for the sums, and for the outliers.
+        sums = stored(self.sums(), "sums")
+        figures = self.counts(sums).withColumns({
+            "threshold": self.threshold(sums).scalar(),
+            "outliers": self.outliers(sums).agg(F.count("*")).scalar(),
         })
         return figures.select(F.array_compact(F.array(*steps)).alias("actions"))
 

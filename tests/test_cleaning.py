@@ -1,8 +1,15 @@
 import datetime as dt
+import fractions
+import math
+import random
+import re
+import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
-from martlight.operators.cleaning import clean, load_staged, stage, standard_headers
+from martlight.operators.cleaning import clean, load_staged, mean_and_spread, moments, stage, standard_headers
+from martlight.functions.dates import date_text, parse_mixed_date
 from martlight.operators.export import write_csv
 from martlight.session import scratch_path
 from martlight.sources.upload import ROW_INDEX, read_raw
@@ -173,3 +180,73 @@ def test_csv_rows_are_numbered_in_file_order(spark):
         assert back.count() == 5000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_threshold_has_the_same_bits_for_any_partitioning(spark):
+    """Sums of integers do not depend on the order of the rows; the figures are those of plain arithmetic."""
+    draw = random.Random(4)
+    amounts = [round(draw.lognormvariate(5, 3), 2) for _ in range(3000)] + [9_999_999_999_999.0, 0.01, 1e12, 100_000.0, 99_999.9999]
+    rows = spark.createDataFrame([(a,) for a in amounts], "total_price double")
+    found = set()
+    for parts in (1, 7, 211):
+        sums = rows.repartition(parts).agg(*[v.alias(k) for k, v in moments(F.col("total_price")).items()])
+        mean, spread = mean_and_spread()
+        found.add(tuple(sums.select(mean, spread).first()))
+    assert len(found) == 1
+    mean, spread = found.pop()
+    exact = [fractions.Fraction(round(a * 10_000), 10_000) for a in amounts]
+    middle = sum(exact) / len(exact)
+    deviation = math.sqrt(sum((x - middle) ** 2 for x in exact) / (len(exact) - 1))
+    assert math.isclose(mean, float(middle), rel_tol=1e-15) and math.isclose(spread, deviation, rel_tol=1e-14)
+
+
+@pytest.mark.parametrize("amounts", [[], [5.0], [7.25, 7.25], [99_999.9999, 100_000.0001], [1e12, 1e12 + 1], [None, 3.0, 4.0]])
+def test_spread_of_few_amounts(spark, amounts):
+    rows = spark.createDataFrame([(a,) for a in amounts], "total_price double")
+    mean, spread = mean_and_spread()
+    got = rows.agg(*[v.alias(k) for k, v in moments(F.col("total_price")).items()]).select(mean, spread).first()
+    known = [a for a in amounts if a is not None]
+    assert got[0] == (statistics.mean(known) if known else None)
+    assert (got[1] is None) == (len(known) < 2)
+    if len(known) > 1:
+        assert math.isclose(got[1], statistics.stdev(known), rel_tol=1e-6)
+
+
+def test_actions_read_the_rows_twice(spark):
+    folder = scratch_path(spark, "stage")
+    stage(raw(spark, ["order", "sku", "total"], [("a", "p", "3"), ("b", "p", "4")]), folder, AS_OF)
+    staged = load_staged(spark, folder)
+    actions = staged.actions()
+    text = actions._jdf.queryExecution().executedPlan().toString()
+    # The sums are read from their own file; the rows once more for the outliers.
+    assert len(re.findall(r"FileScan parquet \[(?:[^\]]*,)?total_price#", text)) == 1
+    assert actions.first() is not None
+
+
+def test_cleaning_compiles(spark):
+    """No stage of the cleaning is too large to be compiled."""
+    raw_rows = raw(spark, ["order", "date", "customer id", "region", "category", "sku", "product", "price", "qty",
+                           "discount", "total", "payment", "status"], [tuple("abcdefghijklm")])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = clean(raw_rows, AS_OF).cleaned()._jdf.queryExecution().executedPlan()
+        stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan)
+        sizes = [stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and min(sizes) > 0 and max(sizes) < 60_000
+
+
+@pytest.mark.parametrize("text, day", [
+    ("2024-3-7", "2024-03-07"), ("2024/03/07", "2024-03-07"), ("2024.3.07", "2024-03-07"), ("20240307", "2024-03-07"),
+    ("3/7/2024", "2024-03-07"), ("13/7/2024", "2024-07-13"), ("7-13-2024", "2024-07-13"), ("31.12.1999", "1999-12-31"),
+    ("3/7/24", "2024-03-07"), ("25/12/99", "2099-12-25"), ("2024-03", "2024-03-01"), ("2024", "2024-01-01"),
+    ("7-Mar-2024", "2024-03-07"), ("Mar 7 2024", "2024-03-07"), ("7 mar 2024", "2024-03-07"), ("7 March 2024", "2024-03-07"),
+    ("MARCH 7, 2024", "2024-03-07"), ("Mar 2024", "2024-03-01"), ("March 2024", "2024-03-01"), ("7-march-2024", "2024-03-07"),
+    ("Thursday, March 7, 2024", "2024-03-07"), ("2024-03-07T10:00:00+00:00", "2024-03-07"), ("29-02-2024", "2024-02-29"),
+    ("29-02-2023", None), ("31/4/2024", None), ("2024-13-01", None), ("0000-01-01", None), ("Marc 7 2024", None),
+    ("2024-03/07", None), ("32/1/2024", None), ("00/10/2024", None), ("7 2024", None), ("", None), (None, None), ("20241340", None),
+])
+def test_date_notations(spark, text, day):
+    rows = spark.createDataFrame([(text,)], "t string")
+    assert rows.select(parse_mixed_date(date_text(F.col("t"))).cast("string")).first()[0] == day
