@@ -177,6 +177,10 @@ def _published(spark: SparkSession, root: str, version: int) -> dict:
     return json.loads(text)
 
 
+def is_published(spark: SparkSession, root: str, version: int) -> bool:
+    return bool(read_small(spark, _marker(root, version)))
+
+
 def _declared(name: str) -> str:
     columns = SCHEMAS.get(name) or SIDE_TABLES[name]
     return f"{columns}, {FOLDERS[name]} int" if name in FOLDERS and FOLDERS[name] not in columns else columns
