@@ -12,7 +12,7 @@ from martlight.functions.money import dollars, mean_dollars, share_pct
 from martlight.functions.tiers import spend_tier
 from martlight.operators.base import order_grain, order_sums, rolled_rows, rolled_up, sales_base
 from martlight.operators.filters import EVERYTHING, SalesFilter, prior_window
-from martlight.schema import MIDDLE_TIER_SPEND, TOP_TIER_SPEND
+from martlight.schema import MIDDLE_TIER_SPEND, TIER_NAMES, TOP_TIER_SPEND  # noqa: F401
 from martlight.sources import rollup
 from martlight.sources.star import Star
 
