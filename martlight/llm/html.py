@@ -3,14 +3,15 @@
 1. A page is cut into flat blocks at block-level tags. A block knows its words, its share of words in
    links, whether it is a heading, whether it stands in an article or main element, beside one, or in
    an element for page furniture (menu, header, footer, aside, form, dialog ...), which may also be
-   known by its class, id or role, unless those name a layout or the block is long with few links.
+   known by its class, id or role, unless those name a layout, or a place and the block is long with
+   few links. Names of adverts, readers' comments and notices count at any length.
 2. A decision tree takes word count and link density of the block and of its two neighbours, with
    those marks, and says text or not. The tree is trained here, by Gini splits, on a small labelled
-   table of block features.
+   table of block features. Within an article runs of links are not text; beside one long plain blocks are.
 3. Blocks that stay are joined in page order.
 
-A page is one row's work; nothing is shuffled. Scripts, styles, templates and comments never become
-blocks. Unclosed and stray tags are tolerated. Null and empty pages have the empty text; pages without
+A page is one row's work, linear in its length; nothing is shuffled. Scripts, styles, templates, images
+and comments never become blocks; formulas are text. Unclosed and stray tags are tolerated. Null and empty pages have the empty text; pages without
 markup are one block. Repeated rows give repeated rows; other columns are kept.
 """
 
@@ -29,15 +30,16 @@ from pyspark.sql import types as T
 
 from martlight.llm.bpe import widened, with_columns
 
-#: One piece of a page: a comment or declaration, an element without readable content, a tag, or text.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b"
-    r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|[^<]+|<",
-    re.S | re.I,
+#: A tag. Quotes hold back a ``>`` only behind ``=``; nothing is tried twice.
+TAG = re.compile(
+    r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>"
 )
+BEGINS_TAG = re.compile(r"</?[a-zA-Z]")
+#: Elements without readable content that end at the first end tag of their name ...
+RAW = frozenset("script style noscript iframe textarea select title".split())
+END_OF = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for name in RAW}
+#: ... and those that may hold others of their own name.
+NESTED = frozenset("svg template object annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol "
@@ -54,7 +56,12 @@ FURNITURE_NAMES = frozenset(
     "signup login search form comment comments discussion disqus reply replies respond tags pagination pager toc "
     "skip toolbar complementary contentinfo".split()
 )
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Of these, adverts, readers' comments and notices: believed at any length.
+STRONG_NAMES = frozenset(
+    "ad ads adv advert advertisement adsense sponsor sponsored promo promotion cookie cookies consent gdpr "
+    "newsletter comment comments discussion disqus reply replies respond".split()
+)
+NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Before or after one of those words in the same name, these say how a wrapper is laid out.
 LAYOUT_BEFORE = frozenset("has have no not with without hide show tag category".split())
@@ -108,21 +115,38 @@ SHAPES = (
     (6, 0.0, 4, 0.0, 3, 1.0, 0, 0),
     (3, 0.0, 2, 1.0, 3, 1.0, 1, 0),
 )
-#: Every shape counts as text within an article or main element, long plain ones also beside one, and
-#: none where the page marks it as furniture. None: as the shape says.
-MARKS = ((0, 0, 0, None), (1, 0, 0, 1), (0, 1, 0, 0), (0, 0, 1, 0), (1, 0, 1, 0), (0, 1, 1, 0))
+#: (in_content, beside_content, in_furniture) of the table's rows.
+MARKS = ((0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (0, 1, 1))
+#: From this share on a block is a link.
+LINKED = 0.6
 
 
 def _label(shape: tuple, marks: tuple) -> int:
-    if marks == (0, 1, 0, 0) and shape[0] >= LONG and shape[1] <= PLAIN:
-        return 1
-    return shape[-1] if marks[-1] is None else marks[-1]
+    """What a shape counts as under these marks.
+
+    Without marks as the table says; within an article as text, but for runs of links; beside one only
+    if long and plain; in furniture never.
+    """
+    words, share, _, before, _, after, heading, label = shape
+    content, beside, furniture = marks
+    if furniture:
+        return 0
+    if content:
+        return int(heading or share < LINKED or max(before, after) < LINKED)
+    return int(words >= LONG and share <= PLAIN) if beside else label
 
 
 #: Beside an article, blocks on both sides of that bound.
 EDGES = ((LONG - 1, 0.0, 60, 0.0, 60, 0.0, 0, 0), (LONG, 0.0, 60, 0.0, 60, 0.0, 0, 1), (90, PLAIN, 50, 0.0, 60, 0.0, 0, 1), (90, PLAIN + 0.02, 50, 0.0, 60, 0.0, 0, 0))
-TRAINING = [(*shape[:-1], *marks[:-1], _label(shape, marks)) for marks in MARKS for shape in SHAPES]
-TRAINING += [(*shape[:-1], *MARKS[2][:-1], shape[-1]) for shape in EDGES]
+#: Within an article, blocks of links with and without links beside them.
+RUNS = tuple(
+    (words, share, near, before, near, after, heading, 0)
+    for words in (1, 4, 30, 300) for share in (0.0, 0.5, LINKED, 1.0) for near in (3, 50)
+    for before, after in ((0.0, 0.0), (0.5, 0.5), (LINKED, 0.0), (0.0, LINKED), (1.0, 1.0)) for heading in (0, 1)
+)
+TRAINING = [(*shape[:-1], *marks, _label(shape, marks)) for marks in MARKS for shape in SHAPES]
+TRAINING += [(*shape[:-1], *MARKS[2], _label(shape, MARKS[2])) for shape in EDGES]
+TRAINING += [(*shape[:-1], *MARKS[1], _label(shape, MARKS[1])) for shape in RUNS]
 
 
 class DecisionTree:
@@ -164,140 +188,222 @@ def tree() -> DecisionTree:
     return DecisionTree(table[:, :-1], table[:, -1])
 
 
-def _named(attrs: str, content: bool) -> bool:
-    """Whether a class, id or role tells of furniture."""
+def _named(attrs: str, content: bool) -> int:
+    """Whether a class, id or role tells of furniture: 0 no, 1 yes, 2 of a kind that length cannot excuse."""
     if "=" not in attrs:
-        return False
+        return 0
+    most = 0
     for match in NAMES.finditer(attrs):
         for name in (match[1] or match[2] or match[3] or "").split():
             words = [w.lower() for w in WORDS.findall(name)]
+            ends = next((k for k in range(len(words) - 1, -1, -1) if words[k] in LAYOUT_AFTER), -1)
             for k, word in enumerate(words):
-                if word not in FURNITURE_NAMES or content and word in TITLES:
-                    continue
-                if LAYOUT_BEFORE.isdisjoint(words[:k]) and LAYOUT_AFTER.isdisjoint(words[k + 1 :]):
-                    return True
-    return False
+                if word in LAYOUT_BEFORE:
+                    break
+                if word in FURNITURE_NAMES and k >= ends and not (content and word in TITLES):
+                    most = max(most, 2 if word in STRONG_NAMES else 1)
+    return most
 
 
 class _Open:
-    """An open element: marked as furniture by its tag or its name; what content elements it holds."""
+    """An open element: marked as furniture by its tag or, from the nearest such element outwards, by a name.
+
+    ``article`` and ``main`` tell what content elements a named one holds or is.
+    """
 
-    __slots__ = ("tag", "marked", "named", "article", "main")
+    __slots__ = ("tag", "marked", "named", "up", "article", "main", "all_main", "believed")
 
-    def __init__(self, tag: str, marked: bool, named: bool):
-        self.tag, self.marked, self.named = tag, marked, named
-        self.article = self.main = False
+    def __init__(self, tag: str, marked: bool, named: int, up: _Open | None):
+        self.tag, self.marked, self.named, self.up = tag, marked, named, up
+        self.article = self.main = self.all_main = False
+        self.believed = 0
 
 
 class _Block:
     __slots__ = ("text", "words", "linked", "content", "furniture", "heading", "named")
 
-    def __init__(self, text: str, linked: int, content: bool, furniture: bool, heading: bool, named: tuple[_Open, ...]):
+    def __init__(self, text: str, linked: int, content: bool, furniture: bool, heading: bool, named: _Open | None):
         self.text, self.words, self.linked = text, text.count(" ") + 1, linked
         self.content, self.furniture, self.heading, self.named = content, furniture, heading, named
 
 
-def _believe_names(found: list[_Block]) -> None:
-    """Mark the blocks that names tell of.
+def _believe_names(found: list[_Block], names: list[_Open]) -> None:
+    """Mark the blocks that names tell of; ``names`` are the named elements, outer ones first.
 
     A name is not believed of a main element or what holds one, nor of an article or what holds one if
-    no other content would be left, nor, except beside such content, against a long block with few links.
+    no other content would be left. Names of places, such as share or sidebar, are not believed either of
+    a long block with few links, except beside content; adverts, comments and notices are, at any length.
     """
-    other = any(b.content and not b.furniture and all(e.main for e in b.named) for b in found)
+    for element in names:
+        element.all_main = element.main and (element.up is None or element.up.all_main)
+    other = any(b.content and not b.furniture and (b.named is None or b.named.all_main) for b in found)
+    for element in names:
+        own = 0 if element.main or element.article and not other else element.named
+        element.believed = max(own, element.up.believed if element.up else 0)
     for block in found:
-        if any(not (e.main or e.article and not other) for e in block.named):
+        believed = block.named.believed if block.named else 0
+        if believed:
             beside = other and not block.content
-            block.furniture |= beside or block.words < LONG or block.linked > PLAIN * block.words
-
-
-def blocks(page: str) -> list[_Block]:
-    """Flat text blocks in page order."""
-    out: list[_Block] = []
-    parts: list[str] = []
-    open_tags: list[_Open] = []
-    named: tuple[_Open, ...] = ()  # those open whose name tells of furniture
-    furniture = content = links = linked = 0
-    heading = False
-
-    def close() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            block.furniture |= believed > 1 or beside or block.words < LONG or block.linked > PLAIN * block.words
+
+
+class _Page:
+    """Builds the flat blocks of one page from its tags and texts, in one pass."""
+
+    def __init__(self) -> None:
+        self.found: list[_Block] = []
+        self.names: list[_Open] = []
+        self.parts: list[str] = []
+        self.open: list[_Open] = []
+        self.count: dict[str, int] = {}  # open elements by tag
+        self.named: _Open | None = None  # the innermost one whose name tells of furniture
+        self.furniture = self.content = self.linked = 0
+        self.links = self.heading = False
+
+    def text(self, piece: str) -> None:
+        self.parts.append(piece)
+        if self.links:
+            self.linked += len(unescape(piece).split())
+
+    def close(self) -> None:
+        if self.parts:
+            text = " ".join(unescape("".join(self.parts)).split())
             if text:
-                out.append(_Block(text, linked, content > 0, furniture > 0, heading, named))
-            parts.clear()
-        linked = 0
-
-    def leave(at: int) -> None:
-        nonlocal furniture, content, named
-        for element in open_tags[at:]:
-            furniture -= element.marked
-            content -= element.tag in CONTENT
-            if element.named:
-                named = named[:-1]
-        del open_tags[at:]
-
-    def enter(element: _Open) -> None:
-        nonlocal furniture, content, named
-        furniture += element.marked
-        content += element.tag in CONTENT
-        open_tags.append(element)
+                self.found.append(_Block(text, self.linked, self.content > 0, self.furniture > 0, self.heading, self.named))
+            self.parts.clear()
+        self.linked = 0
+
+    def enter(self, tag: str, marked: bool, named: int) -> None:
+        element = _Open(tag, marked, named, self.named)
+        self.furniture += marked
+        self.content += tag in CONTENT
+        self.open.append(element)
+        self.count[tag] = self.count.get(tag, 0) + 1
+        if named:
+            self.named = element
+            self.names.append(element)
+        if tag in CONTENT:
+            outer = self.named
+            while outer is not None and not getattr(outer, tag):  # further out it is known already
+                setattr(outer, tag, True)
+                outer = outer.up
+
+    def leave(self) -> str:
+        element = self.open.pop()
+        self.furniture -= element.marked
+        self.content -= element.tag in CONTENT
+        self.count[element.tag] -= 1
         if element.named:
-            named = (*named, element)
-        if element.tag in CONTENT:
-            for outer in named:
-                outer.article |= element.tag == "article"
-                outer.main |= element.tag == "main"
-
-    for match in TOKEN.finditer(page):
-        tag = match["tag"]
-        if tag is None:
-            piece = match[0]
-            if piece[0] != "<" or piece == "<":
-                parts.append(piece)
-                if links:
-                    linked += len(unescape(piece).split())
-            elif match["raw"]:
-                parts.append(" ")
-            continue
-        tag = tag.lower()
+            self.named = element.up
+        return element.tag
+
+    def innermost(self) -> str | None:
+        return self.open[-1].tag if self.open else None
+
+    def begin(self, tag: str, attrs: str) -> None:
         if tag == "a":
-            links = 0 if match["end"] else 1
-            continue
-        if tag == "br":
-            parts.append(" ")
+            self.links = True
+        elif tag == "br":
+            self.parts.append(" ")
+        elif tag not in BLOCKS:
+            # An inline element that is furniture stands as a block of its own.
+            if tag not in VOID and (named := _named(attrs, self.content > 0)):
+                self.close()
+                self.enter(tag, False, named)
+        else:
+            self.close()
+            if tag in VOID:
+                return
+            if self.innermost() == SELF_CLOSING.get(tag, ""):
+                self.leave()
+            # An article's own header holds its title.
+            marked = tag in FURNITURE and not (tag == "header" and self.content)
+            named = 0 if tag in ("html", "body") else _named(attrs, self.content > 0 or tag in CONTENT)
+            self.enter(tag, marked, named)
+            self.heading = tag in HEADINGS
+            self.links = False
+
+    def end(self, tag: str) -> None:
+        if tag == "a":
+            self.links = False
+        elif tag == "br":
+            self.parts.append(" ")
+        elif tag not in BLOCKS:
+            if self.innermost() == tag:
+                self.close()
+                self.leave()
+        else:
+            self.close()
+            if self.count.get(tag):
+                while self.leave() != tag:
+                    pass
+            self.heading = False
+            if tag not in ("p", "li"):
+                self.links = False
+
+
+def blocks(page: str) -> list[_Block]:
+    """Flat text blocks in page order, in time linear in the page.
+
+    Comments, declarations and elements without readable content are skipped; unended ones run to the
+    page's end. A tag that never ends is text, with all that follows.
+    """
+    out = _Page()
+    at, size = 0, len(page)
+    skipped, depth, foreign = None, 0, 0  # an element that may hold others of its name
+    while at < size:
+        begin = page.find("<", at)
+        if begin < 0:
+            begin = size
+        if begin > at and skipped is None:
+            out.text(page[at:begin])
+        if begin == size:
+            break
+        match = TAG.match(page, begin)
+        if match is None:
+            at = begin + 1
+            if page.startswith(("<!", "<?"), begin):
+                last = next((b for a, b in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(a, begin)), ">")
+                stop = page.find(last, begin + 2)
+                at = size if stop < 0 else stop + len(last)
+            elif BEGINS_TAG.match(page, begin):
+                at = size
+                if skipped is None:
+                    out.text(page[begin:])
+            elif skipped is None:
+                out.text("<")
             continue
-        if tag not in BLOCKS:
-            if not match["end"] and tag not in VOID and _named(match["attrs"], content > 0):
-                # An inline element that is furniture stands as a block of its own.
-                close()
-                enter(_Open(tag, False, True))
-            elif match["end"] and open_tags and open_tags[-1].tag == tag:
-                close()
-                leave(len(open_tags) - 1)
+        at = match.end()
+        tag, ends = match["tag"].lower(), bool(match["end"])
+        empty = match["attrs"].endswith("/")
+        if tag in RAW and not ends and not (empty and skipped == "svg"):
+            stop = END_OF[tag].search(page, at)
+            at = stop.end() if stop else size
+            if skipped is None:
+                out.parts.append(" ")
             continue
-        close()
-        if match["end"]:
-            at = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k].tag == tag), None)
-            if at is not None:
-                leave(at)
-            heading = False
-            if tag not in ("p", "li"):
-                links = 0
-        elif tag not in VOID:
-            if tag in SELF_CLOSING and open_tags and open_tags[-1].tag == SELF_CLOSING[tag]:
-                leave(len(open_tags) - 1)
-            elif tag == "p" or tag in HEADINGS:
-                heading = False
-            marked = tag in FURNITURE
-            if tag == "header" and content:
-                marked = False  # an article's own header holds its title
-            enter(_Open(tag, marked, tag not in ("html", "body") and _named(match["attrs"], content > 0 or tag in CONTENT)))
-            heading = tag in HEADINGS
-            links = 0
-    close()
-    _believe_names(out)
-    return out
+        if skipped is not None:
+            if tag == skipped:
+                depth += -1 if ends else not (empty and skipped == "svg")
+            elif skipped == "svg" and tag == "foreignobject":
+                foreign += -1 if ends else not empty
+            # Blocks end an image that was left open, unless it embeds them.
+            if depth and not (skipped == "svg" and foreign <= 0 and tag in BLOCKS and not ends):
+                continue
+            skipped, depth, foreign, closed = None, 0, 0, not depth
+            out.parts.append(" ")
+            if closed:
+                continue
+        if tag in NESTED:
+            if not ends and not (empty and tag == "svg"):
+                skipped, depth = tag, 1
+        elif ends:
+            out.end(tag)
+        else:
+            out.begin(tag, match["attrs"])
+    out.close()
+    _believe_names(out.found, out.names)
+    return out.found
 
 
 def extract(page: str | None) -> str:
@@ -305,8 +411,10 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    has_content = any(b.content and not b.furniture for b in found)
     shares = [min(1.0, b.linked / b.words) for b in found]
+    # Articles that are nothing but linked headings are teasers: the text is elsewhere.
+    teasers = all(b.heading and share >= LINKED for b, share in zip(found, shares) if b.content and not b.furniture)
+    has_content = not teasers
     kept, decide = [], tree().says
     last = len(found) - 1
     for k, block in enumerate(found):
