@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlight.llm.bpe import widened, with_columns
+from martlight.llm.common import fresh
 
 BITS = 18
 SAMPLE = 12_000
@@ -65,8 +66,30 @@ def _places(*parts: np.ndarray) -> np.ndarray:
     return (total ^ (total >> np.uint64(31))) * MIX >> np.uint64(64 - BITS)
 
 
-def _chunk_places(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(text << BITS | place) of the n-grams of the texts that begin at ``starts`` in ``data``."""
+@dataclass
+class _Words:
+    """Words of texts in order: which text, polynomial sum of the bytes, and what their shapes need."""
+
+    text: np.ndarray
+    sums: np.ndarray
+    length: np.ndarray
+    uppers: np.ndarray
+    lowers: np.ndarray
+    last: np.ndarray  # the last byte and the one before it (0 if there is none)
+    before: np.ndarray
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.text, self.sums, self.length, self.uppers, self.lowers, self.last, self.before
+
+    def cut(self, start: int, stop: int | None = None) -> _Words:
+        return _Words(*(c[start:stop] for c in self.columns()))
+
+    def values(self) -> np.ndarray:
+        return self.sums + self.length.astype(np.uint64)
+
+
+def _words(data: np.ndarray, starts: np.ndarray) -> _Words:
+    """The words of the texts that begin at ``starts`` in ``data``."""
     gap = SPACE[data]
     head = ~gap
     head[1:] &= gap[:-1]
@@ -74,42 +97,68 @@ def _chunk_places(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     head[begins] = ~gap[begins]
     first = np.flatnonzero(head)
     if not len(first):
-        return np.zeros(0, np.int64)
-    text = np.searchsorted(starts, first, "right") - 1
+        none = np.zeros(0, np.int64)
+        return _Words(none, none.astype(np.uint64), none, none, none, none, none)
     # White space counts as zero, so a word's sum may run on to the next word's first byte.
     small = LOWER[data].astype(np.uint64) + np.uint64(1)
     small[gap] = 0
-    power = _powers(len(data))
-    sums = np.add.reduceat(small * power, first)
+    sums = np.add.reduceat(small * _powers(len(data)), first)
     length = np.add.reduceat((~gap).astype(np.int64), first)
     # Equal words at different places differ by a power of the prime: divide it out.
-    inverse = np.uint64(pow(int(PRIME), -1, 1 << 64))
-    back = np.full(len(data), inverse, np.uint64)
+    back = np.full(len(data), np.uint64(pow(int(PRIME), -1, 1 << 64)), np.uint64)
     back[:1] = 1
-    word = sums * np.cumprod(back, dtype=np.uint64)[first] + length.astype(np.uint64)
-    del small, power, back
-    same_text = np.zeros(len(first), bool)
-    same_text[1:] = text[1:] == text[:-1]
-    again = np.zeros(len(first), bool)
-    again[1:] = same_text[1:] & (word[1:] == word[:-1])
+    sums *= np.cumprod(back, dtype=np.uint64)[first]
     last = first + length - 1
-    upper = (data >= 65) & (data <= 90)
-    lower = (data >= 97) & (data <= 122)
-    uppers = np.add.reduceat(upper.astype(np.int32), first)
-    lowers = np.add.reduceat(lower.astype(np.int32), first)
-    letter = upper | lower | (data >= 128)
-    end = np.where(letter[last], 0, data[last])
-    before = np.where((length > 1) & ~letter[np.maximum(last - 1, 0)], data[np.maximum(last - 1, 0)], 0)
-    shape = (
-        end.astype(np.uint64) | before.astype(np.uint64) << np.uint64(8)
-        | (uppers > 0).astype(np.uint64) << np.uint64(16) | ((lowers == 0) & (uppers > 1)).astype(np.uint64) << np.uint64(17)
-        | again.astype(np.uint64) << np.uint64(18) | (length == 1).astype(np.uint64) << np.uint64(19)
+    return _Words(
+        np.searchsorted(starts, first, "right") - 1, sums, length,
+        np.add.reduceat(((data >= 65) & (data <= 90)).astype(np.int64), first),
+        np.add.reduceat(((data >= 97) & (data <= 122)).astype(np.int64), first),
+        data[last].astype(np.int64), np.where(length > 1, data[np.maximum(last - 1, 0)], 0).astype(np.int64),
+    )
+
+
+def _one_word(a: _Words, b: _Words) -> _Words:
+    """The word whose beginning is ``a`` and whose rest is ``b``."""
+    power = np.uint64(pow(int(PRIME), int(a.length[0]), 1 << 64))
+    return _Words(
+        a.text, a.sums + power * b.sums, a.length + b.length, a.uppers + b.uppers, a.lowers + b.lowers,
+        b.last, np.where(b.length > 1, b.before, a.last),
+    )
+
+
+def _joined_words(*parts: _Words) -> _Words:
+    return _Words(*(np.concatenate(c) for c in zip(*(p.columns() for p in parts))))
+
+
+def _is_letter(byte: np.ndarray) -> np.ndarray:
+    return (byte >= 65) & (byte <= 90) | (byte >= 97) & (byte <= 122) | (byte >= 128)
+
+
+def _shapes(words: _Words, again: np.ndarray) -> np.ndarray:
+    """Case, marks at the end, single marks and "same word again" of every word."""
+    end = np.where(_is_letter(words.last), 0, words.last).astype(np.uint64)
+    before = np.where(_is_letter(words.before), 0, words.before).astype(np.uint64)
+    return (
+        end | before << np.uint64(8)
+        | (words.uppers > 0).astype(np.uint64) << np.uint64(16)
+        | ((words.lowers == 0) & (words.uppers > 1)).astype(np.uint64) << np.uint64(17)
+        | again.astype(np.uint64) << np.uint64(18) | (words.length == 1).astype(np.uint64) << np.uint64(19)
     ) + np.uint64(1)
+
+
+def _again(words: _Words) -> np.ndarray:
+    value, again = words.values(), np.zeros(len(words.text), bool)
+    again[1:] = (words.text[1:] == words.text[:-1]) & (value[1:] == value[:-1])
+    return again
+
+
+def _grams(text: np.ndarray, word: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """(text << BITS | place) of the n-grams of words in order."""
     found = [(text, _places(word))]
-    pair = np.flatnonzero(same_text)
+    pair = np.flatnonzero(text[1:] == text[:-1]) + 1
     found.append((text[pair], _places(word[pair - 1], word[pair])))
     for n in range(1, MAX_N + 1):
-        run = np.arange(n - 1, len(first))
+        run = np.arange(n - 1, len(text))
         run = run[text[run] == text[run - n + 1]]
         parts = [shape[run - k] for k in range(n)]
         found.append((text[run], _places(np.full(len(run), n, np.uint64), *parts)))
@@ -123,35 +172,45 @@ def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out, counts, at = [], np.zeros(len(values), np.int64), 0
     while at < len(values):
         stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK, "right")))
-        if stop == at + 1 and sizes[at] > 2 * CHUNK:
-            keys = _long_text(values[at].as_py())
+        if stop == at + 1 and sizes[at] > CHUNK:
+            keys = _long_text(np.frombuffer(values[at].as_buffer(), np.uint8))
         else:
-            part = values.slice(at, stop - at)
             starts = np.cumsum(sizes[at:stop]) - sizes[at:stop]
-            keys = np.unique(_chunk_places(np.frombuffer(b"".join(part.to_pylist()), np.uint8), starts))
+            words = _words(np.frombuffer(b"".join(values.slice(at, stop - at).to_pylist()), np.uint8), starts)
+            keys = np.unique(_grams(words.text, words.values(), _shapes(words, _again(words))))
         counts[at:stop] = np.bincount(keys >> BITS, minlength=stop - at)
         out.append((keys & ((1 << BITS) - 1)).astype(np.int32))
         at = stop
     return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(counts)))
 
 
-def _long_text(data: bytes) -> np.ndarray:
-    """A very long text in pieces that overlap by some words: the set of n-grams is the same."""
-    found, at = np.zeros(0, np.int64), 0
-    while at < len(data):
-        end = min(len(data), at + CHUNK)
-        while end < len(data) and not SPACE[data[end]]:
-            end += 1
-        piece = np.frombuffer(data[at:end], np.uint8)
-        found = np.union1d(found, _chunk_places(piece, np.zeros(1, np.int64)))
-        if end == len(data):
-            break
-        words = data[at:end].split()
-        tail, back = end, 0
-        while back < MAX_N and tail > at + 1:
-            tail -= 1
-            back += bool(SPACE[data[tail]] and not SPACE[data[tail - 1]])
-        at = tail if len(words) > MAX_N + 1 and tail > at + CHUNK // 2 else end
+def _long_text(data: np.ndarray) -> np.ndarray:
+    """The n-grams of one text of any length, piece by piece.
+
+    A piece may end inside a word: its beginning is carried to the next piece, with the hashes and
+    shapes of the MAX_N words before it. So the n-grams are those of the text in one piece, and memory
+    does not grow with the text or its words.
+    """
+    found, start = np.zeros(0, np.int64), np.zeros(1, np.int64)
+    open_word, value, shape = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    for at in range(0, len(data), CHUNK):
+        piece = data[at : at + CHUNK]
+        words = _words(piece, start)
+        if open_word is not None:
+            if SPACE[piece[0]]:
+                words = _joined_words(open_word, words)
+            else:
+                words = _joined_words(_one_word(open_word, words.cut(0, 1)), words.cut(1))
+            open_word = None
+        if at + CHUNK < len(data) and not SPACE[piece[-1]]:
+            open_word, words = words.cut(-1), words.cut(0, -1)
+        if not len(words.text):
+            continue
+        again = _again(words)
+        again[0] = len(value) > 0 and value[-1] == words.values()[0]
+        value, shape = np.concatenate((value, words.values())), np.concatenate((shape, _shapes(words, again)))
+        found = np.union1d(found, _grams(np.zeros(len(value), np.int64), value, shape))
+        value, shape = value[-MAX_N:], shape[-MAX_N:]
     return found
 
 
@@ -166,10 +225,14 @@ class QualityModel:
     offset: float
 
     def margins(self, places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        product = np.concatenate(([0.0], np.cumsum(self.weights[places].astype(np.float64))))
-        square = np.concatenate(([0.0], np.cumsum(self.scale[places].astype(np.float64) ** 2)))
-        length = np.sqrt(np.maximum(square[bounds[1:]] - square[bounds[:-1]], 1e-12))
-        return (product[bounds[1:]] - product[bounds[:-1]]) / length + self.bias
+        # Sums of each text on its own: a score does not depend on what shares the batch.
+        some = np.diff(bounds) > 0
+        product, square = np.zeros(len(some)), np.zeros(len(some))
+        if some.any():
+            first = bounds[:-1][some]
+            product[some] = np.add.reduceat(self.weights[places].astype(np.float64), first)
+            square[some] = np.add.reduceat(self.scale[places].astype(np.float64) ** 2, first)
+        return product / np.sqrt(np.maximum(square, 1e-12)) + self.bias
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         margin = self.slope * self.margins(*indicators(texts)) + self.offset
@@ -311,5 +374,6 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model does not reject, with their own columns."""
-    kept = score(documents, train(documents, labels), name="_score").where(F.col("_score") >= THRESHOLD)
+    name = fresh(documents, "score")
+    kept = score(documents, train(documents, labels), name=name).where(F.col(name) >= THRESHOLD)
     return kept.select(documents.columns)

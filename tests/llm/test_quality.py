@@ -102,3 +102,70 @@ def test_odd_rows_and_labels(spark):
     assert quality.score_documents(with_nulls(spark), labels).count() == 6
     kept = quality.keep_good(documents(spark, extra=True), labels)
     assert kept.columns == documents(spark, extra=True).columns and kept.count() == len(found)
+
+
+def test_words_and_repeats_across_cuts(monkeypatch):
+    texts = ["a" * 5000 + " " + "b" * 3000 + "!! x", "no " * 700, "AB," * 900 + " y " * 40, " " * 1500 + "x" * 999 + " x", "Ünï! " * 300 + "ß" * 800]
+    whole = [quality.indicators(pa.array([t]))[0].tolist() for t in texts]
+    for size in (3, 64, 1000):
+        monkeypatch.setattr(quality, "CHUNK", size)
+        places, bounds = quality.indicators(pa.array(texts))
+        assert [places[bounds[k] : bounds[k + 1]].tolist() for k in range(len(texts))] == whole
+
+
+def test_two_words_of_megabytes_have_ten_places():
+    places, _ = quality.indicators(pa.array(["a" * 2_300_000 + " " + "b" * 2_300_000 + " short"]))
+    assert len(places) == len(plain_places("aa bbb short"))
+
+
+def test_scores_do_not_depend_on_the_batch():
+    draw = np.random.default_rng(3)
+    texts = [" ".join(draw.choice(["alpha", "Beta", "gamma!", "|", "the", "THE"], k)) for k in draw.integers(0, 60, 300)] + ["", None]
+    model = quality.fit(pa.array(texts), np.array([("|" in (t or "")) for t in texts]))
+    together = model.scores(pa.array(texts)).tolist()
+    assert together == [model.scores(pa.array([t]))[0] for t in texts]
+    assert together[::-1] == model.scores(pa.array(texts[::-1])).tolist()
+
+
+def test_scores_of_a_table_are_those_of_plain_code(spark):
+    import zlib
+
+    docs, labels = (spark.read.parquet(f"{TEST_DATA}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    marks = {}
+    for row in labels.collect():
+        if row["quality"] is not None and zlib.crc32(str(row["doc_id"]).encode()) % 5 and row["doc_id"] in texts:
+            marks[row["doc_id"]] = max(row["quality"], marks.get(row["doc_id"], 0))
+    assert 0 < len(marks) < quality.SAMPLE
+    order = sorted(marks)
+    order = [order[k] for k in np.random.default_rng(11).permutation(len(order))]
+    cut = len(order) - int(len(order) * quality.CALIBRATE_SHARE)
+    sets = {k: plain_places(texts[k]) for k in texts}
+    seen = {1: {}, 0: {}}
+    for k in order[:cut]:
+        for place in sets[k]:
+            seen[marks[k] == 1][place] = seen[marks[k] == 1].get(place, 0) + 1
+    n = {c: sum((marks[k] == 1) == c for k in order[:cut]) for c in (0, 1)}
+    scale = np.zeros(1 << quality.BITS, np.float32)
+    for place in seen[0].keys() | seen[1].keys():
+        good, bad = seen[1].get(place, 0), seen[0].get(place, 0)
+        if good + bad >= quality.MIN_DOCS:
+            scale[place] = np.log((good + 1) / (n[1] + 2)) - np.log((bad + 1) / (n[0] + 2))
+    lists = [np.array(sets[k], np.int32) for k in order[:cut]]
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    weights, bias = quality.dual_coordinate_descent(
+        np.concatenate(lists), bounds, np.array([marks[k] == 1 for k in order[:cut]]), scale
+    )
+
+    def margin(places):
+        length = sum(float(scale[p]) ** 2 for p in places) ** 0.5
+        return sum(float(np.float32(weights[p] * scale[p])) for p in places) / max(length, 1e-6) + bias
+
+    slope, offset = quality.logistic_curve(
+        np.array([margin(sets[k]) for k in order[cut:]]), np.array([marks[k] == 1 for k in order[cut:]])
+    )
+    for row in quality.score_documents(docs, labels).collect():
+        expected = 1 / (1 + np.exp(-np.clip(slope * margin(sets[row["doc_id"]]) + offset, -60, 60)))
+        assert abs(row["score"] - expected) < 1e-6
+        assert row["held_out"] == (zlib.crc32(str(row["doc_id"]).encode()) % 5 == 0)
+        assert row["predicted"] == int(row["score"] >= 0.3)
