@@ -14,7 +14,7 @@ from martlight.llm.repair import repair_conversations
 from martlight.llm.rules import judge_documents
 from martlight.llm.sharding import shard_documents
 from martlight.llm.simhash import fingerprint_documents
-from martlight.llm.token_counts import histogram, lengths, suffix_sums
+from martlight.llm.token_counts import LIMITS, histogram, lengths, suffix_sums
 from martlight.llm.warc import archive_pages
 from martlight.session import tune
 
@@ -35,7 +35,7 @@ QUERIES = {
     "op4_neighbours": _on("embeddings", search_embeddings),
     "op5_packing": _on("documents", lambda d: pack(d, BYTE_VOCABULARY)),
     "op6_html": _on("pages", extract_pages),
-    "op7_token_counts": _on("documents", lambda d: suffix_sums(histogram(lengths(d, BYTE_VOCABULARY)))),
+    "op7_token_counts": _on("documents", lambda d: suffix_sums(histogram(lengths(d, BYTE_VOCABULARY)), LIMITS)),
     "op8_simhash": _on("documents", fingerprint_documents),
     "op9_warc": _on("pages", archive_pages),
     "op10_exact_dedup": _on("documents", duplicates),

@@ -2,7 +2,7 @@
 
 Documents are encoded once and only (length, documents) is shuffled, summed map-side first: at most
 one row per distinct length and input split leaves a task, however skewed the lengths are. Suffix
-sums over the histogram then answer, for each limit L that some document has exactly:
+sums over the histogram then answer, for each limit L that some document has exactly or that is asked for:
 
 - ``docs_at_least``: documents of L tokens or more;
 - ``tokens_at_least``: their tokens;
@@ -28,6 +28,8 @@ from martlight.llm.common import written
 
 #: Lengths in one range of the suffix sums.
 RANGE = 256
+#: Context limits that are always answered.
+LIMITS = (512, 1024, 2048, 4096, 8192, 16384, 32768, 65536, 131072)
 
 
 def lengths(documents: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
@@ -47,11 +49,16 @@ def histogram(token_counts: DataFrame) -> DataFrame:
     return token_counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
 
 
-def suffix_sums(counts: DataFrame) -> DataFrame:
-    """Answers for every length in the histogram; empty for an empty corpus.
+def suffix_sums(counts: DataFrame, limits: tuple[int, ...] = ()) -> DataFrame:
+    """Answers for every length in the histogram and every one of ``limits``; empty for an empty corpus.
+
+    A limit that no document has exactly is a row with ``docs`` 0.
 
     The histogram is written first: the sums read it three times, the documents once.
     """
+    if limits:
+        asked = counts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in limits])).alias("n_tokens"))
+        counts = counts.union(asked.withColumn("docs", F.lit(0).cast("long"))).groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
     counts = written(counts, "histogram")
     ranged = counts.withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn(
         "range", F.expr(f"n_tokens div {RANGE}")
@@ -68,7 +75,7 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     within = Window.partitionBy("range").orderBy(F.col("n_tokens").desc())
     docs, tokens = F.col("docs_at_least"), F.col("tokens_at_least")
     return (
-        ranged.join(totals, "range")
+        ranged.join(totals.where("all_docs > 0"), "range")
         .withColumn("docs_at_least", F.sum("docs").over(within) + F.col("docs_above"))
         .withColumn("tokens_at_least", F.sum("tokens").over(within) + F.col("tokens_above"))
         .select(

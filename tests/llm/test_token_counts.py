@@ -45,3 +45,15 @@ def test_limits(spark):
 def test_odd_rows(spark):
     assert answers(documents(spark, [])).count() == 0
     assert sum(r["docs"] for r in answers(with_nulls(spark)).collect()) == 6
+
+
+def test_suffix_sums_answer_limits_that_no_document_has(spark):
+    sizes = [0, 3, 3, 10, 600, 2048]
+    frame = spark.createDataFrame([(s,) for s in sizes], "n_tokens long")
+    found = {r["n_tokens"]: tuple(r)[1:] for r in counts.suffix_sums(counts.histogram(frame), counts.LIMITS).collect()}
+    assert found.keys() == set(sizes) | set(counts.LIMITS)
+    for n, row in found.items():
+        least, most = [x for x in sizes if x >= n], sum(x <= n for x in sizes)
+        assert row == (sizes.count(n), len(least), sum(least), most, most / len(sizes), sum(min(x, n) for x in sizes))
+    empty = counts.suffix_sums(counts.histogram(frame.limit(0)), counts.LIMITS)
+    assert empty.count() == 0
