@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlight.llm.bpe import widened, with_columns
-from martlight.llm.common import written
+from martlight.llm.common import fresh, written
 
 #: Bytes that levels 0, 1 ... look at; beyond them every level takes the last stride from ``rest``.
 STRIDES = (64, 256, 1024, 4096, 16384)
@@ -131,20 +131,22 @@ def keep_distinct(documents: DataFrame) -> DataFrame:
 
 def _rows_of(documents: DataFrame, kept: DataFrame, again: DataFrame) -> DataFrame:
     """Rows of documents named by (doc_id, digest of the normalised text), each name once."""
+    sha, key, name = fresh(documents, "sha"), fresh(documents, "key"), fresh(documents, "name")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests = [hashlib.sha256(v.as_buffer()).hexdigest() for v in normalised(batch.column("text"))]
-            yield with_columns(batch, _sha=pa.array(digests, pa.string()))
+            yield with_columns(batch, **{sha: pa.array(digests, pa.string())})
 
-    named = documents.mapInArrow(run, widened(documents.schema, _sha=T.StringType()))
+    named = documents.mapInArrow(run, widened(documents.schema, **{sha: T.StringType()}))
 
-    def named_by(names: DataFrame, how: str) -> DataFrame:
-        other = names.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_name"))
-        return named.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_name")), how)
+    def named_by(names: DataFrame) -> DataFrame:
+        other = names.select(F.col("doc_id").alias(key), F.col("text_sha256").alias(name))
+        return named.join(other, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(name)), "left_semi")
 
     if again.isEmpty():
-        return named_by(kept, "left_semi").select(documents.columns)
+        return named_by(kept).select(documents.columns)
     once = kept.join(again, [kept.doc_id.eqNullSafe(again.doc_id), kept.text_sha256 == again.text_sha256], "left_anti")
     several = kept.join(again, [kept.doc_id.eqNullSafe(again.doc_id), kept.text_sha256 == again.text_sha256], "left_semi")
-    repeated = named_by(several, "left_semi").dropDuplicates(["doc_id", "_sha"])
-    return named_by(once, "left_semi").select(documents.columns).union(repeated.select(documents.columns))
+    repeated = named_by(several).dropDuplicates(["doc_id", sha])
+    return named_by(once).select(documents.columns).union(repeated.select(documents.columns))

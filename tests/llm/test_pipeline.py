@@ -53,3 +53,23 @@ def test_run_is_the_stages_one_after_another(spark):
 def test_queries_equal_their_sql(spark):
     for name, sql in ORACLES.items():
         assert difference(spark, QUERIES[name], sql, SF) is None, name
+
+
+def test_stages_keep_columns_with_names_of_their_own(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(1, base), (1, base), (2, base), (3, base + " more"), (4, None), (None, "other words"), (5, "")]
+    names = ("mark", "MARK_", "_id", "_sha", "_name", "sha", "key", "name", "_score", "score", "row", "bands", "n", "cluster", "i", "j", "piece", "bytes")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, name in enumerate(names):
+        docs = docs.selectExpr("*", f"concat('{k}:', doc_id) as `{name}`")
+    for stage in (corpus_pipeline.quality, corpus_pipeline.exact, corpus_pipeline.similar):
+        kept = stage(spark, docs, f"{TEST_DATA}/sf0.001")
+        assert kept.columns == docs.columns
+        found = kept.collect()
+        assert found
+        for row in found:
+            expected = [None if row["doc_id"] is None else f"{k}:{row['doc_id']}" for k in range(len(names))]
+            assert [row[name] for name in names] == expected
+    assert corpus_pipeline.packed(spark, docs, f"{TEST_DATA}/sf0.001").count() == len(rows)
+    similar = corpus_pipeline.similar(spark, docs, f"{TEST_DATA}/sf0.001")
+    assert sorted((r["doc_id"] or 0) for r in similar.collect()) == [0, 1, 4]
