@@ -281,6 +281,27 @@ def commit(spark: SparkSession, root: str, version: int, staged: Cleaning, filen
     return Commit(version + 1, orders.count(), cleaned.count())
 
 
+def remove_customers(spark: SparkSession, root: str, version: int, doomed: DataFrame) -> Commit:
+    """Publish star version ``version`` + 1 without the given customers, their orders and the items of these.
+
+    ``doomed`` holds customer_id values; unknown and repeated ones, and nulls, do nothing. No table is
+    rewritten: the version adds the ids that are gone (see ``sources.star``). Orders are read for their
+    customers, items in the months of the orders that go. A deleted order number or customer code that is
+    imported later is a new one, with an id of its own.
+    """
+    old, draft = read_star(spark, root, version), Draft(spark, root, version + 1)
+    gone = stored(old.customers.select("customer_id").join(
+        doomed.select("customer_id"), "customer_id", "left_semi"), "gone")
+    orders = stored(old.orders.join(gone, "customer_id", "left_semi").select(
+        "order_id", "customer_id", MONTH, *rollup.KEYS), "gone-orders")
+    draft.write("deleted_customers", gone)
+    draft.write("deleted_orders", orders)
+    if old.rollups:
+        draft.take_back(_old_orders(old, orders, "order_items"), orders)
+    draft.publish(old.keys_verified, old.marker["tiers"])
+    return Commit(version + 1, 0, 0)
+
+
 def _numbered(draft: Draft, rows: DataFrame, id_column: str) -> DataFrame:
     """Rows with ids of a range that this version reserves."""
     return next_ids(rows, "first_row", draft.free_ids(id_column, rows.count()), id_column)

@@ -61,7 +61,8 @@ def _customers_by_day(star: Star, flt: SalesFilter) -> bool:
 def distinct_customers(star: Star, flt: SalesFilter = EVERYTHING) -> DataFrame:
     """Customers with at least one matching order, as one row; from bitmaps per day where they answer."""
     if _customers_by_day(star, flt):
-        return rollup.count_customers(rolled_rows(star, flt, "customers_by_day", flt.date_condition()))
+        rows = rolled_rows(star, flt, "customers_by_day", flt.date_condition())
+        return rollup.count_customers(rows, star.gone_customers)
     return order_grain(star, flt, "customer_id").agg(F.count_distinct("customer_id").alias("total_customers"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window
 
 from martlight.functions.money import cents, dollars, mean_dollars, percent_text
 from martlight.functions.text import full_name
-from martlight.operators.base import order_grain
+from martlight.operators.base import order_grain, order_sums, rolled_rows, rolled_up
 from martlight.operators.filters import EVERYTHING, SalesFilter
 from martlight.operators.metrics import (
     best_named,
@@ -213,6 +214,25 @@ LEDGER_COLUMNS = ("order_number", "order_date", "customer_id", "region_id", "pay
                   "order_status")
 
 
+def _days_of_page(star: Star, flt: SalesFilter, offset: int, page_size: int) -> tuple[SalesFilter, int]:
+    """The filter cut to the days that hold a page, and where on these days the page starts.
+
+    The window runs over one row per day; two days and two numbers come to the driver. Orders without a day
+    come last, and a page that holds some is not cut.
+    """
+    days = rolled_rows(star, flt, "sales_by_day").groupBy("order_date").agg(F.sum("orders").alias("n"))
+    through = F.sum("n").over(Window.orderBy(F.desc("order_date")).rowsBetween(Window.unboundedPreceding, 0))
+    hit = days.where("n > 0").withColumn("through", through).where(
+        (F.col("through") > offset) & (F.col("through") - F.col("n") < offset + page_size))
+    found = hit.agg(
+        F.min("order_date").alias("first"), F.max("order_date").alias("last"),
+        F.min(F.col("through") - F.col("n")).alias("before"), F.count_if(F.col("order_date").isNull()).alias("undated"),
+    ).first()
+    if found.before is None or found.undated:
+        return flt, offset
+    return replace(flt, start_date=found.first, end_date=found.last), offset - found.before
+
+
 def orders_table(
     star: Star,
     flt: SalesFilter = EVERYTHING,
@@ -223,10 +243,13 @@ def orders_table(
     """One page of the order ledger, newest first.
 
     ``after`` is the (order_date, order_id) of the last row seen: the page then starts behind that
-    row at the cost of page one, where a page number makes Spark rank all rows before it.
+    row at the cost of page one, where a page number makes Spark rank all rows before it. If the star keeps
+    sums per day, these say which days a page lies in, and only orders and items of these days are read.
     """
-    orders = order_grain(star, flt, *LEDGER_COLUMNS)
     offset = (page - 1) * page_size
+    if after is None and rolled_up(star, flt):
+        flt, offset = _days_of_page(star, flt, offset, page_size)
+    orders = order_grain(star, flt, *LEDGER_COLUMNS)
     if after is not None:
         day, order_id = F.lit(after[0]), F.lit(after[1])
         orders = orders.where(
@@ -261,6 +284,7 @@ def orders_table(
 
 def orders_count(star: Star, flt: SalesFilter = EVERYTHING, page_size: int = 25) -> DataFrame:
     pages = F.greatest(F.lit(1), F.ceil(F.col("total_count") / page_size))
-    return order_grain(star, flt).agg(F.count("*").alias("total_count")).select(
+    total = F.coalesce(F.sum("orders"), F.lit(0)).cast("bigint").alias("total_count")
+    return order_sums(star, flt).agg(total).select(
         "total_count", pages.cast("bigint").alias("total_pages")
     )

@@ -7,6 +7,9 @@ the same keys and the product, without orders, which do not add up over products
 bitmaps of the customers behind a day's revenue, by blocks of ids: or-ed over days and counted they give
 exact distinct customers of any period, which no sum of counts could.
 
+Deleted customers take their orders along: their sums are added once more with the opposite sign. Bits cannot
+be taken back, but as all orders of such a customer are gone, it is enough to leave them out when counting.
+
 Each is at most as large as what it sums up, and is cut to months like the facts.
 """
 
@@ -18,6 +21,16 @@ from pyspark.sql import functions as F
 from martlight.schema import REVENUE_STATUSES
 
 KEYS = ("order_date", "region_id", "payment_method", "order_status")
+# Tables of sums: what a row stands for, and what is summed.
+GRAIN = {
+    "sales_by_day": (KEYS, ("revenue", "units", "lines", "orders")),
+    "product_by_day": ((*KEYS, "product_id"), ("revenue", "units", "lines")),
+}
+
+
+def _summed(rows: DataFrame, name: str, *more_keys: str) -> DataFrame:
+    keys, sums = GRAIN[name]
+    return rows.groupBy(*keys, *more_keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def additions(items: DataFrame, orders: DataFrame, seen: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -33,22 +46,45 @@ def additions(items: DataFrame, orders: DataFrame, seen: DataFrame | None = None
         before = seen.select("order_id").distinct().withColumn("_seen", F.lit(True))
         counted = counted.join(before, "order_id", "left").withColumn(
             "orders", F.when(F.col("_seen"), 0).otherwise(1))
-    sums = ("revenue", "units", "lines", "orders")
     # Summed per order and product first: the order's attributes meet sums, not lines.
     lines = items.groupBy("order_id", "product_id").agg(
         F.sum("total_cents").alias("revenue"), F.sum("quantity").alias("units"), F.count("*").alias("lines"))
     buyers = counted.where(F.col("order_status").isin(*REVENUE_STATUSES)).where("customer_id is not null")
     return {
-        "sales_by_day": counted.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in sums]),
-        "product_by_day": own.join(lines, "order_id").groupBy(*KEYS, "product_id").agg(
-            *[F.sum(c).alias(c) for c in sums[:-1]]),
-        "customers_by_day": buyers.groupBy(
-            "order_date", F.bitmap_bucket_number("customer_id").alias("block")
-        ).agg(F.bitmap_construct_agg(F.bitmap_bit_position("customer_id")).alias("customers")),
+        "sales_by_day": _summed(counted, "sales_by_day"),
+        "product_by_day": _summed(own.join(lines, "order_id"), "product_by_day"),
+        "customers_by_day": customer_bits(buyers, "order_date"),
+    }
+
+
+def withdrawals(items: DataFrame, orders: DataFrame) -> dict[str, DataFrame]:
+    """The rows that take orders, with all the items they have, out of the sums."""
+    added = additions(items, orders)
+    return {
+        name: added[name].withColumns({c: -F.col(c) for c in sums}) for name, (_, sums) in GRAIN.items()
     }
 
 
-def count_customers(rows: DataFrame) -> DataFrame:
-    """One row, ``total_customers``: distinct customers in rows of ``customers_by_day``."""
-    blocks = rows.groupBy("block").agg(F.bitmap_or_agg("customers").alias("customers"))
-    return blocks.agg(F.coalesce(F.sum(F.bitmap_count("customers")), F.lit(0)).alias("total_customers"))
+def merged(rows: DataFrame, name: str, *more_keys: str) -> DataFrame:
+    """One row per key of a table of sums, without those whose lines are all gone."""
+    return _summed(rows, name, *more_keys).where("lines > 0")
+
+
+def customer_bits(rows: DataFrame, *keys: str) -> DataFrame:
+    """Bitmaps of the customers in ``rows``, by the given keys and blocks of ids."""
+    return rows.groupBy(*keys, F.bitmap_bucket_number("customer_id").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("customer_id")).alias("customers"))
+
+
+def count_customers(rows: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """One row, ``total_customers``: distinct customers in rows of ``customers_by_day``, without those gone.
+
+    There is no "and not" for bitmaps: the customers or those gone are counted, less those gone.
+    """
+    bits = rows.select("block", "customers", F.lit(None).cast("binary").alias("gone"))
+    if gone is not None:
+        blocks = customer_bits(gone)
+        bits = bits.unionAll(blocks.select("block", "customers", F.col("customers").alias("gone")))
+    counts = bits.groupBy("block").agg(
+        (F.bitmap_count(F.bitmap_or_agg("customers")) - F.bitmap_count(F.bitmap_or_agg("gone"))).alias("n"))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_customers"))

@@ -12,6 +12,8 @@ never changed. An import therefore costs what it brings, not what is there alrea
 - ``sales_by_day``, ``product_by_day`` and ``customers_by_day``, if the star keeps them, hold sums (and
   bitmaps of customers) that merge: each part adds its own, and reports add them up instead of the
   facts (see ``sources.rollup``).
+- ``deleted_customers`` and ``deleted_orders`` name rows that are gone: reading leaves them out, and so do the
+  indexes. Sums per day take back what went. The next fold drops the rows themselves.
 - ``order_keys`` and ``customer_keys`` map order numbers and customer codes to ids, in folders by a hash
   of the key: an import looks its keys up in the folders they fall in.
 
@@ -51,6 +53,8 @@ SIDE_TABLES = {
     "order_totals": "order_id bigint, total_amount decimal(38,2)",
     "customer_spend": "customer_id bigint, spent decimal(38,2)",
     "used_stages": "stage string",
+    "deleted_customers": "customer_id bigint",
+    "deleted_orders": "order_id bigint",
     "sales_by_day": (
         "order_date date, region_id int, payment_method string, order_status string, revenue bigint, "
         "units bigint, lines bigint, orders bigint"
@@ -62,17 +66,24 @@ SIDE_TABLES = {
     "customers_by_day": "order_date date, block bigint, customers binary",
 }
 FOLDERS = {
-    "orders": MONTH, "order_items": MONTH, "order_totals": MONTH,
+    "orders": MONTH, "order_items": MONTH, "order_totals": MONTH, "deleted_orders": MONTH,
     "sales_by_day": MONTH, "product_by_day": MONTH, "customers_by_day": MONTH,
     "order_keys": BUCKET, "customer_keys": BUCKET,
 }
 # Inside its folders a table is sorted, so that row groups can be skipped.
 SORTED = {
     "orders": ("order_date", "order_id"), "order_items": ("order_id",), "order_totals": ("order_id",),
+    "deleted_orders": ("order_id",),
     "sales_by_day": ("order_date",), "product_by_day": ("order_date", "product_id"), "customers_by_day": ("order_date",),
     "order_keys": ("order_number",), "customer_keys": ("customer_code",),
 }
 INDEXES = {"order_keys": "order_number", "customer_keys": "customer_code"}
+# Which deletions hide rows of a table, and by what.
+ORDER_GONE, CUSTOMER_GONE = ("deleted_orders", ["order_id", MONTH]), ("deleted_customers", ["customer_id"])
+HIDDEN = {
+    "orders": ORDER_GONE, "order_items": ORDER_GONE, "order_keys": ORDER_GONE,
+    "customers": CUSTOMER_GONE, "customer_keys": CUSTOMER_GONE,
+}
 
 
 def month_of(day: Column) -> Column:
@@ -112,6 +123,8 @@ class Star:
 
     #: Whether the tables of ``sources.rollup`` are there.
     rollups = False
+    #: Customers whose bits in ``customers_by_day`` no longer count, None if there are none.
+    gone_customers: DataFrame | None = None
 
     def __init__(self, build: Callable[[str], DataFrame], keys_verified: bool = False):
         self._build = build
@@ -205,6 +218,8 @@ class PublishedStar(Star):
         super().__init__(self._logical, marker["keys_verified"])
         self.spark, self.root, self.version, self.marker = spark, root, version, marker
         self.rollups = marker["rollups"]
+        if self.has("deleted_customers"):
+            self.gone_customers = self.rows("deleted_customers").select("customer_id")
 
     def rows(self, name: str) -> DataFrame:
         return _rows(self.spark, self.root, self.marker["parts"], name)
@@ -212,8 +227,21 @@ class PublishedStar(Star):
     def has(self, name: str) -> bool:
         return any(name in p["tables"] for p in self.marker["parts"])
 
+    def live(self, name: str) -> DataFrame:
+        """Rows of a table that no version has deleted.
+
+        A filter on months reaches the deletions too, as the month is part of the key. Catalyst broadcasts
+        them under its size limit and shuffles more of them.
+        """
+        rows = self.rows(name)
+        gone, keys = HIDDEN.get(name, (None, []))
+        return rows.join(self.rows(gone).select(*keys), keys, "left_anti") if gone and self.has(gone) else rows
+
     def _logical(self, name: str) -> DataFrame:
-        rows = self.rows(name).drop("version")
+        rows = self.live(name).drop("version")
+        if name in rollup.GRAIN and self.has("deleted_orders"):
+            # Sums that were taken back to nothing are no rows.
+            return rollup.merged(rows, name, MONTH)
         if name == "orders" and self.has("order_totals"):
             newest = self.rows("order_totals").groupBy("order_id", MONTH).agg(
                 F.max_by("total_amount", "version").alias("_newest"))
@@ -233,7 +261,7 @@ class PublishedStar(Star):
         """
         key, folder = INDEXES[index], bucket_of(F.col(INDEXES[index]), self.marker["buckets"][index])
         hit = [r[0] for r in wanted.select(folder.alias(BUCKET)).distinct().collect()]
-        entries = self.rows(index).where(F.col(BUCKET).isin(*hit) if hit else F.lit(False))
+        entries = self.live(index).where(F.col(BUCKET).isin(*hit) if hit else F.lit(False))
         return wanted.join(entries.drop("version", BUCKET), key, "left")
 
 
@@ -329,6 +357,11 @@ class Draft:
         for name, rows in rollup.additions(with_cents(items), orders, seen).items():
             self.write(name, rows)
 
+    def take_back(self, items: DataFrame, orders: DataFrame) -> None:
+        """Take deleted orders, with all their items, out of the sums per day."""
+        for name, rows in rollup.withdrawals(with_cents(items), orders).items():
+            self.write(name, rows)
+
     def free_ids(self, id_column: str, count: int) -> int:
         """Reserve ``count`` ids and return the largest one in use before them."""
         last = self.marker["next"].get(id_column, 1) - 1

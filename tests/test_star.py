@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from martlight.operators import export, metrics, ranking
 from martlight.operators.cleaning import load_staged, stage
 from martlight.operators.filters import EVERYTHING, SalesFilter
-from martlight.operators.ingest import StageUsed, commit, refresh_segments
+from martlight.operators.ingest import StageUsed, commit, refresh_segments, remove_customers
 from martlight.operators.quality import duplicate_keys, orphans, verify_keys
 from martlight.session import create_once, read_small, scratch_path
 from martlight.sources import star as stars
@@ -296,3 +296,99 @@ def test_rollups_follow_imports(spark, monkeypatch):
     for report in reports[:-1]:
         text = report(star)._jdf.queryExecution().executedPlan().toString()
         assert "order_item" not in text and "/orders" not in text and "_by_day" in text
+
+
+def test_removed_customers_are_gone_everywhere(spark):
+    """Deletions are rows of their own; facts, sums, indexes and distinct customers leave out what went."""
+    root = scratch_path(spark, "star")
+    write_star(spark, verify_keys(make_star(spark)), root, rollups=True)
+    doomed = spark.createDataFrame([(1,), (1,), (77,), (None,)], "customer_id bigint")
+    assert remove_customers(spark, root, 0, doomed).version == 1
+    assert read_star(spark, root, 0).order_items.count() == 5
+    # Only the ids and the sums taken back are written.
+    assert not any(files(root, name, 1) for name in ("orders", "order_items", "customers", "order_keys"))
+
+    def compare(version):
+        star = read_star(spark, root, version)
+        facts = star.replace({})
+        for report in (metrics.kpi_primary, metrics.region_performance, ranking.top_products, ranking.orders_table):
+            assert report(star).collect() == report(facts).collect(), (version, report)
+        assert orphans(star).where("orphan_rows > 0").count() == 0
+        return star
+
+    star = compare(1)
+    assert {r.customer_code for r in star.customers.collect()} == {"C2", "C3"}
+    assert {r.order_number for r in star.orders.collect()} == {"N3", "N4", "N5"}
+    assert {r.order_id for r in star.order_items.collect()} == {3, 4}
+    # Region 1 had only orders of that customer, so it is no row of the report.
+    assert [r.region_id for r in metrics.region_performance(star).collect()] == [2]
+    # Number and code come back as new ones, also beside old ones, and count again.
+    again = [("N1", "2024-01-10", "C1", "North", "Tools", "P1", "10", "2", "20"),
+             ("N3", "2023-01-10", "C2", "South", "Tools", "P2", "10", "1", "10")]
+    commit(spark, root, 1, staged(spark, again), "1.csv", NOW)
+    star = compare(2)
+    back = star.orders.where("order_number = 'N1'").first()
+    assert (back.order_id, back.customer_id) == (6, 4)
+    assert metrics.distinct_customers(star).first()[0] == 2
+
+    last = compact(spark, root, 2)
+    folded = compare(last)
+    assert not folded.has("deleted_orders") and folded.gone_customers is None
+    assert contents(folded) == contents(star)
+    # Nobody to remove: a version with the same rows.
+    empty = spark.createDataFrame([], "customer_id bigint")
+    assert remove_customers(spark, root, last, empty).version == last + 1
+    assert contents(read_star(spark, root, last + 1)) == contents(star)
+
+
+def test_removal_that_dies_changes_nothing(spark, monkeypatch):
+    root = scratch_path(spark, "star")
+    write_star(spark, make_star(spark), root)
+    before, write = contents(read_star(spark, root, 0)), Draft.write
+    doomed = spark.createDataFrame([(2,)], "customer_id bigint")
+
+    def failing(self, name, rows):
+        write(self, name, rows)
+        if name == "deleted_orders":
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(Draft, "write", failing)
+    with pytest.raises(RuntimeError):
+        remove_customers(spark, root, 0, doomed)
+    assert contents(read_star(spark, root, 0)) == before
+    monkeypatch.undo()
+    assert remove_customers(spark, root, 0, doomed).version == 1
+    assert {r.order_id for r in read_star(spark, root, 1).order_items.collect()} == {1, 2}
+
+
+def test_deletions_are_read_in_the_months_asked_for(spark):
+    root = scratch_path(spark, "star")
+    write_star(spark, bind_star(spark, FOLDER), root)
+    remove_customers(spark, root, 0, read_star(spark, root, 0).customers.where("customer_id % 10 = 0"))
+    one = SalesFilter(start_date=dt.date(1996, 3, 1), end_date=dt.date(1996, 3, 31))
+    plan = metrics.monthly_sales_trend(read_star(spark, root, 1), one)._jdf.queryExecution().optimizedPlan()
+    assert "LeftAnti" in plan.toString()
+    scans = [f for f in files(root, "deleted_orders", 1) if "order_month=199603" in f]
+    found = files_read(spark, metrics.monthly_sales_trend(read_star(spark, root, 1), one))
+    # Two scans of the deletions, one for orders and one for items.
+    assert scans and found["other"] <= 2 * len(scans)
+
+
+def test_far_page_reads_its_own_days(spark):
+    root = scratch_path(spark, "star")
+    write_star(spark, verify_keys(bind_star(spark, FOLDER)), root, rollups=True)
+    star = read_star(spark, root, 0)
+    facts = star.replace({})
+    total = ranking.orders_count(facts).first()
+    assert ranking.orders_count(star).first() == total
+    last = total.total_pages
+    some = SalesFilter(region_id=2, end_date=dt.date(1997, 5, 4))
+    whole = {flt: ranking.orders_table(facts, flt, 1, 100_000).collect() for flt in (EVERYTHING, some)}
+    for flt, page, size in ((EVERYTHING, last // 2, 25), (EVERYTHING, last, 25), (EVERYTHING, last + 1, 25), (some, 1, 25), (some, 3, 7)):
+        rows = ranking.orders_table(star, flt, page, size).collect()
+        assert rows == whole[flt][(page - 1) * size:page * size], (flt, page, size)
+    rows = ranking.orders_table(star, page=last // 2, page_size=5).collect()
+    months = {r.order_date.strftime("%Y%m") for r in rows}
+    found = files_read(spark, ranking.orders_table(star, page=last // 2, page_size=5))
+    held = [f for f in files(root, "order_items", 0) if any(f"order_month={m}" in f for m in months)]
+    assert found["order_items"] <= len(held) and len(months) <= 2
