@@ -71,8 +71,13 @@ def merged(rows: DataFrame, name: str, *more_keys: str) -> DataFrame:
 
 
 def customer_bits(rows: DataFrame, *keys: str) -> DataFrame:
-    """Bitmaps of the customers in ``rows``, by the given keys and blocks of ids."""
-    return rows.groupBy(*keys, F.bitmap_bucket_number("customer_id").alias("block")).agg(
+    """Bitmaps of the customers in ``rows``, by the given keys and blocks of ids.
+
+    A bitmap has 4 KB however few customers it holds, and every task would send one for each key it sees. So
+    customers travel, once each, to the task of their keys and block, and bitmaps are built only there.
+    """
+    ids = rows.select(*keys, "customer_id").distinct().withColumn("block", F.bitmap_bucket_number("customer_id"))
+    return ids.repartition(*keys, "block").groupBy(*keys, "block").agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("customer_id")).alias("customers"))
 
 
