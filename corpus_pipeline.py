@@ -28,12 +28,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group by the contract of op8_simhash (4 bits); the pipeline itself takes ``similar``."""
+    """One of each group by the contract of op8_simhash (4 bits); ``similar`` also checks its pairs and finds those further apart."""
     return keep_one(docs)
 
 
 def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near copies: at least 0.8 of the five-word shingles are shared."""
+    """One of each group of near copies: candidates by fingerprints, as in ``near``, and by hash minima, of
+    which those that share at least 0.8 of their five-word shingles are linked."""
     return near_copies.keep_one(docs)
 
 

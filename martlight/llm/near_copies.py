@@ -1,11 +1,15 @@
 """Near copies by the similarity of word shingles: texts of which two share at least SIMILAR of their
 five-word shingles (Jaccard) are linked, and linked rows form groups.
 
-1. Every text gets BANDS keys, each of ROWS minima of its shingles' hashes. Two texts of similarity s
-   share no key with probability (1 - s**ROWS)**BANDS: 1.2e-7 at s = 0.8, less above.
-2. Rows that share keys, directly or through others, form a cluster. Only clusters travel on.
-3. All pairs of a cluster are compared by their shingles themselves; a key alone never links. A pair
-   is left out only if verified links already join its two rows.
+1. Every text gets its fingerprint; those that differ in few bits are found as in ``simhash``, by the
+   generalised pigeonhole principle. Texts of similarity 0.8 lie up to 13 of 64 bits apart, too far for
+   its probes, so
+2. every text also gets BANDS keys, each of ROWS minima of its shingles' hashes. Two texts of similarity
+   s share no key with probability (1 - s**ROWS)**BANDS: 1.2e-7 at s = 0.8, less above.
+3. Rows whose fingerprints are linked or that share keys, directly or through others, form a cluster.
+   Only clusters travel on.
+4. All pairs of a cluster are compared by their shingles themselves; a fingerprint or key alone never
+   links. A pair is left out only if verified links already join its two rows.
 
 A cluster of more than BLOCK rows is cut into blocks. All blocks first meet the same few rows; then
 those outside of the largest group found so far meet everything, block by block.
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 
 from martlight.llm.common import fresh, written
 from martlight.llm.components import components
+from martlight.llm.simhash import fingerprint, grouped
 
 WORDS = 5
 SIMILAR = 0.8
@@ -66,19 +71,21 @@ def band_keys(found: np.ndarray) -> list[int]:
 
 
 def _sketched(documents: DataFrame) -> DataFrame:
-    """row, mark, doc_id, n, bands: rows of one id and text are one row."""
+    """row, mark, doc_id, n, fp, bands: rows of one id and text are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(shingles(t)) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            keys = [band_keys(shingles(t)) for t in texts]
+            fp = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64))
             flat = np.array(keys, np.uint64).reshape(-1).astype(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("doc_id"), bands], names=["mark", "doc_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("doc_id"), fp, bands], names=["mark", "doc_id", "fp", "bands"])
 
     rows = documents.select("mark", "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    marked = rows.mapInArrow(run, f"mark binary, doc_id {kind}, bands array<bigint>")
-    one = marked.groupBy("mark").agg(F.first("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
+    marked = rows.mapInArrow(run, f"mark binary, doc_id {kind}, fp bigint, bands array<bigint>")
+    one = marked.groupBy("mark").agg(F.first("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
     return written(one.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
@@ -151,11 +158,20 @@ def _steps(blocks: str):
     return F.sequence(F.lit(0), F.col(blocks) - 1)
 
 
+def _fingerprint_links(sketches: DataFrame) -> DataFrame:
+    """a, b: every row and the smallest one that linked fingerprints lead to."""
+    distinct = written(sketches.groupBy("fp").agg(F.min("row").alias("first")), "distinct")
+    named = written(grouped(distinct), "fingerprints")
+    smallest = named.groupBy("component").agg(F.min("first").alias("b"))
+    return sketches.select("row", "fp").join(named.join(smallest, "component").select("fp", "b"), "fp").select(F.col("row").alias("a"), "b")
+
+
 def groups(documents: DataFrame, sketches: DataFrame) -> DataFrame:
     """row, component: rows that verified links join; rows without links do not appear."""
     keys = sketches.select("row", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.min("row").alias("b"), F.max("row").alias("top")).where("b < top").drop("top")
-    clusters = components(keys.join(shared, ["band", "key"]).select(F.col("row").alias("a"), "b"))
+    alike = keys.join(shared, ["band", "key"]).select(F.col("row").alias("a"), "b")
+    clusters = components(alike.unionByName(_fingerprint_links(sketches)))
     clusters = clusters.withColumnsRenamed({"node": "row", "component": "cluster"})
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "cluster").join(sketches.select("row", "mark"), "row")

@@ -301,16 +301,21 @@ def link_forest(distinct: DataFrame, parts: list[tuple[list[int], int]], most: i
     return dealt.mapInArrow(lambda batches: _compare_sorted(batches, most), "a long, b long")
 
 
+def grouped(distinct: DataFrame, most: int = MOST) -> DataFrame:
+    """Distinct fingerprints with ``component``, the smallest fingerprint that links lead to."""
+    parts = design(*joint_counts(distinct), most)
+    linked = components(link_forest(distinct, parts, most))
+    return distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp")
+    )
+
+
 def near_duplicates(documents: DataFrame, text: str = "text", most: int = MOST) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links lead to) of every row."""
     # Only the text's fingerprint travels on; it is written once, as several steps read it.
     marked = written(fingerprints(documents.select("doc_id", F.col(text).alias("text"))).drop("text"), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    parts = design(*joint_counts(distinct), most)
-    linked = components(link_forest(distinct, parts, most))
-    named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
+    named = grouped(distinct, most)
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     return marked.join(named.join(smallest, "component").select("fp", "component_id"), "fp").select(
         "doc_id", "fp", "component_id"

@@ -67,3 +67,14 @@ def test_repeated_and_missing_ids(spark):
     assert sorted(((r["doc_id"] or 0), len(r["text"] or "") > 5) for r in found) == [(0, False), (4, False), (7, True), (7, True)]
     assert sum(r["text"] == far for r in found) == 1
     assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
+def test_fingerprints_find_candidates_and_shingles_decide(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    texts = [base, base + " more", " ".join(f"v{k}" for k in range(60)), "a b c"]
+    docs = spark.createDataFrame([(bytes([k]), t) for k, t in enumerate(texts)], "mark binary, text string")
+    # No key is shared; the fingerprints of the first two differ in one bit, those of the first and third are equal.
+    sketches = [(k, bytes([k]), k, 1, fp, [100 * k + b for b in range(40)]) for k, fp in enumerate((8, 9, 8, -1))]
+    sketches = spark.createDataFrame(sketches, "row long, mark binary, doc_id long, n long, fp long, bands array<long>")
+    found = near_copies.groups(docs, sketches)
+    assert sorted((r["row"], r["component"]) for r in found.collect()) == [(0, 0), (1, 0)]
