@@ -18,8 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     shuffle, so a node with very many edges is one row per task; joins on it can be split, as labels
     are unique. Nodes without edges do not appear; an empty input gives an empty result.
     """
-    both = edges.select("a", "b").where("a <> b")
-    both = written(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(edges.where("a <> b").select(F.inline(ways)).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
         at = labels.withColumnRenamed("node", "b").withColumnRenamed("label", "other")

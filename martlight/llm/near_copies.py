@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from martlight.llm.common import fresh, written
 from martlight.llm.components import components
-from martlight.llm.simhash import fingerprint, grouped
+from martlight.llm.simhash import design, fingerprint, joint_counts, link_forest
 
 WORDS = 5
 SIMILAR = 0.8
@@ -159,11 +159,13 @@ def _steps(blocks: str):
 
 
 def _fingerprint_links(sketches: DataFrame) -> DataFrame:
-    """a, b: every row and the smallest one that linked fingerprints lead to."""
+    """a, b: links that join all rows whose fingerprints are linked, over the first row of each fingerprint."""
     distinct = written(sketches.groupBy("fp").agg(F.min("row").alias("first")), "distinct")
-    named = written(grouped(distinct), "fingerprints")
-    smallest = named.groupBy("component").agg(F.min("first").alias("b"))
-    return sketches.select("row", "fp").join(named.join(smallest, "component").select("fp", "b"), "fp").select(F.col("row").alias("a"), "b")
+    found = written(link_forest(distinct, design(*joint_counts(distinct))), "fingerprint-links")
+    left = distinct.select(F.col("fp").alias("a"), F.col("first").alias("left"))
+    right = distinct.select(F.col("fp").alias("b"), F.col("first").alias("right"))
+    between = found.join(left, "a").join(right, "b").select(F.col("left").alias("a"), F.col("right").alias("b"))
+    return sketches.select("row", "fp").join(distinct, "fp").select(F.col("row").alias("a"), F.col("first").alias("b")).unionByName(between)
 
 
 def groups(documents: DataFrame, sketches: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from martlight.llm import near_copies
+from martlight.llm import near_copies, simhash
 from tests.compare import TEST_DATA
 from tests.llm.rows import documents
 from tests.llm.test_simhash import plain_components
@@ -78,3 +78,13 @@ def test_fingerprints_find_candidates_and_shingles_decide(spark):
     sketches = spark.createDataFrame(sketches, "row long, mark binary, doc_id long, n long, fp long, bands array<long>")
     found = near_copies.groups(docs, sketches)
     assert sorted((r["row"], r["component"]) for r in found.collect()) == [(0, 0), (1, 0)]
+
+
+def test_fingerprint_links_and_keys_are_clustered_at_once(spark, monkeypatch):
+    calls, real = [], near_copies.components
+    monkeypatch.setattr(near_copies, "components", lambda edges: calls.append(1) or real(edges))
+    monkeypatch.setattr(simhash, "components", lambda edges: calls.append(1) or real(edges))
+    base = " ".join(f"w{k}" for k in range(60))
+    kept = near_copies.keep_one(documents(spark, [base, base + " more", "a b c"]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+    assert len(calls) == 2  # candidates, verified links
