@@ -70,6 +70,11 @@ def merged(rows: DataFrame, name: str, *more_keys: str) -> DataFrame:
     return _summed(rows, name, *more_keys).where("lines > 0")
 
 
+def merged_bits(rows: DataFrame) -> DataFrame:
+    """One row per day and block of ``customers_by_day``."""
+    return rows.groupBy("order_date", "block").agg(F.bitmap_or_agg("customers").alias("customers"))
+
+
 def customer_bits(rows: DataFrame, *keys: str) -> DataFrame:
     """Bitmaps of the customers in ``rows``, by the given keys and blocks of ids.
 

@@ -349,9 +349,21 @@ class Draft:
         dated = MONTH in star.order_items.columns
         self.write("order_items", star.order_items if dated else with_month(star.order_items, star.orders))
         self.write("customer_spend", spend_of(star.orders))
-        if self.marker["rollups"]:
+        if star.rollups:
+            self._fold_rollups(star)
+        elif self.marker["rollups"]:
             self.write_rollups(star.order_items, star.orders)
 
+    def _fold_rollups(self, star: Star) -> None:
+        """The sums per day of a star that keeps them, added up: the facts are only read for customers that
+        are gone, as their bits cannot be taken back."""
+        for name in rollup.GRAIN:
+            self.write(name, rollup.merged(star.table(name), name))
+        if star.gone_customers is None:
+            self.write("customers_by_day", rollup.merged_bits(star.table("customers_by_day")))
+        else:
+            self.write("customers_by_day", rollup.additions(star.order_items, star.orders)["customers_by_day"])
+
     def write_rollups(self, items: DataFrame, orders: DataFrame, seen: DataFrame | None = None) -> None:
         """Add new items to the sums per day. ``orders`` are theirs, ``seen`` those that had items."""
         for name, rows in rollup.additions(with_cents(items), orders, seen).items():

@@ -1,6 +1,9 @@
 import datetime as dt
+from decimal import Decimal
 
+from martlight.schema import SCHEMAS
 from martlight.sources import rollup
+from martlight.sources.star import Star
 
 DAY = dt.date(2000, 1, 1)
 
@@ -18,3 +21,42 @@ def test_bitmaps_are_built_where_they_are_complete(spark):
     plan = bits._jdf.queryExecution().executedPlan().toString().splitlines()
     sent = [below for above, below in zip(plan, plan[1:]) if "Exchange " in above]
     assert sent and not any("bitmap_construct" in below or "customers" in below for below in sent)
+
+
+def test_a_fold_adds_up_the_sums_and_reads_facts_only_after_deletions(spark, monkeypatch, tmp_path):
+    from martlight.operators.ingest import remove_customers
+    from martlight.sources.star import compact, read_star, write_star
+
+    names = ("regions", "categories", "customers", "products", "orders", "order_items")
+
+    def rows(name, **columns):
+        fields = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
+        n = len(next(iter(columns.values())))
+        return spark.createDataFrame([tuple(columns[c][k] if c in columns else None for c in fields) for k in range(n)], SCHEMAS[name])
+
+    days = [DAY, DAY, None, DAY + dt.timedelta(40)]
+    frames = {n: rows(n, **{SCHEMAS[n].split(" ")[0]: []}) for n in names} | {
+        "customers": rows("customers", customer_id=[5, 6, 40_000], customer_code=["a", "b", "c"]),
+        "orders": rows("orders", order_id=[1, 2, 3, 4], order_number=["1", "2", "3", "4"], customer_id=[5, 6, 40_000, None],
+                       order_date=days, order_status=["Completed"] * 4, total_amount=[Decimal(1)] * 4),
+        "order_items": rows("order_items", order_id=[1, 1, 2, 3, 4, 9], product_id=[7, 8, 7, 7, 7, 7], quantity=[1] * 6,
+                            total_price=[Decimal(2)] * 6),
+    }
+    root, calls, real = str(tmp_path / "star"), [], rollup.additions
+    write_star(spark, Star(frames.__getitem__), root, rollups=True)
+    monkeypatch.setattr(rollup, "additions", lambda *a: calls.append(1) or real(*a))
+
+    def kept(version):
+        star = read_star(spark, root, version)
+        return {n: sorted(map(str, star.table(n).select(*real(star.order_items, star.orders)[n].columns).collect()))
+                for n in ("sales_by_day", "product_by_day", "customers_by_day")}
+
+    def summed(version):
+        star = read_star(spark, root, version)
+        return {n: sorted(map(str, r.collect())) for n, r in real(star.order_items, star.orders).items()}
+
+    assert compact(spark, root, 0) == 1 and not calls
+    assert kept(1) == kept(0) == summed(1)
+    remove_customers(spark, root, 1, spark.createDataFrame([(5,)], "customer_id long"))
+    compact(spark, root, 2)
+    assert kept(3) == summed(3) and len(kept(3)["customers_by_day"]) == 2
