@@ -168,12 +168,24 @@ def _fingerprint_links(sketches: DataFrame) -> DataFrame:
     return sketches.select("row", "fp").join(distinct, "fp").select(F.col("row").alias("a"), F.col("first").alias("b")).unionByName(between)
 
 
-def groups(documents: DataFrame, sketches: DataFrame) -> DataFrame:
-    """row, component: rows that verified links join; rows without links do not appear."""
+def _key_links(sketches: DataFrame) -> DataFrame:
+    """a, b: links that join all rows which share keys, by way of the first row of each key.
+
+    A row is linked with the smallest of its keys' first rows, and that one with the others. A large group
+    has few first rows, so their links repeat from row to row and are made once; a link of every row with
+    every first row would be up to BANDS a row, in every round of the components.
+    """
     keys = sketches.select("row", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.min("row").alias("b"), F.max("row").alias("top")).where("b < top").drop("top")
-    alike = keys.join(shared, ["band", "key"]).select(F.col("row").alias("a"), "b")
-    clusters = components(alike.unionByName(_fingerprint_links(sketches)))
+    firsts = keys.join(shared, ["band", "key"]).groupBy("row").agg(F.collect_set("b").alias("firsts"))
+    least = F.array_min("firsts")
+    links = F.transform("firsts", lambda b: F.struct(F.when(b == least, F.col("row")).otherwise(least).alias("a"), b.alias("b")))
+    return firsts.select(F.inline(links)).where("a <> b").distinct()
+
+
+def groups(documents: DataFrame, sketches: DataFrame) -> DataFrame:
+    """row, component: rows that verified links join; rows without links do not appear."""
+    clusters = components(_key_links(sketches).unionByName(_fingerprint_links(sketches)))
     clusters = clusters.withColumnsRenamed({"node": "row", "component": "cluster"})
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "cluster").join(sketches.select("row", "mark"), "row")

@@ -88,3 +88,21 @@ def test_fingerprint_links_and_keys_are_clustered_at_once(spark, monkeypatch):
     kept = near_copies.keep_one(documents(spark, [base, base + " more", "a b c"]))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
     assert len(calls) == 2  # candidates, verified links
+
+
+def test_a_large_group_makes_few_candidate_links(spark, monkeypatch):
+    draw = random.Random(5)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+    texts = [edited(draw, words, draw.randrange(6)) for _ in range(300)] + ["a b c d e f", "a b c d e f g"]
+    sketches = near_copies._sketched(spark.createDataFrame([(bytes([k % 256, k // 256]), k, t) for k, t in enumerate(texts)], "mark binary, doc_id long, text string"))
+    kept = {r["row"]: list(r["bands"]) for r in sketches.collect()}
+    links = [(r["a"], r["b"]) for r in near_copies._key_links(sketches).collect()]
+    first = {}
+    for row in sorted(kept):
+        for key in enumerate(kept[row]):
+            first.setdefault(key, row)
+    every = {(row, first[key]) for row in kept for key in enumerate(kept[row]) if first[key] != row}
+    assert plain_components(links, sorted(kept)) == plain_components(list(every), sorted(kept))
+    # One link a row, and those between the rows that are a key's first.
+    between = {(a, b) for a, b in links if a in set(first.values()) and b in set(first.values())}
+    assert len(links) - len(between) <= len(kept) and len(links) * 3 < len(every)
