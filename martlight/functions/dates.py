@@ -25,8 +25,11 @@ WEEKDAY = r"^(?i:mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(?i:day)?\.?,? +"
 def date_text(text: Column) -> Column:
     """The day in a cell's text: no time of day, weekday, commas or surrounding blanks; names of
     months in title case, as only those parse."""
-    day = F.regexp_replace(F.regexp_replace(strip(text), TIME_SUFFIX, ""), WEEKDAY, "")
-    return F.initcap(F.replace(day, F.lit(","), F.lit("")))
+    whole = strip(text)
+    # Digits and hyphens, slashes or dots alone have neither.
+    day = F.when(whole.rlike(r"^[-/.0-9]*+\z"), whole).otherwise(
+        F.initcap(F.replace(F.regexp_replace(F.regexp_replace(whole, TIME_SUFFIX, ""), WEEKDAY, ""), F.lit(","), F.lit(""))))
+    return day
 
 
 def _month_number(name: Column) -> Column:

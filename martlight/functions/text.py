@@ -15,7 +15,9 @@ NUMBER_PATTERN = rf"^{SPACE}*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?{SPACE}*$"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    """Text without white space around it. Between visible ASCII there is none to look for."""
+    bare = F.substring(text, 1, 1).between("!", "~") & F.substring(text, -1, 1).between("!", "~")
+    return F.when(bare, text).otherwise(F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", ""))
 
 
 def full_name(first: Column, last: Column) -> Column:
@@ -29,10 +31,12 @@ def is_blank(stripped: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Upper-case every letter that follows a non-letter, lower-case the rest.
 
-    ``initcap`` alone only starts words at blanks; here a hyphen or a digit starts one too.
+    ``initcap`` alone only starts words at blanks; here a hyphen or a digit starts one too. Text of ASCII
+    letters and blanks needs no more than that.
     """
     pieces = F.split(F.lower(text), r"(?<=[^\p{L}])")
-    return F.array_join(F.transform(pieces, F.initcap), "")
+    return F.when(text.rlike(r"^[A-Za-z ]*+\z"), F.initcap(text)).otherwise(
+        F.array_join(F.transform(pieces, F.initcap), ""))
 
 
 def to_number(text: Column) -> Column:

@@ -266,10 +266,9 @@ def commit(spark: SparkSession, root: str, version: int, staged: Cleaning, filen
     draft.write("customer_spend", spend_of(orders).unionByName(_changed_spend(old, known)))
     months = orders.select("order_number", "order_id", month_of(F.col("order_date")).alias(MONTH))
     placed = known.select("order_number", "order_id", MONTH).unionByName(months)
-    items = new_items(cleaned, placed, draft.table("products"), MONTH)
-    draft.write("order_items", items)
+    draft.write("order_items", new_items(cleaned, placed, draft.table("products"), MONTH))
     if old.rollups:
-        _roll_up(draft, stored(items, "items"), orders, old, known)
+        _roll_up(draft, draft.written("order_items"), orders, old, known)
 
     log = old.table(LOGS)
     next_id = log.agg((F.coalesce(F.max("import_id"), F.lit(0)) + 1).alias("next_id")).scalar()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlight.operators import metrics, ranking
+from martlight.operators.adhoc import deal_finely
 from martlight.operators.cleaning import load_staged, stage
 from martlight.operators.ingest import commit, remove_customers
 from martlight.operators.quality import verify_keys
@@ -16,7 +17,7 @@ from martlight.plans.upkeep import DELETED_CITY
 from martlight.session import scratch_path
 from martlight.sources.bound import bind_star
 from martlight.sources.dirty import dirty_rows
-from martlight.sources.star import PublishedStar, compact, is_published, read_star, write_star
+from martlight.sources.star import PublishedStar, compact, is_published, read_star, with_month, write_star
 
 
 #: Root of the star that is published in a session, by application and folder: as elsewhere, a star is
@@ -33,7 +34,9 @@ def imported(spark: SparkSession, folder: str) -> tuple[str, int]:
     key = spark.sparkContext.applicationId, folder
     if key not in _ROOTS or not is_published(spark, _ROOTS[key], 1):
         root, staged = scratch_path(spark, "star"), scratch_path(spark, "stage")
-        write_star(spark, verify_keys(bind_star(spark, folder)), root, rollups=True)
+        star = bind_star(spark, folder)
+        deal_finely(spark, with_month(star.order_items, star.orders))
+        write_star(spark, verify_keys(star), root, rollups=True)
         stage(dirty_rows(spark, folder), staged, AS_OF)
         commit(spark, root, 0, load_staged(spark, staged), FILENAME, CREATED_AT)
         _ROOTS[key] = root

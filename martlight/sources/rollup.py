@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlight.schema import REVENUE_STATUSES
+from martlight.session import stored
 
 KEYS = ("order_date", "region_id", "payment_method", "order_status")
 # Tables of sums: what a row stands for, and what is summed.
@@ -33,33 +34,39 @@ def _summed(rows: DataFrame, name: str, *more_keys: str) -> DataFrame:
     return rows.groupBy(*keys, *more_keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def additions(items: DataFrame, orders: DataFrame, seen: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The rows that these items add to each table. ``orders`` holds the orders of all items, ``seen`` the
-    order_id of those that had items before."""
-    own = orders.select("order_id", "customer_id", *KEYS)
+def _counted(items: DataFrame, orders: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Orders with the sums of their items, and 1 for those that had none before."""
     per_order = items.groupBy("order_id").agg(
         F.sum("total_cents").alias("revenue"), F.sum("quantity").alias("units"), F.count("*").alias("lines"))
-    counted = own.join(per_order, "order_id")
+    counted = orders.select("order_id", "customer_id", *KEYS).join(per_order, "order_id")
     if seen is None:
-        counted = counted.withColumn("orders", F.lit(1))
-    else:
-        before = seen.select("order_id").distinct().withColumn("_seen", F.lit(True))
-        counted = counted.join(before, "order_id", "left").withColumn(
-            "orders", F.when(F.col("_seen"), 0).otherwise(1))
+        return counted.withColumn("orders", F.lit(1))
+    before = seen.select("order_id").distinct().withColumn("_seen", F.lit(True))
+    return counted.join(before, "order_id", "left").withColumn("orders", F.when(F.col("_seen"), 0).otherwise(1))
+
+
+def _sums(items: DataFrame, orders: DataFrame, counted: DataFrame) -> dict[str, DataFrame]:
     # Summed per order and product first: the order's attributes meet sums, not lines.
     lines = items.groupBy("order_id", "product_id").agg(
         F.sum("total_cents").alias("revenue"), F.sum("quantity").alias("units"), F.count("*").alias("lines"))
-    buyers = counted.where(F.col("order_status").isin(*REVENUE_STATUSES)).where("customer_id is not null")
     return {
         "sales_by_day": _summed(counted, "sales_by_day"),
-        "product_by_day": _summed(own.join(lines, "order_id"), "product_by_day"),
-        "customers_by_day": customer_bits(buyers, "order_date"),
+        "product_by_day": _summed(orders.select("order_id", *KEYS).join(lines, "order_id"), "product_by_day"),
     }
 
 
+def additions(items: DataFrame, orders: DataFrame, seen: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The rows that these items add to each table. ``orders`` holds the orders of all items, ``seen`` the
+    order_id of those that had items before."""
+    # Written, so that two tables start from the sums per order and not from the items.
+    counted = stored(_counted(items, orders, seen), "counted")
+    buyers = counted.where(F.col("order_status").isin(*REVENUE_STATUSES)).where("customer_id is not null")
+    return _sums(items, orders, counted) | {"customers_by_day": customer_bits(buyers, "order_date")}
+
+
 def withdrawals(items: DataFrame, orders: DataFrame) -> dict[str, DataFrame]:
     """The rows that take orders, with all the items they have, out of the sums."""
-    added = additions(items, orders)
+    added = _sums(items, orders, _counted(items, orders))
     return {
         name: added[name].withColumns({c: -F.col(c) for c in sums}) for name, (_, sums) in GRAIN.items()
     }

@@ -199,12 +199,18 @@ def _declared(name: str) -> str:
     return f"{columns}, {FOLDERS[name]} int" if name in FOLDERS and FOLDERS[name] not in columns else columns
 
 
+def _no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty table that needs no Python worker to be read."""
+    columns = [c.strip().split(" ") for c in schema.split(", ")]
+    return spark.range(0).select(*[F.lit(None).cast(kind).alias(c) for c, kind in columns])
+
+
 def _rows(spark: SparkSession, root: str, parts: list[dict], name: str) -> DataFrame:
     """All rows of a table in the given parts, with the version that brought them."""
     paths = [f"{root}/{name}/{p['path']}" for p in parts if name in p["tables"]]
     schema = f"{_declared(name)}, version int, attempt string"
     if not paths:
-        return spark.createDataFrame([], schema).drop("attempt")
+        return _no_rows(spark, schema).drop("attempt")
     rows = spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(*paths)
     # Only what lies in a version's folder. (No comparison here: Spark would take it for a selective
     # filter and prune orders by items instead of items by orders.)
@@ -312,6 +318,10 @@ class Draft:
         parts = [*self.marker["parts"], self.part]
         return PublishedStar(self.spark, self.root, self.version, self.marker | {"parts": parts}).table(name)
 
+    def written(self, name: str) -> DataFrame:
+        """The rows of a table that this version adds, as far as it is written."""
+        return _rows(self.spark, self.root, [self.part], name).drop("version")
+
     def write(self, name: str, rows: DataFrame) -> None:
         """Write a table of this part, in its folders and its order."""
         columns = [tuple(c.split(" ")) for c in _declared(name).split(", ")]
@@ -352,7 +362,7 @@ class Draft:
         if star.rollups:
             self._fold_rollups(star)
         elif self.marker["rollups"]:
-            self.write_rollups(star.order_items, star.orders)
+            self.write_rollups(star.order_items, self.written("orders"))
 
     def _fold_rollups(self, star: Star) -> None:
         """The sums per day of a star that keeps them, added up: the facts are only read for customers that
@@ -403,7 +413,7 @@ def write_star(spark: SparkSession, star: Star, root: str, rollups: bool = False
     for column, rows in (("order_id", star.orders), ("customer_id", star.customers)):
         draft.used_to(column, largest_id(rows, column))
     draft.write_all(star)
-    draft.write(LOGS, spark.createDataFrame([], SCHEMAS[LOGS]))
+    draft.write(LOGS, _no_rows(spark, SCHEMAS[LOGS]))
     draft.publish(star.keys_verified, tiers=False)
 
 

@@ -8,7 +8,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from martlight.operators.cleaning import clean, load_staged, mean_and_spread, moments, stage, standard_headers
+from martlight.operators.cleaning import (
+    clean, load_staged, map_headers, mean_and_spread, moments, stage, standard_headers, tag_rows)
 from martlight.functions.dates import date_text, parse_mixed_date
 from martlight.operators.export import write_csv
 from martlight.session import scratch_path
@@ -250,3 +251,30 @@ def test_cleaning_compiles(spark):
 def test_date_notations(spark, text, day):
     rows = spark.createDataFrame([(text,)], "t string")
     assert rows.select(parse_mixed_date(date_text(F.col("t"))).cast("string")).first()[0] == day
+
+
+def test_quick_paths_equal_the_whole_rules(spark):
+    from martlight.functions.text import SPACE, strip, title_case
+
+    texts = ["", " ", "a", " a", "a ", "\ta\n", "a\n", " a b ", "a\u0085", "é", " é ", "~!", "\x7f", "o'neil garden-tools 2go",
+             "NORTH america", "North  America ", "asia-pacific", "ÉCOLE ß", "I", "x ", "a\n b", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    whole = F.regexp_replace("t", rf"^{SPACE}+|{SPACE}+$", "")
+    pieces = F.split(F.lower("t"), r"(?<=[^\p{L}])")
+    assert rows.where(~strip(F.col("t")).eqNullSafe(whole)).collect() == []
+    assert rows.where(~title_case(F.col("t")).eqNullSafe(F.array_join(F.transform(pieces, F.initcap), ""))).collect() == []
+    days = ["2024-01-02", "20240102", "1/2/24", "2024.01.02", "-", "", None, "2024-01-02 10:30", " 2024-01-02\t", "mon, JAN 2 2024", "1,2"]
+    got = spark.createDataFrame([(d,) for d in days], "d string").select(date_text(F.col("d"))).collect()
+    assert [r[0] for r in got] == ["2024-01-02", "20240102", "1/2/24", "2024.01.02", "-", "", None, "2024-01-02", "2024-01-02", "Jan 2 2024", "12"]
+
+
+def test_generated_methods_are_small_enough_for_the_compiler(spark, tmp_path):
+    headers = ["Order ID", "Date", "Customer ID", "Region", "Category", "SKU", "Product", "Price", "Qty", "Discount", "Total",
+               "Payment", "Status"]
+    raw(spark, headers, [("A",) * 13]).write.parquet(str(tmp_path / "raw"))
+    tagged = tag_rows(map_headers(spark.read.parquet(str(tmp_path / "raw"))), AS_OF)
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(tagged._jdf.queryExecution().executedPlan())
+    assert stages.size()
+    # Beyond 8,000 bytes a method is never compiled.
+    assert max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) <= 8000

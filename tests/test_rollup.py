@@ -60,3 +60,17 @@ def test_a_fold_adds_up_the_sums_and_reads_facts_only_after_deletions(spark, mon
     remove_customers(spark, root, 1, spark.createDataFrame([(5,)], "customer_id long"))
     compact(spark, root, 2)
     assert kept(3) == summed(3) and len(kept(3)["customers_by_day"]) == 2
+
+
+def test_two_tables_of_sums_start_from_the_stored_sums_per_order(spark):
+    items = spark.createDataFrame([(1, 7, 2, 100), (1, 8, 1, 50), (2, 7, 1, 5)],
+                                  "order_id long, product_id long, quantity long, total_cents long")
+    # Two equal rows for one order count twice.
+    orders = spark.createDataFrame([(1, 5, DAY, 1, "Cash", "Completed")] * 2 + [(2, 6, DAY, 1, "Cash", "Completed")],
+                                   "order_id long, customer_id long, order_date date, region_id int, payment_method string, order_status string")
+    added = rollup.additions(items, orders)
+    for name in ("sales_by_day", "customers_by_day"):
+        plan = added[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "LogicalRDD" not in plan, name
+    assert [tuple(r)[4:] for r in added["sales_by_day"].collect()] == [(305, 7, 5, 3)]
+    assert rollup.count_customers(added["customers_by_day"]).first()[0] == 2
