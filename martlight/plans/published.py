@@ -14,7 +14,7 @@ from martlight.plans import clean_sql as sql
 from martlight.plans.imports import CREATED_AT, FILENAME
 from martlight.plans.reports import AS_OF, YEAR_2000
 from martlight.plans.upkeep import DELETED_CITY
-from martlight.session import scratch_path
+from martlight.session import scratch_path, shuffles_freed
 from martlight.sources.bound import bind_star
 from martlight.sources.dirty import dirty_rows
 from martlight.sources.star import PublishedStar, compact, is_published, read_star, with_month, write_star
@@ -36,9 +36,10 @@ def imported(spark: SparkSession, folder: str) -> tuple[str, int]:
         root, staged = scratch_path(spark, "star"), scratch_path(spark, "stage")
         star = bind_star(spark, folder)
         deal_finely(spark, with_month(star.order_items, star.orders))
-        write_star(spark, verify_keys(star), root, rollups=True)
-        stage(dirty_rows(spark, folder), staged, AS_OF)
-        commit(spark, root, 0, load_staged(spark, staged), FILENAME, CREATED_AT)
+        with shuffles_freed(spark):
+            write_star(spark, verify_keys(star), root, rollups=True)
+            stage(dirty_rows(spark, folder), staged, AS_OF)
+            commit(spark, root, 0, load_staged(spark, staged), FILENAME, CREATED_AT)
         _ROOTS[key] = root
     return _ROOTS[key], 1
 

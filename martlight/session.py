@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +41,44 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside delete their shuffle files when they end, not when the driver collects its garbage.
+
+    For frames that run once: one that runs again makes its shuffles again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: later steps start from files."""
+    return _written(df, scratch_path(df.sparkSession, label))
+
+
+@contextmanager
+def lent(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``df`` as ``stored`` returns it; its files are deleted when the block ends."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:
+        yield _written(df, path)
+    finally:
+        files, place = _at(df.sparkSession, path)
+        files.delete(place, True)
 
 
 def _at(spark: SparkSession, path: str):

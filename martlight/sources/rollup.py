@@ -15,13 +15,18 @@ Each is at most as large as what it sums up, and is cut to months like the facts
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlight.schema import REVENUE_STATUSES
 from martlight.session import stored
 
 KEYS = ("order_date", "region_id", "payment_method", "order_status")
+#: Lines whose sums by product are made at a time. They shuffle as many rows as there are lines, four times; in slices
+#: only those of one slice are on disk.
+SLICE_LINES = 1 << 23
 # Tables of sums: what a row stands for, and what is summed.
 GRAIN = {
     "sales_by_day": (KEYS, ("revenue", "units", "lines", "orders")),
@@ -34,39 +39,72 @@ def _summed(rows: DataFrame, name: str, *more_keys: str) -> DataFrame:
     return rows.groupBy(*keys, *more_keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def _counted(items: DataFrame, orders: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """Orders with the sums of their items, and 1 for those that had none before."""
+def counted(
+    items: DataFrame, orders: DataFrame, seen: DataFrame | None = None, folder: str | None = None
+) -> DataFrame:
+    """Orders with the sums of their items, and 1 for those that had none before; with ``folder`` also the first and
+    last folder that their items are in. ``orders`` holds the orders of all items, ``seen`` the order_id of those that
+    had items before."""
+    folders = [F.min(_folder(folder)).alias("first_folder"), F.max(_folder(folder)).alias("last_folder")] if folder else []
     per_order = items.groupBy("order_id").agg(
-        F.sum("total_cents").alias("revenue"), F.sum("quantity").alias("units"), F.count("*").alias("lines"))
-    counted = orders.select("order_id", "customer_id", *KEYS).join(per_order, "order_id")
+        F.sum("total_cents").alias("revenue"), F.sum("quantity").alias("units"), F.count("*").alias("lines"), *folders)
+    rows = orders.select("order_id", "customer_id", *KEYS).join(per_order, "order_id")
     if seen is None:
-        return counted.withColumn("orders", F.lit(1))
+        return rows.withColumn("orders", F.lit(1))
     before = seen.select("order_id").distinct().withColumn("_seen", F.lit(True))
-    return counted.join(before, "order_id", "left").withColumn("orders", F.when(F.col("_seen"), 0).otherwise(1))
+    return rows.join(before, "order_id", "left").withColumn("orders", F.when(F.col("_seen"), 0).otherwise(1))
 
 
-def _sums(items: DataFrame, orders: DataFrame, counted: DataFrame) -> dict[str, DataFrame]:
+def _by_product(items: DataFrame, orders: DataFrame) -> DataFrame:
     # Summed per order and product first: the order's attributes meet sums, not lines.
     lines = items.groupBy("order_id", "product_id").agg(
         F.sum("total_cents").alias("revenue"), F.sum("quantity").alias("units"), F.count("*").alias("lines"))
-    return {
-        "sales_by_day": _summed(counted, "sales_by_day"),
-        "product_by_day": _summed(orders.select("order_id", *KEYS).join(lines, "order_id"), "product_by_day"),
-    }
+    return _summed(orders.select("order_id", *KEYS).join(lines, "order_id"), "product_by_day")
+
+
+def from_counts(counts: DataFrame) -> dict[str, DataFrame]:
+    """The rows that the sums per order add to the tables without products."""
+    buyers = counts.where(F.col("order_status").isin(*REVENUE_STATUSES)).where("customer_id is not null")
+    return {"sales_by_day": _summed(counts, "sales_by_day"), "customers_by_day": customer_bits(buyers, "order_date")}
 
 
 def additions(items: DataFrame, orders: DataFrame, seen: DataFrame | None = None) -> dict[str, DataFrame]:
     """The rows that these items add to each table. ``orders`` holds the orders of all items, ``seen`` the
     order_id of those that had items before."""
     # Written, so that two tables start from the sums per order and not from the items.
-    counted = stored(_counted(items, orders, seen), "counted")
-    buyers = counted.where(F.col("order_status").isin(*REVENUE_STATUSES)).where("customer_id is not null")
-    return _sums(items, orders, counted) | {"customers_by_day": customer_bits(buyers, "order_date")}
+    counts = stored(counted(items, orders, seen), "counted")
+    return from_counts(counts) | {"product_by_day": _by_product(items, orders)}
+
+
+def _folder(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0))
+
+
+def product_slices(items: DataFrame, counts: DataFrame, folder: str | None) -> Iterator[DataFrame]:
+    """The rows that items add to ``product_by_day``, in slices of whole folders with about SLICE_LINES items at most
+    (a folder with more is one slice); without a folder in one.
+
+    ``counts`` are the sums per order with their folders: a slice has all orders that items of it may belong to. The
+    number of items in each folder, one per calendar month, comes to the driver.
+    """
+    sizes = items.groupBy(_folder(folder).alias("folder")).agg(F.count("*").alias("n")).collect() if folder else []
+    total, before, slices = sum(row.n for row in sizes), 0, {}
+    parts = -(-total // SLICE_LINES)
+    for name, n in sorted(map(tuple, sizes)):
+        slices.setdefault(before * parts // total, []).append(name)
+        before += n
+    if len(slices) < 2:
+        yield _by_product(items, counts)
+        return
+    for names in slices.values():
+        first, last = names[0], names[-1]
+        orders = counts.where((F.col("first_folder") <= last) & (F.col("last_folder") >= first))
+        yield _by_product(items.where(_folder(folder).between(first, last)), orders)
 
 
 def withdrawals(items: DataFrame, orders: DataFrame) -> dict[str, DataFrame]:
     """The rows that take orders, with all the items they have, out of the sums."""
-    added = _sums(items, orders, _counted(items, orders))
+    added = {"sales_by_day": _summed(counted(items, orders), "sales_by_day"), "product_by_day": _by_product(items, orders)}
     return {
         name: added[name].withColumns({c: -F.col(c) for c in sums}) for name, (_, sums) in GRAIN.items()
     }

@@ -26,15 +26,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from martlight.functions.money import cents
 from martlight.functions.tiers import spend_tier
 from martlight.schema import COMPLETED, SCHEMAS, TABLE_NAMES, column_types
-from martlight.session import create_once, read_small
+from martlight.session import create_once, lent, read_small, shuffles_freed
 from martlight.sources import rollup
 
 MONTH = "order_month"
@@ -324,6 +324,18 @@ class Draft:
 
     def write(self, name: str, rows: DataFrame) -> None:
         """Write a table of this part, in its folders and its order."""
+        self._write(name, [rows])
+
+    def _write(self, name: str, slices: Iterable[DataFrame]) -> None:
+        """Write a table of this part slice by slice: the shuffles of one are gone when the next begins."""
+        for number, rows in enumerate(slices):
+            with shuffles_freed(self.spark):
+                self._placed(name, rows).mode("append" if number else "errorifexists").parquet(
+                    f"{self.root}/{name}/{self.part['path']}")
+        self.part["tables"].append(name)
+
+    def _placed(self, name: str, rows: DataFrame) -> DataFrameWriter:
+        """Rows dealt out and sorted for the folders of their table."""
         columns = [tuple(c.split(" ")) for c in _declared(name).split(", ")]
         if name in INDEXES:
             rows = rows.withColumn(BUCKET, bucket_of(F.col(INDEXES[name]), self.marker["buckets"][name]))
@@ -335,8 +347,7 @@ class Draft:
             order = (FOLDERS[name], *SORTED[name])
             # Ranges, not hashes: a month with a third of all rows is spread over many tasks.
             writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(FOLDERS[name])
-        writer.mode("errorifexists").parquet(f"{self.root}/{name}/{self.part['path']}")
-        self.part["tables"].append(name)
+        return writer
 
     def write_orders(self, orders: DataFrame) -> None:
         """New orders and their entries in the index."""
@@ -362,7 +373,7 @@ class Draft:
         if star.rollups:
             self._fold_rollups(star)
         elif self.marker["rollups"]:
-            self.write_rollups(star.order_items, self.written("orders"))
+            self.write_rollups(self.written("order_items"), self.written("orders"))
 
     def _fold_rollups(self, star: Star) -> None:
         """The sums per day of a star that keeps them, added up: the facts are only read for customers that
@@ -376,8 +387,12 @@ class Draft:
 
     def write_rollups(self, items: DataFrame, orders: DataFrame, seen: DataFrame | None = None) -> None:
         """Add new items to the sums per day. ``orders`` are theirs, ``seen`` those that had items."""
-        for name, rows in rollup.additions(with_cents(items), orders, seen).items():
-            self.write(name, rows)
+        items, folder = with_cents(items), MONTH if MONTH in items.columns else None
+        # Written, so that the tables start from the sums per order and not from the items.
+        with lent(rollup.counted(items, orders, seen, folder), "counted") as counted:
+            for name, rows in rollup.from_counts(counted).items():
+                self.write(name, rows)
+            self._write("product_by_day", rollup.product_slices(items, counted, folder))
 
     def take_back(self, items: DataFrame, orders: DataFrame) -> None:
         """Take deleted orders, with all their items, out of the sums per day."""

@@ -1,6 +1,9 @@
 import datetime as dt
+import time
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from martlight.schema import SCHEMAS
 from martlight.sources import rollup
 from martlight.sources.star import Star
@@ -74,3 +77,52 @@ def test_two_tables_of_sums_start_from_the_stored_sums_per_order(spark):
         assert "Join" not in plan and "LogicalRDD" not in plan, name
     assert [tuple(r)[4:] for r in added["sales_by_day"].collect()] == [(305, 7, 5, 3)]
     assert rollup.count_customers(added["customers_by_day"]).first()[0] == 2
+
+
+def test_sums_by_product_are_written_in_slices_of_months_and_leave_no_scratch(spark, monkeypatch, tmp_path):
+    from martlight import session
+    from martlight.sources.star import MONTH, Draft, with_month
+
+    days = [DAY + dt.timedelta(days=20 * k) for k in range(9)] + [None]
+    rows = [(k, k % 3, day, 1, "Cash", "Completed") for k, day in enumerate(days)]
+    # An order that comes twice, in two months: its items are in the folder of the first.
+    rows += [(4, 1, DAY + dt.timedelta(days=170), 1, "Cash", "Completed"), (8, 2, days[8], 1, "Cash", "Completed")]
+    orders = spark.createDataFrame(rows, "order_id long, customer_id long, order_date date, region_id int, payment_method string, order_status string")
+    lines = [(k % 11, k % 4, k, 10, 10 * k) for k in range(60)]
+    items = with_month(spark.createDataFrame(lines, "order_id long, product_id long, quantity long, unit_cents long, total_cents long"), orders)
+    whole = rollup.merged(rollup.additions(items, orders)["product_by_day"], "product_by_day").collect()
+
+    monkeypatch.setattr(rollup, "SLICE_LINES", 12)
+    slices = list(rollup.product_slices(items, rollup.counted(items, orders, folder=MONTH), MONTH))
+    assert len(slices) >= 4 and all(s.count() < len(whole) / 2 for s in slices)
+    monkeypatch.setattr(session, "scratch_path", lambda _, label: str(tmp_path / "scratch" / label))
+    draft = Draft(spark, str(tmp_path / "star"), 0)
+    draft.write_rollups(items, orders)
+    written = draft.written("product_by_day").drop(MONTH)
+    assert draft.part["tables"].count("product_by_day") == 1
+    assert sorted(map(str, rollup.merged(written, "product_by_day").collect())) == sorted(map(str, whole))
+    assert (tmp_path / "scratch").is_dir() and not (tmp_path / "scratch" / "counted").exists()
+
+
+def test_written_frames_leave_no_shuffle_files(spark, tmp_path):
+    from martlight.session import lent, stored
+    from martlight.sources.star import Draft
+
+    def shuffles():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        files = disk.getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    sums = spark.range(1000).groupBy((F.col("id") % 100).alias("order_id")).agg(F.sum("id").alias("total_amount"))
+    sums = sums.withColumn("order_month", F.lit(202001))
+    draft, before = Draft(spark, str(tmp_path / "star"), 0), shuffles()
+    draft.write("order_totals", sums)
+    assert stored(sums, "sums").count() == 100
+    with lent(sums, "sums") as rows:
+        assert rows.count() == 100
+    # The files go a moment after the job; the two counts of rows leave theirs.
+    deadline = time.time() + 20
+    while len({name.split("_")[1] for name in shuffles() - before}) > 2 and time.time() < deadline:
+        time.sleep(0.2)
+    assert len({name.split("_")[1] for name in shuffles() - before}) <= 2
+    assert draft.written("order_totals").count() == 100
