@@ -38,7 +38,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="run-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    # Short, as Spark cuts long paths in the text of a plan.
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:16]}"
 
 
 @contextmanager
